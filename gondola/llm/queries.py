@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.llm import digest, langid, linkgraph, mixing, quality, toxicity, warc
+from gondola.llm import chosenpath, digest, langid, linkgraph, mixing, quality, toxicity, warc
 from gondola.llm.common import table
 
 
@@ -37,5 +37,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_language_id, op4_quality, op6_fingerprints, op7_url_filters, op8_mixing, op9_toxicity)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.links(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_language_id, op4_quality, op6_fingerprints, op7_url_filters, op8_mixing, op9_toxicity, op10_jaccard_join)}
 ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
