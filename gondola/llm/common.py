@@ -104,8 +104,7 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (letters A-Z lower-cased) of all texts in order, and the number of words of each text."""
+def _word_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
     word = ~IS_SPACE[raw]
     edges = np.diff(word.view(np.int8), prepend=np.int8(0))
@@ -113,12 +112,42 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     counts = np.bincount(np.searchsorted(np.cumsum(lens), starts, side="right"), minlength=len(texts))
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), counts
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), counts
     size = ends - starts
     first = np.cumsum(size) - size
     at = np.arange(int(size.sum())) - np.repeat(first, size)
     value = (raw[word].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[at]
-    return mix64(np.add.reduceat(value, first)), counts
+    return mix64(np.add.reduceat(value, first)), size, counts
+
+
+def cut_long(text: bytes, limit: int) -> Iterator[bytes]:
+    """A text in parts of about limit bytes that end at white space; a longer word stays whole."""
+    at = 0
+    while len(text) - at > limit:
+        end = min((k for k in (text.find(bytes([c]), at + limit) for c in SPACES) if k >= 0), default=len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def word_stream(texts: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes and byte lengths of the words (letters A-Z lower-cased) of all texts in order, and the number of words of each text. Long texts are hashed in parts, so memory beyond the result is bounded."""
+    parts, of = [], []
+    for i, t in enumerate(texts):
+        for x in cut_long(t, limit):
+            parts.append(x)
+            of.append(i)
+    found = [_word_stream(parts[lo:hi]) for lo, hi in pieces(parts, limit)]
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    hashes, sizes, counts = (np.concatenate(x) for x in zip(*found))
+    return hashes, sizes, np.bincount(of, weights=counts, minlength=len(texts)).astype(np.int64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and counts of word_stream."""
+    hashes, _, counts = word_stream(texts)
+    return hashes, counts
 
 
 #: Odd multipliers, one for each place in a shingle.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.llm import chosenpath, digest, langid, linkgraph, mixing, quality, toxicity, warc
+from gondola.llm import chosenpath, decontaminate, digest, langid, linkgraph, mixing, quality, toxicity, warc
 from gondola.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.links(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_language_id, op4_quality, op6_fingerprints, op7_url_filters, op8_mixing, op9_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_language_id, op4_quality, op5_decontamination, op6_fingerprints, op7_url_filters, op8_mixing, op9_toxicity, op10_jaccard_join)}
 ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
