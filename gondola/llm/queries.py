@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.llm import chosenpath, decontaminate, digest, langid, linkgraph, mixing, quality, toxicity, warc
+from gondola.llm import chosenpath, decontaminate, digest, langid, linkgraph, mixing, mixlm, quality, toxicity, warc
 from gondola.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.links(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_language_id, op4_quality, op5_decontamination, op6_fingerprints, op7_url_filters, op8_mixing, op9_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_score, op3_language_id, op4_quality, op5_decontamination, op6_fingerprints, op7_url_filters, op8_mixing, op9_toxicity, op10_jaccard_join)}
 ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
