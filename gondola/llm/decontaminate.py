@@ -183,7 +183,7 @@ class Index:
         return [(t, self.items[k][0], *v) for (t, k), v in sorted(best.items())]
 
 
-def passes(items: DataFrame) -> list[list[tuple[int, bytes]]]:
+def passes(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items in groups of about PASS_BYTES of text, dealt by a hash of the id and text; each is collected by itself."""
     able = items.where(F.octet_length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = able.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -204,7 +204,7 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for group in passes(items):
 
-        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group: list = group) -> Iterator[pa.RecordBatch]:
             index = Index(group, radius, similarity, shingle)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
@@ -217,17 +217,22 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
     return out
 
 
+def _free_of(group: list[tuple[int, bytes]], radius: int, similarity: float, shingle: int):
+    """A column function: whether a text holds none of these items. The index is built once for a task."""
+
+    @F.pandas_udf("boolean")
+    def free(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(group, radius, similarity, shingle)
+        for t in texts:
+            held = {i for i, *_ in index.find([x.encode() if isinstance(x, str) else b"" for x in t])}
+            yield pd.Series([i not in held for i in range(len(t))], dtype=bool)
+
+    return free
+
+
 def clean(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that hold no item, with their columns as they are."""
     small_batches(docs.sparkSession)
     for group in passes(items):
-
-        @F.pandas_udf("boolean")
-        def free(texts: Iterator[pd.Series], group=group) -> Iterator[pd.Series]:
-            index = Index(group, radius, similarity, shingle)
-            for t in texts:
-                held = {i for i, *_ in index.find([x.encode() if isinstance(x, str) else b"" for x in t])}
-                yield pd.Series([i not in held for i in range(len(t))], dtype=bool)
-
-        docs = docs.where(free(docs["text"]))
+        docs = docs.where(_free_of(group, radius, similarity, shingle)(docs["text"]))
     return docs
