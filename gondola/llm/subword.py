@@ -42,18 +42,29 @@ def gram_buckets(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
     return out
 
 
-def spread(raw: np.ndarray, starts: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct buckets and their shares in each segment, as (segment, bucket, share)."""
-    segment = np.zeros(len(raw), dtype=np.int64)
+def spread(raw: np.ndarray, starts: np.ndarray, orders: tuple[int, ...], bits: int, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets and their shares in each segment, as (segment, bucket, share); about limit bytes are worked on at once."""
+    ends, out, lo = np.append(starts[1:], len(raw)), [], 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + limit, side="right")))
+        # A gram may reach into the next segment, as it does when all are worked on at once.
+        rows, buckets, shares = _spread(raw[starts[lo] : ends[hi - 1] + max(orders) - 1], starts[lo:hi] - starts[lo], int(ends[hi - 1] - starts[lo]), orders, bits)
+        out.append((rows + np.int32(lo), buckets, shares))
+        lo = hi
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+
+
+def _spread(raw: np.ndarray, starts: np.ndarray, size: int, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    segment = np.zeros(size, dtype=np.int64)
     segment[starts[1:]] = 1
     segment = np.cumsum(segment)
     keys = []
     for n in orders:
-        b = gram_buckets(raw, n, bits)
+        b = gram_buckets(raw, n, bits)[:size]
         own = b < 1 << bits
         keys.append(segment[own] << bits | b[own])
     keys, counts = np.unique(np.concatenate(keys), return_counts=True)
-    rows = keys >> bits
+    rows = (keys >> bits).astype(np.int32)
     total = np.bincount(rows, weights=counts, minlength=len(starts))
     return rows, (keys & (1 << bits) - 1).astype(np.int32), (counts / total[rows]).astype(np.float32)
 
@@ -97,12 +108,13 @@ def train(rows, buckets, shares, labels, classes: int, bits: int, dim: int = 8,
             p /= p.sum(1, keepdims=True)
             g = (p - once[own]) / len(own)
             back = np.repeat(g @ weights.T, sizes, axis=0) * s
-            weights -= 0.05 * now * mean.T @ g
-            bias -= 0.01 * now * g.sum(0)
+            # Steps are bounded, so that no rate makes the values overflow.
+            weights -= np.clip(0.05 * now * mean.T @ g, -1, 1)
+            bias -= np.clip(0.01 * now * g.sum(0), -1, 1)
             order_b = np.argsort(b, kind="stable")
             sorted_b = b[order_b]
             new = np.flatnonzero(np.diff(sorted_b, prepend=-1))
-            table[sorted_b[new]] -= now * len(own) * 0.25 * np.add.reduceat(back[order_b], new)
+            table[sorted_b[new]] -= np.clip(now * len(own) * 0.25 * np.add.reduceat(back[order_b], new), -1, 1)
     return np.vstack([table @ weights, np.zeros((1, classes), dtype=np.float32)]).astype(np.float32), bias.astype(np.float64)
 
 
