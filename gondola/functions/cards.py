@@ -14,6 +14,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 SKIPPED = {"script", "style", "noscript", "template"}
 #: Tags that a new tag of the same kind ends.
 ENDED = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+#: Tags that such an end does not reach beyond.
+HOLDERS = {"ul", "ol", "table", "tbody", "thead", "body", "div", "section", "article", "select"}
 _PRICE = re.compile(PRICE)
 # Fixed values of card reading.
 PRICE_NODES, ANCESTORS, LEAST_CARDS, MOST_CARDS, MOST_PRICES = 500, 5, 2, 200, 3
@@ -74,8 +76,12 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skip += 1
-        if self.now.tag in ENDED.get(tag, ()):
-            self.now = self.now.parent
+        for node in (self.now, *self.now.up()):
+            if node.tag in ENDED.get(tag, ()):
+                self.now = node.parent
+                break
+            if node.tag in HOLDERS or (tag == "p" and node.tag == "li"):
+                break
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
         self.now.children.append(node)
         if tag not in VOID:
