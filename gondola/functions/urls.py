@@ -12,7 +12,8 @@ from gondola.functions.text import arrow_function, empty_to_null, squeeze
 
 # The paths under which shops keep their catalogues, and those tried for a search.
 ROOT_PATHS = ("produtos", "categorias", "categoria", "departamentos", "departamento", "shop", "catalog", "catalogo", "listar.php", "loja")
-SEARCH_PATHS = ("busca?q={}", "buscar?q={}", "search?q={}", "pesquisa?q={}", "?s={}")
+COMMON_PATHS = ("listar.php", "produtos", "ofertas", "ofertas-por-cidade")
+SEARCH_PATHS = ("catalogsearch/result/?q=", "busca/", "busca?busca=", "search?q=", "pesquisa?busca=")
 
 
 def ensure_scheme(url: Column) -> Column:
@@ -66,8 +67,9 @@ def encode_component(x: Column) -> Column:
 
 
 def search_candidates(url: Column, query: Column) -> Column:
-    parts = [F.concat(origin(url), F.lit("/" + p.partition("{}")[0]), encode_component(query)) for p in SEARCH_PATHS]
-    return F.array(ensure_scheme(url), *parts)
+    """The common pages of a shop and its searches for a query."""
+    found = [F.concat(origin(url), F.lit("/" + p)) for p in COMMON_PATHS]
+    return F.array(*found, *(F.concat(origin(url), F.lit("/" + p), encode_component(query)) for p in SEARCH_PATHS))
 
 
 def numbered_pages(url: Column, most: Column, limit: int) -> Column:

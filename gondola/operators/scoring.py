@@ -20,6 +20,7 @@ SECTION = (("departamento|departamentos|department", 25), ("categoria|categorias
 SECTION_LINK = (("ver mais|ver tudo|mostrar mais|mostrar tudo", 34), (THEMED, 22), ("categor|depart|produt|busca|search|shop|listar", 18))
 RELATED = (("todos os produtos|ver tudo|mostrar tudo", 42), ("ver mais|mostrar mais|mais produtos", 34), ("categoria|subcategoria|departamento", 20))
 RELATED_LINK = (("/categorias?/", 16), (PAGE_MARK, 18))
+RELATED_ABLE = r"page=|pagina=|/page/\d+|ver mais|mostrar mais|mais produtos|todos os produtos|ver tudo|mostrar tudo|categoria|subcategoria|departamento|produt|busca|search|shop|listar"
 SECTION_RELATED = ((PAGE_MARK, 22), ("categor|subcategor|depart|busca|search|shop|produt|listar", 18), ("ver-mais|mostrar-mais|todos|tudo", 10), ("oferta|promoc|encarte", -28))
 DISCOVERED = (("listar todos os produtos", 40), ("todos os produtos|ver tudo|mostrar tudo", 34), ("ver mais|mostrar mais|mais produtos", 28), ("produtos", 20), ("categoria|departamento|subcategoria", 18), ("ofertas|encarte", 6))
 DISCOVERED_LINK = (("/categorias?/", 16), ("/departamentos?/", 12))

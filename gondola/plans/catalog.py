@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.functions import badges, prices, text
+from gondola.functions import badges, prices, text, urls
 from gondola.operators import pages as page_ops
 from gondola.operators import ranking, scoring
 
@@ -55,6 +55,27 @@ def catalogue(pages: DataFrame, captures: DataFrame, sections: DataFrame, most_p
     return ranking.distinct_products(normalised_products(ordered)).drop("seq")
 
 
+def section_pages(links: DataFrame, most: int = PAGES) -> DataFrame:
+    """(sectionUrl, pageUrl, place): the section's own page, related pages by score, explicit numbered pages and those that page numbers imply; each URL once, at most `most` a section. links: (url, seq, href, text) of each section's page."""
+    hay = scoring.both(F.col("text"), F.col("href"))
+    on_site = links.where(F.col("href").startswith(urls.origin(F.col("url"))) & ~scoring.like(F.col("href"), scoring.PRODUCT_PAGE) & ~scoring.like(hay, scoring.ACCOUNT))
+    own = links.select(F.col("url").alias("sectionUrl"), F.col("url").alias("pageUrl")).distinct().withColumn("kind", F.lit(0)).withColumn("at", F.lit(0))
+    related = on_site.where(scoring.like(hay, scoring.RELATED_ABLE)).withColumn("score", scoring.related_score(F.col("text"), F.col("href"), F.col("url")))
+    related = ranking.top(related, ["url"], [F.col("score").desc(), F.col("seq")], 2 * most).select(F.col("url").alias("sectionUrl"), F.col("href").alias("pageUrl"), F.lit(1).alias("kind"), F.col("rank").alias("at"))
+    explicit = on_site.where(scoring.like(F.col("href"), scoring.PAGE_MARK)).select(F.col("url").alias("sectionUrl"), F.col("href").alias("pageUrl"), F.lit(2).alias("kind"), F.col("seq").alias("at"))
+    number = F.regexp_extract("text", r"^\s*(\d{1,9})", 1).try_cast("int")
+    last = on_site.groupBy("url").agg(F.max(F.when(number.between(2, most), number)).alias("last"))
+    implied = last.select(F.col("url").alias("sectionUrl"), F.posexplode(urls.numbered_pages(F.col("url"), F.col("last"), most)).alias("at", "pageUrl")).select("sectionUrl", "pageUrl", F.lit(3).alias("kind"), "at")
+    every = own.unionByName(related).unionByName(explicit).unionByName(implied)
+    once = ranking.keep_first(every, ["sectionUrl", "pageUrl"], [F.col("kind"), F.col("at")])
+    return ranking.top(once, ["sectionUrl"], [F.col("kind"), F.col("at")], max(most, 1)).select("sectionUrl", "pageUrl", F.col("rank").alias("place"))
+
+
+def enough(n_items: Column, url: Column) -> Column:
+    """Whether the first candidate's items suffice: 20, or 5 on a page that isn't the site's root."""
+    return (n_items >= 20) | (~urls.root_like(url) & (n_items >= 5))
+
+
 def frontier(links: DataFrame, seeds: DataFrame, able: Column | None = None, rounds: int = 10, most: int = ROOTS) -> DataFrame:
     """(url, depth) of at most `most` pages reached from seeds (url) over links (url, href), breadth first, each once.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -101,8 +100,4 @@ def post_rows(rows: DataFrame, url: str, order: list[str], post: Callable[[str,
 def job_event(jobs: DataFrame) -> DataFrame:
     """(id, body): the event of each finished job."""
     done = jobs.where(F.col("status").isin("completed", "failed"))
-    return done.select("id", F.to_json(F.struct(F.concat(F.lit("job."), F.col("status")).alias("event"), F.struct(*jobs.columns).alias("job"))).alias("body"))
-
-
-def as_line(row: dict) -> str:
-    return json.dumps(row, ensure_ascii=False, default=str)
+    return done.select("id", F.to_json(F.struct(F.concat(F.lit("catalog."), F.col("status")).alias("event"), F.struct(*jobs.columns).alias("job"))).alias("body"))

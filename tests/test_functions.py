@@ -88,7 +88,7 @@ def test_urls(spark):
     assert one(spark, urls.host, "https://www.Loja.com:8080/a") == "loja.com" and one(spark, urls.host, "not a url") is None
     assert one(spark, lambda u: urls.numbered_pages(u, F.lit(5), 3), "http://a/b?page=9&x=1#f") == ["http://a/b?x=1&page=2", "http://a/b?x=1&page=3"]
     assert one(spark, lambda u: urls.numbered_pages(u, F.lit(1), 3), "http://a/b") == []
-    assert one(spark, lambda u: urls.search_candidates(u, F.lit("arroz 5kg")), "http://a/b")[1] == "http://a/busca?q=arroz%205kg"
+    assert one(spark, lambda u: urls.search_candidates(u, F.lit("arroz 5kg")), "http://a/b")[5] == "http://a/busca/arroz%205kg"
     assert [one(spark, lambda u: urls.product_link(u, F.lit("http://a/b/c")), v) for v in ("x-1", "/p/2", "https://z/q", "a b")] == ["http://a/produto/x-1", "http://a/p/2", "https://z/q", None]
     routed = lambda u: urls.adapter(u, F.lit("auto"), {"chain.example": "shelf"})
     assert one(spark, routed, "http://www.chain.example/x") == "shelf" and one(spark, routed, "http://b") == "generic"

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gondola import schemas
-from gondola.operators import ledger, pages, ranking, summaries
-from gondola.plans import catalog
+from gondola.operators import ledger, pages, ranking, shelves, summaries
+from gondola.plans import catalog, runs
 from gondola.sources import readers, sinks
 from gondola.streaming import tail
 from tests.test_functions import ITEM, PAGE
@@ -147,7 +147,7 @@ def test_webhooks(spark):
     calls = sinks.post_rows(rows, "http://x", ["batchIndex"], post).collect()
     assert sorted(str(r["error"]) for r in calls) == ["None", "down", "status 500"]
     event = sinks.job_event(spark.createDataFrame([("1", "completed"), ("2", "running")], "id string, status string")).collect()
-    assert len(event) == 1 and json.loads(event[0]["body"])["event"] == "job.completed"
+    assert len(event) == 1 and json.loads(event[0]["body"])["event"] == "catalog.completed"
 
 
 def test_flat_catalogs_product_keys_win(spark):
@@ -182,3 +182,38 @@ def test_frontier_is_bounded_and_has_no_repeats(spark):
     seeds = spark.createDataFrame([("a",)], "url string")
     assert sorted(map(tuple, catalog.frontier(links, seeds, F.lit(True)).collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]
     assert catalog.frontier(links, seeds, F.lit(True), most=3).count() == 3 and catalog.visit_cap(8) == 32 and catalog.visit_cap(1) == 7
+
+
+SHELF = """<h1>23 Produtos</h1><a href="/departamentos/padaria">Padaria </a><a href="/departamentos/padaria">de novo</a><a>1</a><a>3</a><a>900</a>
+<div class="card"><a href="/produto/77/pao"><span>Pão</span></a><img alt="Pão francês" src="/p.png"><b>R$ 1.299,90 /KG</b><i>R$ 999,00</i></div>
+<div class="card"><img alt="Bolo"><b>R$ 5</b></div><div class="card"><img alt="Broa"><b>R$ 4,00</b></div>"""
+
+
+def test_shelf_pages(spark):
+    rows = spark.createDataFrame([("d", "Padaria", "http://s/d", 1, "http://s/d?p=1", SHELF, "Rede - Gaspar (SC)", "Gaspar")], shelves.PAGES)
+    a, b = shelves.products(rows, "div.card").orderBy("row_id").collect()[::-1]
+    assert (a["row_id"], a["product_id"], a["price"], a["original_price_value"], a["discount_percent"], a["unit"], a["product_url"]) == ("d-1-77", "77", "R$ 999,00", 1299.9, 23, "/kg", "http://s/produto/77/pao")
+    assert (b["row_id"], b["name"], b["original_price"], b["unit"]) == ("d-1-3", "Broa", None, None)
+    assert shelves.products(rows, "div.card").columns == [f.split(" ")[0] for f in schemas.SHELF_PRODUCT.split(", ")]
+    links = pages.links(rows.select(F.lit(1).alias("page_id"), "url", "html"))
+    assert [tuple(r) for r in shelves.departments(links).select("id", "label").collect()] == [("padaria", "Padaria")]
+    assert rows.select(pages.total_products("html")).first()[0] == 23
+
+
+def test_section_pages_in_order(spark):
+    links = spark.createDataFrame([(1, "http://a/s", k, h, t, False, False) for k, (h, t) in enumerate([("http://a/s?page=4", "4"), ("http://a/categorias/x", "Ver tudo"), ("http://b/y", "Ver tudo"), ("http://a/login", "Ver tudo"), ("http://a/produto/1", "x")])], "page_id int, url string, seq int, href string, text string, has_image boolean, in_frame boolean")
+    got = [r["pageUrl"] for r in catalog.section_pages(links, 8).orderBy("place").collect()]
+    assert got == ["http://a/s", "http://a/categorias/x", "http://a/s?page=4", "http://a/s?page=2", "http://a/s?page=3"]
+    assert catalog.section_pages(links, 2).count() == 2
+
+
+def test_runs(spark):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    sources = spark.createDataFrame([("a", "A", "http://a", None, None), ("b", "B", "http://b", "x", None)], "id string, label string, url string, lastError string, latestJobId string")
+    started = runs.started(sources, "manual", at)
+    assert {r["status"] for r in started.collect()} == {"running"}
+    results = spark.createDataFrame([("a", "generic", 2, 10, True, None), ("b", None, None, None, None, "boom")], "sourceId string, adapterId string, totalSections int, totalProducts int, catalogDetected boolean, message string")
+    jobs = {r["sourceId"]: r for r in runs.finished(started, results, at).collect()}
+    assert jobs["a"]["status"] == "completed" and jobs["a"]["metrics"]["totalProducts"] == 10 and jobs["b"]["status"] == "failed" and jobs["b"]["error"]["message"] == "boom"
+    after = {r["id"]: r for r in runs.patched_sources(sources.withColumn("lastRunAt", F.lit(None).cast("timestamp")).withColumn("lastSuccessAt", F.lit(None).cast("timestamp")), runs.finished(started, results, at)).collect()}
+    assert after["a"]["lastError"] is None and after["a"]["lastSuccessAt"] and after["a"]["latestJobId"] and after["b"]["lastError"] == "boom" and after["b"]["lastSuccessAt"] is None
