@@ -6,7 +6,8 @@ digest names for each bucket the quarter of the bucket counts it is in, and the
 Defined results:
 - null text is empty; texts of fewer than three bytes have no triplets, so their digest is that of the length and of a
   checksum of the bytes; equal texts have equal digests;
-- a null id comes first in order, then by id; rows of equal id are ordered by text; the last row's next is the first;
+- a null id comes first in order, then by id; rows of equal id are ordered by a hash of the text; the last row's next is
+  the first;
 - a table of one row is its own next; an empty table gives no rows; extra input columns are ignored.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,45 +86,55 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+WALKED = f"part int, kind string, {OUT}, text string"
+
+
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row of OUT for each row of docs (doc_id, text).
 
-    Ids are cut into ranges of about equal numbers of rows; each range also gets the first row of the next one, and the
-    last the very first, so whole texts move once and a task walks its range in order with one row in hand.
+    Rows are dealt into ranges of ids (rows of one id may be in several) and sorted, so that a task walks its range with
+    one row in hand. The first and last row of each range are kept besides; each last one is then joined with the first
+    of the next range, which is a row a range.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / (4 * parts) for k in range(1, 4 * parts)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))  # at most 4 ids for each partition
-    # The place of an id among the cuts: an array search that each row does in memory.
-    at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0))
-    firsts = saved(docs.select("doc_id", at.alias("bucket")).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("first")).select("bucket", "first.*"), "digest-firsts")
-    order = [(r["bucket"], r["doc_id"]) for r in firsts.orderBy("bucket").collect()]  # one row for each range
-    before = {i: order[k - 1][0] for k, (_, i) in enumerate(order)}
-    extra = F.create_map(*[F.lit(x) for i, b in before.items() if i is not None for x in (i, b)]) if any(i is not None for i in before) else None
-    ahead = extra[F.col("doc_id")] if extra is not None else F.lit(None).cast("int")
-    if None in before:
-        ahead = F.when(F.col("doc_id").isNull(), F.lit(before[None])).otherwise(ahead)
-    rows = docs.select("doc_id", "text", at.alias("bucket")).withColumn("ahead", ahead)
-    wanted = F.array(F.struct(F.col("bucket").alias("range"), F.lit(False).alias("guest")), F.struct(F.col("ahead").alias("range"), F.lit(True).alias("guest")))
-    rows = rows.select("doc_id", "text", F.explode(F.filter(wanted, lambda w: w["range"].isNotNull())).alias("to"))
-    rows = rows.select("to.range", "to.guest", "doc_id", "text").repartition(parts, "range").sortWithinPartitions("range", "guest", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("hash"), F.col("row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
+
+    def judged(doc_id, text: str, own: str, following: str, after: str) -> tuple:
+        new = edited(text, following).encode()
+        of_new = fingerprint(new)
+        return doc_id, len(text), hashlib.sha256(new).hexdigest(), own, of_new, likeness(own, of_new), likeness(own, after)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # range, id, text, fingerprint of the row whose next is to come
-        for batch in batches:
+        part, held = TaskContext.get().partitionId(), None  # id, text and fingerprint of the row whose next is to come
+        edge = lambda kind, row: (part, kind, row[0], None, None, row[2], None, None, None, row[1])
+        for found in batches:
             out = []
-            for range_, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                text = text or ""
-                own = fingerprint(text.encode())
-                if held and held[0] == range_:
-                    new = edited(held[2], text).encode()
-                    of_new = fingerprint(new)
-                    out.append((held[1], len(held[2]), hashlib.sha256(new).hexdigest(), held[3], of_new, likeness(held[3], of_new), likeness(held[3], own)))
-                held = None if guest else (range_, doc_id, text, own)
+            for doc_id, text in zip(*(c.to_pylist() for c in found.columns)):
+                row = (doc_id, text or "", fingerprint((text or "").encode()))
+                out.append((part, "row", *judged(*held, *row[1:]), None) if held else edge("first", row))
+                held = row
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
+                yield batch(out)
+        if held:
+            yield batch([edge("last", held)])
 
-    return rows.mapInArrow(walk, OUT)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches:
+            out = [judged(*row) for row in zip(*(c.to_pylist() for c in found.columns))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), list(schema)[2:-1])], names=schema.names[2:-1])
+
+    walked = saved(ranged.mapInArrow(walk, WALKED), "digest-rows")
+    ranges = sorted(r["part"] for r in walked.where("kind = 'last'").select("part").collect())  # a number for each range
+    after = spark.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1])), "part int, next int")
+    first = walked.where("kind = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"), F.col("fingerprint").alias("after"))
+    last = walked.where("kind = 'last'").select("part", "doc_id", "text", "fingerprint").join(after, "part").join(first, "next")
+    ends = last.select("doc_id", "text", "fingerprint", "following", "after").mapInArrow(meet, OUT)
+    return walked.where("kind = 'row'").select(*ends.columns).unionByName(ends)

@@ -1,6 +1,8 @@
 import hashlib
 
+import numpy as np
 import pytest
+import xxhash
 
 from gondola.llm import digest
 from gondola.llm.common import table
@@ -9,7 +11,8 @@ from tests.llm.frames import documents
 
 def brute(rows):
     """The contract by a plain loop over the sorted rows; the digest functions are the operator's own."""
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    place = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), seed=42)).view(np.int64))
+    rows = [(i, t or "") for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, 42 if r[1] is None else place(r[1])))]
     out = []
     for k, (i, t) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
