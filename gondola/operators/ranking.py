@@ -105,12 +105,11 @@ def in_chunks(rows: DataFrame, group: list[str], order: list[Column], size: int)
 
 
 def page_of(rows: DataFrame, group: list[str], order: list[Column], after: int, limit: int) -> DataFrame:
-    """Lines after+1 to after+limit of each group, with line, total and nextAfter."""
-    own = Window.partitionBy(*group)
-    out = rows.withColumn("line", F.row_number().over(own.orderBy(*order))).withColumn("total", F.count("*").over(own))
-    most = max(limit, 1)
-    last = F.least(F.col("total"), F.lit(after + most))
-    return out.where((F.col("line") > after) & (F.col("line") <= after + most)).withColumn("nextAfter", last.cast("int"))
+    """Lines after+1 to after+limit of each group, with line, total and nextAfter. Each task keeps no more than the first after+limit lines of a group before the shuffle; totals are counted apart."""
+    most = after + max(limit, 1)
+    totals = rows.groupBy(*group).agg(F.count("*").alias("total"))
+    out = top(rows, group, order, most).where(F.col("rank") > after).withColumnRenamed("rank", "line").join(totals, group)
+    return out.withColumn("nextAfter", F.least(F.col("total"), F.lit(most)).cast("int"))
 
 
 def distinct_in_order(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
