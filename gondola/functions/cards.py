@@ -154,17 +154,18 @@ def card_badges(node: Node) -> list[str]:
 
 
 def card(node: Node) -> dict | None:
-    """The item of a card: lowest price as current, highest as original; None without a price or with more than three."""
+    """The item of a card: lowest price as current, highest as original; None without a name or price or with more than three prices."""
     text = node.text()
     prices = [p for t in _PRICE.findall(text) if (p := price_of(t)) is not None]
-    if not 1 <= len(prices) <= MOST_PRICES:
+    name = card_name(node)
+    if not name or not 1 <= len(prices) <= MOST_PRICES:
         return None
     link, current, original = first_link(node), min(prices), max(prices)
     ids = [x.attrs[k] for x in node.walk() for k in ("data-idproduct", "data-product-id", "data-id") if x.attrs.get(k)]
     in_link = re.search(r"/(\d+)(?:/|$|\?)", link or "")
     return {
         "id": ids[0] if ids else in_link[1] if in_link else None,
-        "name": card_name(node),
+        "name": name,
         "current": current,
         "original": original if original > current else None,
         "promotion": original > current or bool(PROMOTED.search(text)),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions import cards, payloads, urls
 from gondola.functions.badges import badge_list
+from gondola.functions.badges import campaign_label as badge_campaign
 from gondola.functions.prices import format_price
 from gondola.functions.text import SPACE
 from gondola.operators import ranking, scoring
@@ -106,7 +107,7 @@ def payload_items(captures: DataFrame, most: int, matches: int = 8) -> DataFrame
     items = best.select("page_url", "rank", F.posexplode("items").alias("k", "item")).select("page_url", F.struct("rank", "k").alias("seq"), "item.*")
     shaped = items.select("*", format_price(F.col("current")).alias("price"), F.col("original").alias("originalPrice"), F.col("discount").alias("discountPercent"), F.col("label").alias("promotionLabel"), F.col("limit_text").alias("limitText"), F.col("label").alias("campaignLabel"), F.col("club").alias("isClubOffer"), F.col("exclusive").alias("isSiteExclusive"))
     once = ranking.distinct_extracted(shaped.withColumn("badges", badge_list(F.col("badges"))), ["page_url"])
-    return ranking.top(once, ["page_url"], [F.col("seq")], most).select("page_url", F.col("rank").alias("seq"), "id", "name", "current", "original", "promotion", F.col("label"), "discount", "badges", F.col("limit_text"), "club", "exclusive", "unit", "image", "link")
+    return ranking.top(once, ["page_url"], [F.col("seq")], most).select("page_url", F.col("rank").alias("seq"), "id", "name", "current", "original", "promotion", F.col("label"), badge_campaign(F.col("label"), F.col("badges")).alias("campaign"), "discount", "badges", F.col("limit_text"), "club", "exclusive", "unit", "image", "link")
 
 
 def extracted(pages: DataFrame, config: dict) -> DataFrame:

@@ -26,7 +26,7 @@ def normalised_products(items: DataFrame) -> DataFrame:
         text.empty_to_null(F.col("id")).alias("id"), "name", prices.format_price(F.col("current")).alias("price"), F.col("current").alias("priceValue"),
         F.when(higher, prices.format_price(F.col("original"))).alias("originalPrice"), F.when(higher, F.col("original")).alias("originalPriceValue"),
         (F.coalesce("promotion", F.lit(False)) | F.coalesce(higher, F.lit(False))).alias("isPromotion"), F.col("label").alias("promotionLabel"), "badges",
-        badges.product_campaign(F.col("label"), F.col("sectionLabel"), F.col("badges")).alias("campaignLabel"), limit.alias("limitText"),
+        badges.product_campaign(F.coalesce("campaign", "label"), F.col("sectionLabel"), F.col("badges")).alias("campaignLabel"), limit.alias("limitText"),
         (F.coalesce("club", F.lit(False)) | badges.club_offer(F.col("badges"))).alias("isClubOffer"), (F.coalesce("exclusive", F.lit(False)) | badges.site_exclusive(F.col("badges"))).alias("isSiteExclusive"),
         prices.discount_percent(F.col("discount"), F.col("current"), F.col("original")).alias("discountPercent"), text.empty_to_null(F.col("unit")).alias("unit"),
         "image", "link", "sectionId", "sectionLabel", "sectionUrl", "pageUrl", "seq",
@@ -36,7 +36,7 @@ def normalised_products(items: DataFrame) -> DataFrame:
 def page_candidates(pages: DataFrame, captures: DataFrame, most: int = ITEMS) -> DataFrame:
     """For each page its items, from the captures only if those gave strictly more. captures: (page_url, seq, url, content_type, body)."""
     dom = ranking.top(page_ops.page_items(pages), ["url"], [F.col("seq")], most).drop("rank")
-    dom = dom.select(F.col("url").alias("pageUrl"), "seq", "id", "name", "current", "original", "promotion", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("discount"), "badges", F.lit(None).cast("string").alias("limit_text"), F.lit(None).cast("boolean").alias("club"), F.lit(None).cast("boolean").alias("exclusive"), F.lit(None).cast("string").alias("unit"), "image", "link", F.lit("dom").alias("strategy"))
+    dom = dom.select(F.col("url").alias("pageUrl"), "seq", "id", "name", "current", "original", "promotion", badges.promotion_from_badges(F.col("badges")).alias("label"), badges.promotion_from_badges(F.col("badges")).alias("campaign"), F.lit(None).cast("string").alias("discount"), "badges", F.lit(None).cast("string").alias("limit_text"), F.lit(None).cast("boolean").alias("club"), F.lit(None).cast("boolean").alias("exclusive"), F.lit(None).cast("string").alias("unit"), "image", "link", F.lit("dom").alias("strategy"))
     network = page_ops.payload_items(captures, most).withColumnRenamed("page_url", "pageUrl").withColumn("strategy", F.lit("network"))
     every = dom.unionByName(network)
     n = every.groupBy("pageUrl").agg(F.count_if(F.col("strategy") == "dom").alias("dom"), F.count_if(F.col("strategy") == "network").alias("network"))
