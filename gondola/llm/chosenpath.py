@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import SHINGLE, SIMILARITY, free_name, mix64, pieces, saved, shingle_hashes, small_batches, text_bytes, word_hashes
+from gondola.llm.common import SHINGLE, SIMILARITY, free_name, mix64, pieces, saved, scratch, shingle_hashes, small_batches, text_bytes, word_hashes
 
 RECALL = 0.9995
 LIMIT = 64
@@ -380,25 +380,32 @@ def classes(sets: DataFrame, runs: int, similarity: float = SIMILARITY) -> DataF
 
 def links(docs: DataFrame, recall: float = RECALL, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, class_id, links of each row of docs (doc_id, text): its group's smallest id, and the number of other documents of the similarity or more."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     runs = runs_for(recall, similarity)
-    sets = saved(token_sets(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), orders(runs), shingle), "join-sets")
-    found = saved(classes(sets, runs, similarity), "join-found")
-    ids = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(found.select("digest", "root"), "digest")
-    named = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    out = sets.select("doc_id", "digest").join(found.join(named, "root").select("digest", "class_id", "links"), "digest", "left")
+    with scratch(spark):
+        sets = saved(token_sets(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), orders(runs), shingle), "join-sets")
+        found = saved(classes(sets, runs, similarity), "join-found")
+        ids = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(found.select("digest", "root"), "digest")
+        named = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+        rows = saved(sets.select("doc_id", "digest"), "join-rows", keep=True)
+        named = saved(found.join(named, "root").select("digest", "class_id", "links"), "join-named", keep=True)
+    out = rows.join(named, "digest", "left")
     return out.select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def one_of_each(docs: DataFrame, recall: float = RECALL, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs without all but the first (smallest id, then as read) of each group, with their columns as they are."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     runs = runs_for(recall, similarity)
     uid = free_name(docs, "uid")
-    rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "join-rows")
-    sets = saved(token_sets(rows.select(F.col(uid).alias("uid"), "doc_id", "text"), orders(runs), shingle), "join-sets")
-    found = classes(sets, runs, similarity).select("digest", "root")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    firsts = sets.where("n > 0").groupBy("digest").agg(F.min(place).alias("place")).join(found, "digest").groupBy("root").agg(F.min("place").alias("place"))
-    stay = saved(firsts.select("place.uid").unionByName(sets.where("n = 0").select("uid")), "join-stay")
-    return rows.join(stay.withColumnRenamed("uid", uid), uid, "left_semi").drop(uid)
+    rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "join-rows", keep=True)
+    with scratch(spark):
+        sets = saved(token_sets(rows.select(F.col(uid).alias("uid"), "doc_id", "text"), orders(runs), shingle), "join-sets")
+        found = classes(sets, runs, similarity).select("digest", "root")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+        firsts = sets.where("n > 0").groupBy("digest").agg(F.min(place).alias("place")).join(found, "digest").groupBy("root").agg(F.min("place").alias("place"))
+        stay = saved(firsts.select("place.uid").unionByName(sets.where("n = 0").select("uid")), "join-stay", keep=True)
+    # The list of rows that stay grows with the input: merged at every size, never broadcast.
+    return rows.join(stay.withColumnRenamed("uid", uid).hint("merge"), uid, "left_semi").drop(uid)
