@@ -4,7 +4,8 @@ DataFrame functions only. Defined results:
 - null url, or one without `://`: host and path are empty; such pages share the host "";
 - null or empty html has no links; links without a host of their own stay on their host and pass nothing on;
 - repeated rows each get a row and each count; an empty table gives no rows; extra input columns are ignored;
-- a host that neither trust nor distrust reaches is allowed.
+- a host that neither trust nor distrust reaches, over any number of links, is allowed; a score too small for a double
+  is 0.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from gondola.llm.common import saved
 #: (verdict, host and path) of each rule: the host reaches to the first slash, the path begins with it.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 DAMPING = 0.85
+#: Rounds before it is first asked whether the ranks have settled. It is no limit.
 ROUNDS = 12
-TOLERANCE = 1e-3
+#: The ranks have settled when no host's score grows by more than this share of itself in a round.
+TOLERANCE = 1e-6
 #: A host is blocked if distrust is more than this share of what reached it.
 THRESHOLD = 0.5
 HREF_RE = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
@@ -52,26 +55,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
+def _deleted(df: DataFrame) -> None:
+    """Delete a table of saved() that nothing reads any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0])
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score): personalised PageRank of kind 'trust' along the edges and of kind 'distrust' against them.
 
     seeds: (kind, host, seed). Each round is a join with the edges and a sum before the shuffle; its ranks are written
-    to the shared folder. It stops when the ranks of all hosts together change by less than tolerance of the seeds.
+    to the shared folder, and those of the round before deleted. Scores only grow, and the largest growth of a host as a
+    share of its own score never rises from round to round: after the first rounds, it stops as soon as that is within
+    tolerance for every host. A host just reached has grown by all of its score, so each that a seed leads to is met.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
     out = both.groupBy("kind", "src").agg(F.sum("links").alias("all_links"))
     flow = saved(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("links") / F.col("all_links") * damping).alias("part")), "link-flow")
-    start = saved(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score")), "link-seeds")
-    mass = start.agg(F.sum("score")).first()[0] or 0.0
-    ranks = start
-    for _ in range(rounds):
+    start = saved(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), F.lit(0.0).alias("before")), "link-seeds")
+    ranks, done, grown = start, 0, 1.0
+    while grown > tolerance:
         sent = flow.join(ranks, ["kind", "host"]).groupBy("kind", "dst").agg(F.sum(F.col("part") * F.col("score")).alias("score"))
-        new = saved(start.unionByName(sent.select("kind", F.col("dst").alias("host"), "score")).groupBy("kind", "host").agg(F.sum("score").alias("score")), "link-ranks")
-        moved = new.unionByName(ranks.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("x")).agg(F.sum("x")).first()[0] or 0.0
-        ranks = new
-        if moved <= tolerance * mass:
-            break
-    return ranks
+        parts = start.unionByName(sent.select("kind", F.col("dst").alias("host"), "score", F.lit(0.0).alias("before")))
+        parts = parts.unionByName(ranks.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before")))
+        new = saved(parts.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "link-ranks")
+        if ranks is not start:
+            _deleted(ranks)
+        ranks, done = new, done + 1
+        if done >= rounds:
+            grown = ranks.where("score > 0").agg(F.max((F.col("score") - F.col("before")) / F.col("score"))).first()[0] or 0.0
+    return ranks.drop("before")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -75,3 +75,24 @@ def test_propagation_passes_shares_on(spark):
     seeds = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "c", 1.0)], "kind string, host string, seed double")
     r = {(x["kind"], x["host"]): x["score"] for x in linkgraph.propagate(edges, seeds).collect()}
     assert r["trust", "b"] == pytest.approx(0.15 * 0.85 / 4) and r["trust", "c"] == pytest.approx(0.15 * 0.85 * 3 / 4) and r["distrust", "a"] == pytest.approx(0.15 * 0.85)
+
+
+def test_chains_and_cycles_are_followed_to_the_end(spark):
+    link = '<a href="http://{}/">t</a>'
+    chain = [(k, f"http://h{k}.x/", link.format(f"h{k + 1}.x")) for k in range(20)] + [(20, "http://h20.x/", link.format("bad.com")), (21, "http://bad.com/en/", "")]
+    assert {r[0]: r[4] for r in got(pages(spark, chain))}[0] == "block"
+    ring = [(f"r{k}", f"r{(k + 1) % 5}", 1 + k % 2) for k in range(5)] + [("r0", "r3", 2), ("r2", "t0", 1)] + [(f"t{k}", f"t{k + 1}", 1) for k in range(16)]
+    out = Counter()
+    for a, _, n in ring:
+        out[a] += n
+    want = {}
+    for _ in range(400):
+        sent = defaultdict(float, {"r0": 0.15})
+        for a, b, n in ring:
+            sent[b] += 0.85 * n / out[a] * want.get(a, 0)
+        want = sent
+    edges = spark.createDataFrame(ring, "src string, dst string, links long")
+    seeds = spark.createDataFrame([("trust", "r0", 1.0)], "kind string, host string, seed double")
+    r = {x["host"]: x["score"] for x in linkgraph.propagate(edges, seeds).collect()}
+    assert r.keys() == want.keys() and "t16" in r
+    assert all(r[k] == pytest.approx(v, rel=1e-4) for k, v in want.items())
