@@ -143,9 +143,9 @@ class Index:
             window.append(which[near])
         return np.concatenate(place), np.concatenate(window)
 
-    def candidates(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distinct (word of the stream where the item would begin, item), given each word's end of text."""
-        found = [np.zeros((0, 2), dtype=np.int64)]
+    def candidates(self, words: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Distinct (text of the window that was found, word of the stream where the item would begin, item), given each word's end of text and text."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
         for lo in range(0, len(words), STRETCH):
             own = words[lo : lo + STRETCH + self.overlap - 1]
             sums = BitSums(own) if len(own) > 1 else None
@@ -156,7 +156,7 @@ class Index:
                 starts = lo + np.arange(len(marks))
                 place, window = self.near(marks, starts + size <= ends[starts], size)
                 if len(place):
-                    found.append(np.stack([lo + place - at[window], item[window]], axis=1))
+                    found.append(np.stack([text[lo + place], lo + place - at[window], item[window]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, int, int]]:
@@ -167,19 +167,15 @@ class Index:
         for first, last in pieces(texts):
             words, sizes, counts = word_stream(texts[first:last])
             ends = np.cumsum(counts)
-            text_end = np.repeat(ends, counts)
-            for at, k in self.candidates(words, text_end):
-                item_id, n, bag = self.items[k]
-                # The window that was found is inside its text, and begins at or after the item would.
-                text = int(np.searchsorted(ends, max(at, 0), side="right"))
-                for t in (text, text + 1):
-                    if t < len(ends):
-                        begin = int(ends[t] - counts[t])
-                        lo, hi = max(int(at), begin), min(int(at) + n, int(ends[t]))
-                        if hi - lo >= self.similarity * n / 2 and hi > lo:
-                            s = likeness(bag, shingle_bag(words[lo:hi], sizes[lo:hi], self.shingle))
-                            if s >= self.similarity and s > best.get((first + t, k), (0,))[0]:
-                                best[first + t, k] = (s, lo - begin, hi - lo)
+            for t, at, k in self.candidates(words, np.repeat(ends, counts), np.repeat(np.arange(len(counts)), counts)).tolist():
+                _, n, bag = self.items[k]
+                # The item would begin in an earlier text if its first words are cut off.
+                begin = int(ends[t] - counts[t])
+                lo, hi = max(at, begin), min(at + n, int(ends[t]))
+                if hi - lo >= self.similarity * n / 2 and hi > lo:
+                    s = likeness(bag, shingle_bag(words[lo:hi], sizes[lo:hi], self.shingle))
+                    if s >= self.similarity and s > best.get((first + t, k), (0,))[0]:
+                        best[first + t, k] = (s, lo - begin, hi - lo)
         return [(t, self.items[k][0], *v) for (t, k), v in sorted(best.items())]
 
 

@@ -69,6 +69,17 @@ def test_near_passages_and_cut_ones(spark):
     assert got == want
 
 
+def test_cut_items_are_found_whatever_rows_come_before():
+    rng = random.Random(7)
+    make = lambda n: " ".join(f"v{rng.randrange(10**5)}" for _ in range(n)).encode()
+    item = make(50)
+    cut = b" ".join(item.split()[2:]) + b" " + make(12)
+    index = decontaminate.Index([(1, item)])
+    for before in ([], [b""], [make(100), b""], [make(100), b"a", b"", b"two words"], [make(30), *[b""] * 5]):
+        (found,) = index.find([*before, cut, b"", make(70)])
+        assert found[:2] == (len(before), 1) and found[2] >= 0.9 and found[3:] == (0, 48)
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = random.Random(1)
     item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(50)).encode()
