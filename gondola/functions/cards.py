@@ -224,6 +224,27 @@ def page_links(root: Node) -> list[dict]:
     return out
 
 
+def headings(root: Node) -> list[dict]:
+    """Headings outside of header, menu and footer with labels of 3 to 80 characters, in order. For each place around it where its link may be, the first and last of page_links() inside."""
+    ranges: dict[int, list[int]] = {}
+    for k, x in enumerate(x for x in root.walk() if x.tag == "a" and x.attrs.get("href")):
+        for u in x.up():
+            ranges.setdefault(id(u), [k, k])[1] = k
+    out = []
+    for x in root.walk():
+        kind, label = x.attrs.get("class") or "", None
+        if x.tag in ("h1", "h2", "h3", "h4") or "title" in kind or "heading" in kind:
+            label = squeezed(x.text())
+        if label and 3 <= len(label) <= 80:
+            around = [x, *x.up()]
+            if not {u.tag for u in around} & {"header", "nav", "footer"}:
+                near = [next((u for u in around if u.tag in ("section", "article")), None)]
+                near += [next((u for u in around if name in (u.attrs.get("class") or "")), None) for name in ("section", "shelf", "carousel", "slider")]
+                places = {id(u): u for u in [*near, *around[1:3]] if u is not None}
+                out.append({"label": label, "places": [tuple(ranges[i]) for i in places if i in ranges]})
+    return out
+
+
 def matches(node: Node, wanted: str) -> bool:
     """One simple selector: a tag, classes, an id and attributes."""
     m = re.match(r"^([a-zA-Z0-9*]*)((?:[.#][\w-]+|\[[^\]]+\])*)$", wanted.strip())

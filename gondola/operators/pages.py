@@ -88,18 +88,53 @@ def total_products(text: Column) -> Column:
     return F.regexp_extract(text, rf"(?i)(\d+){SPACE}+Produtos", 1).try_cast("int")
 
 
-def sections(found: DataFrame, n: int) -> DataFrame:
-    """The best n section links of each page: on its origin, no product or account page, each URL once."""
+def headings(pages: DataFrame) -> DataFrame:
+    """(page_id, url, heading, label, places) of each heading of a page; places: the first and last seq of links() in each place around it, in the order they are tried."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+                for k, h in enumerate(cards.headings(cards.tree(html))):
+                    rows.append((page_id, url, k, h["label"], [{"first": lo, "last": hi} for lo, hi in h["places"]]))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "heading", "label", "places"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, heading int, label string, places array<struct<first:int,last:int>>")
+
+
+def heading_sections(found: DataFrame, heads: DataFrame, n: int = 60) -> DataFrame:
+    """For each of a page's first n headings the best link of the first place around it that has one, labelled by the heading."""
+    able = ranking.top(heads.where(~scoring.like(F.col("label"), scoring.SECTION_NOT)), ["page_id"], [F.col("heading")], n)
+    places = able.select("page_id", "heading", "label", F.posexplode("places").alias("nth", "place"))
+    on_site = found.where(F.col("href").startswith(urls.origin(F.col("url"))) & ~F.col("in_frame") & ~scoring.like(F.col("href"), scoring.SECTION_PRODUCT))
+    scored = on_site.where(~scoring.like(scoring.both(F.col("text"), F.col("href")), scoring.SECTION_NOT)).withColumn("score", scoring.section_link_score(F.col("text"), F.col("href"), F.col("has_image")))
+    near = scored.where("score > 0").join(places, "page_id").where(F.col("seq").between(F.col("place.first"), F.col("place.last")))
+    best = ranking.keep_first(near, ["page_id", "heading"], [F.col("nth"), F.col("score").desc(), F.col("seq")])
+    return best.withColumn("text", F.col("label")).withColumn("score", F.col("score") + 80).withColumn("seq", F.col("heading")).select(*found.columns, "score")
+
+
+def sections(found: DataFrame, n: int, heads: DataFrame | None = None) -> DataFrame:
+    """The best n section links of each page: those that its headings name, if given, and links on its origin that are no product or account page; each URL once."""
     on_site = found.where(F.col("href").startswith(urls.origin(F.col("url"))) & ~F.col("in_frame") & ~scoring.like(F.col("href"), scoring.PRODUCT_PAGE))
     hay = scoring.both(F.col("text"), F.col("href"))
     able = on_site.where(scoring.like(hay, "depart|categor|produt|catalog|shop|" + scoring.THEMED) & ~scoring.like(hay, scoring.ACCOUNT))
     scored = able.withColumn("score", scoring.section_score(F.col("text"), F.col("href"), F.col("has_image")))
-    best = ranking.top(scored, ["page_id"], [F.col("score").desc(), F.col("seq")], 3 * n)
-    once = ranking.keep_first(best.drop("rank"), ["page_id", "href"], [F.col("score").desc(), F.col("seq")])
-    return ranking.top(once, ["page_id"], [F.col("score").desc(), F.col("seq")], n)
+    best = ranking.top(scored, ["page_id"], [F.col("score").desc(), F.col("seq")], 3 * n).drop("rank").withColumn("kind", F.lit(1))
+    if heads is not None:
+        best = heading_sections(found, heads).withColumn("kind", F.lit(0)).unionByName(best)
+    order = [F.col("score").desc(), F.col("kind"), F.col("seq")]
+    once = ranking.keep_first(ranking.top(best, ["page_id"], order, 6 * n).drop("rank"), ["page_id", "href"], order)
+    return ranking.top(once, ["page_id"], order, n).drop("kind")
+
+
+def payload_matches(captures: DataFrame, n: int = 8) -> DataFrame:
+    """(page_url, rank, path, responseUrl, score, normalizedCount) of the best n arrays of each page_url's captures."""
+    able = captures.where(scoring.capture_able(F.col("url"), F.col("content_type"), F.col("body")))
+    arrays = able.select("page_url", "seq", F.col("url").alias("responseUrl"), F.posexplode(payloads.found_arrays("body", "url")).alias("n", "found")).select("page_url", "seq", "responseUrl", "n", "found.path", "found.score", F.size("found.items").alias("normalizedCount"))
+    return ranking.top(arrays, ["page_url"], [F.col("score").desc(), F.col("seq"), F.col("n")], n).select("page_url", "rank", "path", "responseUrl", "score", "normalizedCount")
 
 
-def payload_items(captures: DataFrame, most: int, matches: int = 8) -> DataFrame:
+def payload_items(captures: DataFrame, most: int) -> DataFrame:
     """Items of captured JSON responses (url, content_type, body): arrays by score, each item's key once, at most `most` a page_url."""
     able = captures.where(scoring.capture_able(F.col("url"), F.col("content_type"), F.col("body")))
     arrays = able.select("page_url", "seq", F.posexplode(payloads.found_arrays("body", "url")).alias("n", "found")).select("page_url", "seq", "n", "found.*")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from gondola.functions import badges, prices, text, urls
 from gondola.operators import pages as page_ops
 from gondola.operators import ranking, scoring
 
-PAGES, ITEMS, ROOTS, LINKS_A_PAGE = 8, 250, 10, 12
+PAGES, ITEMS, ROOTS, LINKS_A_PAGE, INSPECTED = 8, 250, 10, 12, 8
 
 
 def visit_cap(pages: int) -> int:
@@ -44,9 +47,40 @@ def page_candidates(pages: DataFrame, captures: DataFrame, most: int = ITEMS) ->
     return every.join(chosen, ["pageUrl", "strategy"])
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from a table in the folder named by spark.checkpoint.dir: cuts the plan."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gondola-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def section_queue(sections: DataFrame, links: DataFrame, most_pages: int = PAGES, most_links: int = LINKS_A_PAGE) -> DataFrame:
+    """The pages that the crawl of each section visits, in order: those of sections, then, page after page, the at most `most_links` best related links of each that are not queued yet, up to the cap. links: those of the landed pages."""
+    cap, own = visit_cap(most_pages), ["sectionId", "sectionLabel", "sectionUrl"]
+    found = written(page_ops.discovered_links(links).select(F.col("url").alias("pageUrl"), "href", F.col("rank").alias("nth")), "page-links")
+    first = ranking.top(ranking.keep_first(sections, ["sectionId", "pageUrl"], [F.col("place")]), ["sectionId"], [F.col("place")], cap)
+    queue = written(first.select(*own, "pageUrl", (F.col("rank") - 1).alias("place")), "section-queue")
+    for at in range(cap):  # one page of every section a round
+        now = queue.where(F.col("place") == at)
+        if now.isEmpty():
+            break
+        related = now.join(found, "pageUrl").withColumn("score", scoring.related_section_score(F.col("href"), F.col("sectionUrl"))).where("score > 0")
+        order = [F.col("score").desc(), F.col("nth")]
+        once = ranking.keep_first(ranking.top(related, ["sectionId"], order, 2 * most_links).drop("rank"), ["sectionId", "href"], order)
+        fresh = once.select(*own, F.col("href").alias("pageUrl"), "score", "nth").join(queue.select("sectionId", "pageUrl"), ["sectionId", "pageUrl"], "left_anti")
+        size = queue.groupBy("sectionId").agg(F.count("*").alias("size"))
+        more = ranking.top(fresh, ["sectionId"], order, most_links).join(size, "sectionId").withColumn("place", (F.col("size") + F.col("rank") - 1).cast("int")).where(F.col("place") < cap)
+        more = written(more.select(*queue.columns), "section-more")
+        if not more.isEmpty():
+            queue = written(queue.unionByName(more), "section-queue")
+    return queue
+
+
 def catalogue(pages: DataFrame, captures: DataFrame, sections: DataFrame, most_pages: int = PAGES) -> DataFrame:
-    """Products of all sections. sections: (sectionId, sectionLabel, sectionUrl, pageUrl, place): the pages of each, of which the first ones up to the cap count; pages whose items an earlier page of the section had are left out."""
-    visited = ranking.top(sections, ["sectionId"], [F.col("place")], visit_cap(most_pages)).drop("rank")
+    """Products of all sections. sections: (sectionId, sectionLabel, sectionUrl, pageUrl, place): the first pages of each, whose related links join the section's queue up to the cap; pages whose items an earlier page of the section had are left out."""
+    visited = section_queue(sections, page_ops.links(pages), most_pages)
     items = page_candidates(pages, captures).withColumn("price", F.col("current"))
     marks = visited.join(ranking.fingerprints(items, ["pageUrl"]), "pageUrl", "left")
     fresh = ranking.first_pages(marks, ["sectionId"], "place").drop("fingerprint")
@@ -76,6 +110,23 @@ def enough(n_items: Column, url: Column) -> Column:
     return (n_items >= 20) | (~urls.root_like(url) & (n_items >= 5))
 
 
+def investigated(inputs: DataFrame, pages: DataFrame, captures: DataFrame, most: int = INSPECTED) -> DataFrame:
+    """(inputUrl, url, seq, n_items, strategy, best) of the candidates inspected for each input: its own page; unless that has enough items, then the known profile's, the common pages and the first page's links, `most` in all. inputs: (inputUrl, query, profileUrl)."""
+    links = page_ops.discovered_links(page_ops.links(pages)).select(F.col("url").alias("inputUrl"), F.col("href").alias("url"), F.lit(3).alias("kind"), F.col("rank").alias("at"))
+    own = inputs.select("inputUrl", F.col("inputUrl").alias("url"), F.lit(0).alias("kind"), F.lit(0).alias("at"))
+    known = inputs.where("profileUrl <> ''").select("inputUrl", F.col("profileUrl").alias("url"), F.lit(1).alias("kind"), F.lit(0).alias("at"))
+    common = inputs.select("inputUrl", F.posexplode(urls.search_candidates(F.col("inputUrl"), F.col("query"))).alias("at", "url")).select("inputUrl", "url", F.lit(2).alias("kind"), "at")
+    every = own.unionByName(known).unionByName(common).unionByName(links.join(inputs.select("inputUrl"), "inputUrl", "left_semi"))
+    order = [F.col("kind"), F.col("at")]
+    listed = ranking.top(ranking.keep_first(every, ["inputUrl", "url"], order), ["inputUrl"], order, most).select("inputUrl", "url", (F.col("rank") - 1).alias("seq"))
+    items = page_candidates(pages, captures).groupBy(F.col("pageUrl").alias("url")).agg(F.count("*").alias("n_items"), F.first("strategy").alias("strategy"))
+    listed = listed.join(items, "url", "left").fillna({"n_items": 0, "strategy": "none"})
+    stops = listed.where((F.col("seq") == 0) & enough(F.col("n_items"), F.col("inputUrl"))).select("inputUrl", F.lit(True).alias("stop"))
+    seen = listed.join(stops, "inputUrl", "left").where((F.col("seq") == 0) | F.col("stop").isNull()).drop("stop")
+    best = ranking.best_candidate(seen, ["inputUrl"]).select("inputUrl", "seq", F.lit(True).alias("best"))
+    return seen.join(best, ["inputUrl", "seq"], "left").fillna(False, ["best"]).select("inputUrl", "url", "seq", "n_items", "strategy", "best")
+
+
 def frontier(links: DataFrame, seeds: DataFrame, able: Column | None = None, rounds: int = 10, most: int = ROOTS) -> DataFrame:
     """(url, depth) of at most `most` pages reached from seeds (url) over links (url, href), breadth first, each once.
 
