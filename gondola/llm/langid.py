@@ -2,7 +2,8 @@
 
 The classifier is fitted on a bounded sample of labelled rows (about SAMPLE rows, spread evenly over the languages,
 drawn by a hash of the id); every fifth of them is held back to fit the temperature and the rejection threshold, which
-lets at most REJECT_RATE of right predictions fall below it.
+lets at most REJECT_RATE of right predictions fall below it. The temperature is fitted on shuffled texts too, which are
+of no language: all are as likely there, so the model is not sure of what it never learned.
 
 Defined results:
 - null text, or one without a letter: `und` with score 0, and rejected;
@@ -12,6 +13,8 @@ Defined results:
 
 from __future__ import annotations
 
+import random
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,12 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
+def shuffled(data: bytes) -> bytes:
+    """The characters of a text in an order that its crc32 gives."""
+    text = data.decode()
+    return "".join(random.Random(zlib.crc32(data)).sample(text, len(text))).encode()
+
+
 def sample_rows(docs: DataFrame, sample: int, seed: int = 5) -> DataFrame:
     """Training rows (text, lang) of docs, about sample / languages of each language."""
     able = docs.where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
@@ -79,13 +88,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject_rate: float = REJECT_RATE)
             out = []
             for text, lang in zip(texts, langs):
                 if has_letter(text):
-                    raw, starts = joined([prepared(text)])
-                    _, b, s = spread(raw, starts, ORDERS, BITS)
-                    out.append((lang, b.tobytes(), s.tobytes()))
+                    data = prepared(text)
+                    for own, label in ((data, lang), (shuffled(data), None)):
+                        if label is not None or zlib.crc32(data) % 5 == 0:
+                            _, b, s = spread(*joined([own]), ORDERS, BITS)
+                            out.append((label, b.tobytes(), s.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["lang", "buckets", "shares"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))], names=["lang", "buckets", "shares"])
 
-    rows = sorted(map(tuple, sample_rows(docs, sample).mapInArrow(featurise, "lang string, buckets binary, shares binary").collect()))
+    found = list(map(tuple, sample_rows(docs, sample).mapInArrow(featurise, "lang string, buckets binary, shares binary").collect()))
+    rows, junk = sorted(r for r in found if r[0] is not None), [r for r in found if r[0] is None]
     if not rows:
         return Model([], None, None)
     rows = [rows[i] for i in np.random.default_rng(3).permutation(len(rows))]
@@ -100,9 +112,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject_rate: float = REJECT_RATE)
     scores, bias = train(*sparse(rows[held:]), labels[held:], len(langs), BITS)
     model = Model(langs, scores, bias)
     if held:
-        r, b, s = sparse(rows[:held])
-        z = np.stack([np.bincount(r, weights=scores[b, k] * s, minlength=held) for k in range(len(langs))], axis=1) + bias
-        loss = lambda t: -np.log(softmax(z / t)[np.arange(held), labels[:held]] + 1e-12).mean()
+
+        def logits(part):
+            r, b, s = sparse(part)
+            return np.stack([np.bincount(r, weights=scores[b, k] * s, minlength=len(part)) for k in range(len(langs))], axis=1) + bias
+
+        z, none = logits(rows[:held]), logits(junk) if junk else np.zeros((1, len(langs)))
+        loss = lambda t: -np.log(softmax(z / t)[np.arange(held), labels[:held]] + 1e-12).mean() - np.log(softmax(none / t) + 1e-12).mean()
         model.temperature = min(np.geomspace(0.05, 20, 61), key=loss)
         p = softmax(z / model.temperature)
         right = p.max(1)[p.argmax(1) == labels[:held]]
@@ -118,7 +134,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, best = model.predict(batch.column("text").to_pylist())
-            rejected = [n == UNKNOWN or s < min(model.threshold, 0.5) for n, s in zip(names, best)]
+            rejected = [n == UNKNOWN or s < model.threshold for n, s in zip(names, best)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(best), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
@@ -133,6 +149,6 @@ def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
     @F.pandas_udf("boolean")
     def able(texts: pd.Series) -> pd.Series:
         names, best = model.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.Series([n != UNKNOWN and s >= min(model.threshold, 0.5) for n, s in zip(names, best)], dtype=bool)
+        return pd.Series([n != UNKNOWN and s >= model.threshold for n, s in zip(names, best)], dtype=bool)
 
     return docs.where(able(docs["text"]))

@@ -128,3 +128,20 @@ def test_spread_in_pieces_is_the_same():
     raw, starts = subword.joined([b"some text", b"", b"other text here", b"x" * 300])
     whole, parts = subword.spread(raw, starts, (2, 3, 4), 12), subword.spread(raw, starts, (2, 3, 4), 12, limit=10)
     assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_the_fitted_threshold_rejects_as_it_is(spark):
+    model = langid.Model(["de", "en"], np.zeros(((1 << langid.BITS) + 1, 2), dtype=np.float32), np.log([0.3, 0.7]), threshold=0.8)
+    docs = documents(spark, [(1, "some words", "en", "a")])
+    (r,) = langid.identify(docs, model).collect()
+    assert (r["lang_pred"], r["rejected"]) == ("en", True) and r["score"] == pytest.approx(0.7)
+    assert langid.keep(docs, model).count() == 0
+    model.threshold = 0.6
+    assert not langid.identify(docs, model).first()["rejected"] and langid.keep(docs, model).count() == 1
+
+
+def test_much_shuffled_text_is_rejected(spark, lang_model, medium):
+    texts = [r["text"] for r in table(spark, medium, "documents").where("text <> ''").collect()]
+    junk = [langid.shuffled(langid.prepared(t)[::-1].decode("utf-8", "ignore").encode()).decode() for t in texts if len(t) > 200]
+    rejected = lambda found: np.mean([n == langid.UNKNOWN or s < lang_model.threshold for n, s in zip(*lang_model.predict(found))])
+    assert rejected(junk) > 0.3 and rejected(texts) < 0.01
