@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import SHINGLE, SIMILARITY, free_name, mix64, pieces, saved, scratch, shingle_hashes, small_batches, text_bytes, word_hashes
+from gondola.llm.common import SHINGLE, SIMILARITY, free_name, mix64, pieces, saved, scratch, shingle_hashes, text_bytes, word_hashes
 
 RECALL = 0.9995
 LIMIT = 64
@@ -381,7 +381,6 @@ def classes(sets: DataFrame, runs: int, similarity: float = SIMILARITY) -> DataF
 def links(docs: DataFrame, recall: float = RECALL, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, class_id, links of each row of docs (doc_id, text): its group's smallest id, and the number of other documents of the similarity or more."""
     spark = docs.sparkSession
-    small_batches(spark)
     runs = runs_for(recall, similarity)
     with scratch(spark):
         sets = saved(token_sets(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), orders(runs), shingle), "join-sets")
@@ -397,7 +396,6 @@ def links(docs: DataFrame, recall: float = RECALL, similarity: float = SIMILARIT
 def one_of_each(docs: DataFrame, recall: float = RECALL, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs without all but the first (smallest id, then as read) of each group, with their columns as they are."""
     spark = docs.sparkSession
-    small_batches(spark)
     runs = runs_for(recall, similarity)
     uid = free_name(docs, "uid")
     rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "join-rows", keep=True)

@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,43 +33,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests) a temporary one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or the one set on the context. Only where neither is set and Spark runs in one process (tests, bench) a temporary folder is made and set; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gondola-")
         spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-_scratch: list[list[str]] = []
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Paths of the tables that go at the end of the innermost scratch(), in this thread or task of work.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: Paths of the tables that results may still read.
+_kept: list[str] = []
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and later reads prune columns. Inside scratch() the table goes when that ends, unless it is to be kept."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and later reads prune columns. Inside scratch() the table goes when that ends, unless it is to be kept: then it stays until release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    own = _scratch.get()
+    (_kept if keep or own is None else own).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables saved inside, but for kept ones, are deleted at the end: only what is saved to be kept may be read later."""
-    _scratch.append([])
+    own: list[str] = []
+    token = _scratch.set(own)
     try:
         yield
     finally:
-        for path in _scratch.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _scratch.reset(token)
+        for path in own:
+            deleted(spark, path)
+
 
+def release(spark: SparkSession) -> None:
+    """Delete all kept tables: for when no result of these operators will be read any more."""
+    while _kept:
+        deleted(spark, _kept.pop())
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch, since whole texts may be long: bounds the memory of a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of fewer rows, since whole texts may be long: bounds what a Python worker holds unpacked."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -122,20 +142,22 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def _word_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, byte lengths and first bytes (within their texts) of the words of all texts, and the number of words of each text."""
     raw = LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
     word = ~IS_SPACE[raw]
     edges = np.diff(word.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     lens = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    counts = np.bincount(np.searchsorted(np.cumsum(lens), starts, side="right"), minlength=len(texts))
+    text = np.searchsorted(np.cumsum(lens), starts, side="right")
+    counts = np.bincount(text, minlength=len(texts))
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), counts
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), starts, counts
     size = ends - starts
     first = np.cumsum(size) - size
     at = np.arange(int(size.sum())) - np.repeat(first, size)
     value = (raw[word].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[at]
-    return mix64(np.add.reduceat(value, first)), size, counts
+    return mix64(np.add.reduceat(value, first)), size, starts - (np.cumsum(lens) - lens)[text], counts
 
 
 def cut_long(text: bytes, limit: int) -> Iterator[bytes]:
@@ -150,15 +172,15 @@ def cut_long(text: bytes, limit: int) -> Iterator[bytes]:
 
 def word_stream(texts: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes and byte lengths of the words (letters A-Z lower-cased) of all texts in order, and the number of words of each text. Long texts are hashed in parts, so memory beyond the result is bounded."""
-    parts, of = [], []
+    cuts, of = [], []
     for i, t in enumerate(texts):
         for x in cut_long(t, limit):
-            parts.append(x)
+            cuts.append(x)
             of.append(i)
-    found = [_word_stream(parts[lo:hi]) for lo, hi in pieces(parts, limit)]
+    found = [word_places(cuts[lo:hi]) for lo, hi in pieces(cuts, limit)]
     if not found:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    hashes, sizes, counts = (np.concatenate(x) for x in zip(*found))
+    hashes, sizes, _, counts = (np.concatenate(x) for x in zip(*found))
     return hashes, sizes, np.bincount(of, weights=counts, minlength=len(texts)).astype(np.int64)
 
 
@@ -191,7 +213,3 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, n: int = SHINGLE) -> t
         full[first[i]] = mix64(np.array([np.sum(own * PLACES[: len(own)]) + np.uint64(len(own))], dtype=np.uint64))[0]
         keep[first[i]] = True
     return full[keep], out_counts
-
-
-def sql_name(name: str) -> str:
-    return "`" + re.sub("`", "``", name) + "`"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import SHINGLE, SIMILARITY, mix64, pieces, shingle_hashes, small_batches, text_bytes, word_stream
+from gondola.llm.common import SHINGLE, SIMILARITY, mix64, pieces, shingle_hashes, text_bytes, word_stream
 
 RADIUS = 11
 BLOCKS = 4
@@ -195,7 +195,6 @@ MATCH = "doc_id long, item_id long, similarity double, first_word long, words lo
 
 def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """A MATCH row for each row of docs (doc_id, text) and each of items (item_id, text) that it holds."""
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("words", pa.int64())])
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for group in passes(items):
@@ -228,7 +227,6 @@ def _free_of(group: list[tuple[int, bytes]], radius: int, similarity: float, shi
 
 def clean(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that hold no item, with their columns as they are."""
-    small_batches(docs.sparkSession)
     for group in passes(items):
         docs = docs.where(_free_of(group, radius, similarity, shingle)(docs["text"]))
     return docs

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import crc_mod, pieces, small_batches
+from gondola.llm.common import crc_mod, pieces
 from gondola.llm.subword import joined, segment_logits, softmax, spread, train
 
 SAMPLE = 4000
@@ -128,7 +128,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject_rate: float = REJECT_RATE)
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of each row of docs (doc_id, text, lang)."""
-    small_batches(docs.sparkSession)
     model = model or fit(docs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +142,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs that are not rejected, with their columns as they are."""
-    small_batches(docs.sparkSession)
     model = model or fit(docs)
 
     @F.pandas_udf("boolean")

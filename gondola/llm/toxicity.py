@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import crc_mod, pieces, small_batches
+from gondola.llm.common import crc_mod, pieces
 from gondola.llm.subword import joined, segment_logits, spread, train
 
 SAMPLE = 1000
@@ -141,7 +141,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
     model = model or fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import saved, shared_dir, small_batches
+from gondola.llm.common import saved, shared_dir
 
 MIN_REVISIT = 100
 FRAME_BYTES = 1 << 20
@@ -140,7 +140,6 @@ def assigned(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 def write_warc(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, folder: str | None = None) -> tuple[DataFrame, str]:
     """Writes the bundles and returns the saved index and the folder. A task holds one frame in memory."""
     spark = pages.sparkSession
-    small_batches(spark, 200)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     schema = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
 
