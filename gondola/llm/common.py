@@ -95,6 +95,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def row_place(seed: int, *columns: str) -> Column:
+    """A number from 0 to 1 that a hash of the columns gives."""
+    return F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in columns), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def window_of(text: str, chars: int, seed: int) -> Column:
+    """The column's text, or of longer ones so many characters at a place that a hash of the text gives."""
+    start = F.pmod(F.xxhash64(text, F.lit(seed)), F.greatest(F.char_length(text) - chars + 1, F.lit(1))) + 1
+    return F.substring(F.col(text), start, F.lit(chars))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any letter case."""
     taken = {c.lower() for c in df.columns}

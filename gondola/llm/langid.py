@@ -1,13 +1,14 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax and a calibrated rejection.
 
-The classifier is fitted on a bounded sample of labelled rows (about SAMPLE rows, spread evenly over the languages,
-drawn by a hash of the id); every fifth of them is held back to fit the temperature and the rejection threshold, which
+The classifier is fitted on a bounded sample of labelled rows (at most SAMPLE, spread evenly over the languages, drawn by
+a hash of the row; of longer texts a window of WINDOW characters at a place that a hash gives); every fifth of them is held back to fit the temperature and the rejection threshold, which
 lets at most REJECT_RATE of right predictions fall below it. The temperature is fitted on shuffled texts too, which are
 of no language: all are as likely there, so the model is not sure of what it never learned.
 
 Defined results:
 - null text, or one without a letter: `und` with score 0, and rejected;
 - rows whose lang is null are never learned from; no language learned (empty table, no training rows): all rows `und`;
+- of equally likely languages the first by code point is predicted; a null id hashes as the empty string;
 - repeated rows each get a row; texts of any length count as a whole; extra columns stay in `keep`, whatever their names.
 """
 
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import crc_mod, pieces
+from gondola.llm.common import crc_mod, parts, pieces, row_place, window_of
 from gondola.llm.subword import joined, segment_logits, softmax, spread, train
 
 SAMPLE = 4000
+WINDOW = 4000
 BITS = 15
 ORDERS = (2, 3, 4)
 REJECT_RATE = 0.001
@@ -48,14 +50,14 @@ def shuffled(data: bytes) -> bytes:
 
 
 def sample_rows(docs: DataFrame, sample: int, seed: int = 5) -> DataFrame:
-    """Training rows (text, lang) of docs, about sample / languages of each language."""
+    """Training rows (text, lang) of docs, about sample / languages of each language and at most sample in all."""
     able = docs.where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
     counts = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not counts:
         return able.select("text", "lang")
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / len(counts) / n))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    return able.where(place < share[F.col("lang")]).select("text", "lang")
+    some = able.select("lang", (row_place(seed, "doc_id", "text") / share[F.col("lang")]).alias("place"), window_of("text", WINDOW, seed).alias("text"))
+    return some.where("place < 1").orderBy("place", "text", "lang").limit(sample).select("text", "lang")
 
 
 class Model:
@@ -83,7 +85,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject_rate: float = REJECT_RATE)
     """Features of the sample are made on the executors; the driver gets their sparse rows."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, langs = (batch.column(c).to_pylist() for c in ("text", "lang"))
             out = []
             for text, lang in zip(texts, langs):
@@ -131,7 +133,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(docs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             names, best = model.predict(batch.column("text").to_pylist())
             rejected = [n == UNKNOWN or s < model.threshold for n, s in zip(names, best)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(best), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])

@@ -71,23 +71,29 @@ def _spread(raw: np.ndarray, starts: np.ndarray, size: int, orders: tuple[int, .
 
 def segment_logits(raw: np.ndarray, starts: np.ndarray, scores: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
     """Mean of the class scores of the grams of each segment; the segments begin at starts and end where the next begins."""
+    total, grams = segment_sums(raw, starts, scores, orders, bits)
+    return total / np.maximum(grams, 1)[:, None]
+
+
+def segment_sums(raw: np.ndarray, starts: np.ndarray, scores: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the class scores of the grams of each segment, and their number."""
     total, grams = np.zeros((len(starts), scores.shape[1])), np.zeros(len(starts))
     for n in orders:
         b = gram_buckets(raw, n, bits)
         grams += np.add.reduceat((b < 1 << bits).astype(np.float32), starts)
         for k in range(scores.shape[1]):
             total[:, k] += np.add.reduceat(scores[:, k][b], starts, dtype=np.float64)
-    return total / np.maximum(grams, 1)[:, None]
+    return total, grams
 
 
 def train(rows, buckets, shares, labels, classes: int, bits: int, dim: int = 8, epochs: int = 8, rate: float = 20.0, batch: int = 64, seed: int = 1, start=None) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings and softmax weights from sparse rows (sorted by row); returns the collapsed scores (a zero row at the end) and the bias."""
+    """Embeddings and softmax weights from sparse rows (sorted by row) and labels: a class, or the shares of all classes, for each row; returns the collapsed scores (a zero row at the end) and the bias."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32) if start is None else start[0]
     weights = rng.normal(0, 0.5, (dim, classes)).astype(np.float32) if start is None else start[1]
     bias = np.zeros(classes, dtype=np.float32)
     ends = np.searchsorted(rows, np.arange(len(labels) + 1))
-    once = np.eye(classes, dtype=np.float32)[labels]
+    once = labels.astype(np.float32) if labels.ndim == 2 else np.eye(classes, dtype=np.float32)[labels]
     steps, step = max(1, epochs * -(-len(labels) // batch)), 0
     for _ in range(epochs):
         order = rng.permutation(len(labels))

@@ -1,18 +1,20 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A text is cut into windows of WINDOW words. A window's logits are the softmax layer on the mean of its grams' embeddings,
-so misspellings share most of a known word's vectors; a text scores as its most toxic window, since a few words in a long
-text are enough. Labels belong to whole texts, so training first learns from whole texts (as many
-of either class) and then, ROUNDS times, from the
-windows that the last model finds most toxic in each text, of both classes. A logistic curve over held-back texts turns
-the highest window into a probability.
+A text is cut into windows of WINDOW words, each of which shares half of its words with the next. A window's logits are
+the softmax layer on the mean of its grams' embeddings, so misspellings share most of a known word's vectors; a text
+scores as its most toxic window, since a few words in a long text are enough. Labels belong to whole texts, so training
+first learns from whole texts (of up to FIRST_BYTES, as many of either class) and then, ROUNDS times, from the windows
+that the last model finds most toxic in each text of any length, of both classes. A logistic curve over held-back texts
+turns the highest window into a probability.
 
-The classifier is fitted on a bounded sample: at most about SAMPLE labelled toxic rows and CLEAN times as many others, drawn by a hash of the
-id, of at most SAMPLE_BYTES bytes each. Scoring has no such bound.
+The classifier is fitted on a bounded sample: at most SAMPLE labelled toxic rows and CLEAN times as many others, drawn by
+a hash of the row. Of a long text that is not toxic a stretch of CLEAN_CHARS characters is taken, since no part of it is
+toxic. Scoring has no such bound.
 
 Defined results:
 - null or empty text has one empty window, scored by the bias alone; texts of any length are scored as a whole;
 - null labels are not learned from; a doc_id that is labelled several times is learned from each time;
+- of equally toxic windows the first counts; a score equal to the cut is predicted 1;
 - without rows of both classes (empty tables, no training rows) every score is 0;
 - repeated rows each get a row; extra columns are ignored.
 """
@@ -26,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import crc_mod, pieces
-from gondola.llm.subword import joined, segment_logits, spread, train
+from gondola.llm.common import crc_mod, parts, pieces, row_place, window_of
+from gondola.llm.subword import joined, segment_sums, spread, train
 
 SAMPLE = 1000
 CLEAN = 3
-SAMPLE_BYTES = 10_000
+FIRST_BYTES = 10_000
+CLEAN_CHARS = 10_000
 BITS = 17
 ORDERS = (3, 4, 5)
 WINDOW = 6
@@ -39,13 +42,13 @@ ROUNDS = 3
 CUT = 0.3
 
 
-def windows(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows in joined texts, at the blank before every WINDOW-th word of each text, and each one's text."""
+def halves(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the half windows in joined texts, at the blank before every WINDOW/2-th word of each text, and each one's text."""
     word = np.flatnonzero((raw[:-1] == 32) & (raw[1:] != 32))
     text = np.searchsorted(starts, word, side="right") - 1
     first = np.searchsorted(text, np.arange(len(starts)))
     nth = np.arange(len(word)) - first[text]
-    cut = word[(nth % WINDOW == 0) & (nth > 0)]
+    cut = word[(nth % (WINDOW // 2) == 0) & (nth > 0)]
     every = np.union1d(starts, cut)
     return every, np.searchsorted(starts, every, side="right") - 1
 
@@ -55,10 +58,17 @@ class Model:
         self.scores, self.bias, self.slope, self.offset = scores, bias, slope, offset
 
     def margins(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window: the margin, its text, and (in the joined texts, given besides) its start and end."""
         raw, starts = joined(texts)
-        cuts, owner = windows(raw, starts)
-        z = segment_logits(raw, cuts, self.scores, ORDERS, BITS)
-        return (z[:, 1] - z[:, 0]) + (self.bias[1] - self.bias[0]), owner, raw, cuts
+        cuts, owner = halves(raw, starts)
+        total, grams = segment_sums(raw, cuts, self.scores[:, 1:] - self.scores[:, :1], ORDERS, BITS)
+        # A window is a half and the next one of its text; a text's last half is a window only if it is the only one.
+        pair = np.append(owner[1:] == owner[:-1], False)
+        z, n = total[:, 0] + np.where(pair, np.append(total[1:, 0], 0), 0), grams + np.where(pair, np.append(grams[1:], 0), 0)
+        alone = np.concatenate([[True], owner[1:] != owner[:-1]]) & ~pair
+        ends = np.where(pair, np.append(cuts[2:], [len(raw)] * 2)[: len(cuts)], np.append(cuts[1:], len(raw)))
+        use = pair | alone
+        return (z / np.maximum(n, 1))[use] + (self.bias[1] - self.bias[0]), owner[use], raw, np.stack([cuts, ends], axis=1)[use]
 
     def highest(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -81,11 +91,14 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(doc_id, toxic, text) of the training sample. Only ids and labels are counted; of the texts those sampled move."""
     able = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in able.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
+    place = row_place(9, "doc_id")
     share = F.when(F.col("toxic") == 1, min(1.0, sample / counts.get(1, 1))).otherwise(min(1.0, CLEAN * sample / counts.get(0, 1)))
     few = able.where(place < share)
     texts = docs.where(crc_mod(F.col("doc_id"), 4) != 2).where(place < max((min(1.0, CLEAN * sample / n) for n in counts.values()), default=0.0))
-    return texts.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(few, "doc_id").select("doc_id", "toxic", "text")
+    both = texts.select("doc_id", "text").join(few, "doc_id").withColumn("place", row_place(10, "doc_id", "text"))
+    text = F.when(F.col("toxic") == 1, F.col("text")).otherwise(window_of("text", CLEAN_CHARS, 11))
+    of = lambda y, n: both.where(F.col("toxic") == y).orderBy("place", "text").limit(n).select("doc_id", "toxic", text.alias("text"))
+    return of(1, sample).unionByName(of(0, CLEAN * sample))
 
 
 def fit_texts(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -96,7 +109,9 @@ def fit_texts(texts: list[bytes], labels: np.ndarray) -> Model:
     use = [t for t, h in zip(texts, held) if not h]
     y = labels[~held]
     # Whole texts have many grams: the first round takes as many clean texts as toxic ones.
-    first = np.sort(np.concatenate([np.flatnonzero(y == k)[: max(50, int((y == 1).sum()))] for k in (0, 1)]))
+    short = np.array([len(t) <= FIRST_BYTES for t in use])
+    short = short if len(set(y[short].tolist())) == 2 else np.ones(len(use), dtype=bool)
+    first = np.sort(np.concatenate([np.flatnonzero((y == k) & short)[: max(50, int((y == 1).sum()))] for k in (0, 1)]))
     raw, starts = joined([use[i] for i in first])
     scores, bias = train(*spread(raw, starts, ORDERS, BITS), y[first], 2, BITS, epochs=6, rate=60.0)
     model = Model(scores, bias)
@@ -105,14 +120,13 @@ def fit_texts(texts: list[bytes], labels: np.ndarray) -> Model:
     for _ in range(ROUNDS):
         found = []
         for lo, hi in pieces(use):
-            margin, owner, raw, cuts = model.margins(use[lo:hi])
-            ends = np.append(cuts[1:], len(raw))
+            margin, owner, raw, spans = model.margins(use[lo:hi])
             top = np.lexsort((-margin, owner))
             rank = np.arange(len(top)) - np.searchsorted(owner, owner)
             of = owner[top]
             near = np.where(y[lo + of] == 1, (rank == 0) | ((rank < 8) & (margin[top] > 0)), (rank < 3) | (rng.random(len(top)) < 0.02))
             for w in top[near]:
-                window = raw[cuts[w] : ends[w]].tobytes().strip(b" ")
+                window = raw[spans[w, 0] : spans[w, 1]].tobytes().strip(b" ")
                 if y[lo + owner[w]] == 1:
                     found.append(window)
                 else:
@@ -144,7 +158,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
     model = model or fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             p = model.score([prepared(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
