@@ -8,7 +8,8 @@ radius. A pair places the item in the document; there the words are compared wit
 similarity of the bags of five-word shingles, each weighing the bytes of its words. A document holds an item if that is
 SIMILARITY or more somewhere.
 
-Items go to the tasks in passes of about PASS_BYTES of item text each, so what is sent is bounded for any benchmark.
+Items go to the tasks in passes of about PASS_BYTES of item text each; the rows of a pass are written to the shared
+folder before the items of the next are read, so what the driver holds and sends is bounded for any benchmark.
 
 Defined results:
 - null or empty texts and items hold nothing; letters A-Z count as a-z and all white space alike;
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import SHINGLE, SIMILARITY, mix64, pieces, shingle_hashes, text_bytes, word_stream
+from gondola.llm.common import SHINGLE, SIMILARITY, mix64, parts, pieces, saved, scratch, shingle_hashes, text_bytes, word_stream
 
 RADIUS = 11
 BLOCKS = 4
@@ -179,15 +180,19 @@ class Index:
         return [(t, self.items[k][0], *v) for (t, k), v in sorted(best.items())]
 
 
-def passes(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in groups of about PASS_BYTES of text, dealt by a hash of the id and text; each is collected by itself."""
-    able = items.where(F.octet_length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+def passes(items: DataFrame) -> tuple[int, Iterator[list[tuple[int, bytes, int]]]]:
+    """The number of passes, and the distinct items of each with their number of rows: about PASS_BYTES of text, dealt by a hash of the id and text. A pass is collected when it is asked for."""
+    able = items.where(F.octet_length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("item_id", "text").agg(F.count("*").alias("n"))
     total = able.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / PASS_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        found = [(r["item_id"], r["text"].encode()) for r in able.where(part == k).collect()]
-        yield sorted(found, key=lambda x: (x[0] is None, x))
+
+    def groups() -> Iterator[list[tuple[int, bytes, int]]]:
+        for k in range(n):
+            found = [(r["item_id"], r["text"].encode(), r["n"]) for r in able.where(part == k).collect()]
+            yield sorted(found, key=lambda x: (x[0] is None, x))
+
+    return n, groups()
 
 
 MATCH = "doc_id long, item_id long, similarity double, first_word long, words long"
@@ -197,27 +202,32 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity:
     """A MATCH row for each row of docs (doc_id, text) and each of items (item_id, text) that it holds."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("words", pa.int64())])
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for group in passes(items):
-
-        def run(batches: Iterator[pa.RecordBatch], group: list = group) -> Iterator[pa.RecordBatch]:
-            index = Index(group, radius, similarity, shingle)
-            for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                found = [(ids[i], *rest) for i, *rest in index.find(list(text_bytes(batch.column("text"))))]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found), schema)], schema=schema)
-
-        found = rows.mapInArrow(run, MATCH)
+    n, groups = passes(items)
+    for group in groups:
+        found = rows.mapInArrow(_finder(group, radius, similarity, shingle, schema), MATCH)
+        found = saved(found, "leaks", keep=True) if n > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _free_of(group: list[tuple[int, bytes]], radius: int, similarity: float, shingle: int):
+def _finder(group: list[tuple[int, bytes, int]], radius: int, similarity: float, shingle: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index([(k, t) for k, (_, t, _) in enumerate(group)], radius, similarity, shingle)
+        for batch in parts(batches):
+            ids = batch.column("doc_id").to_pylist()
+            found = [(ids[i], group[k][0], *rest) for i, k, *rest in index.find(list(text_bytes(batch.column("text")))) for _ in range(group[k][2])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found), schema)], schema=schema)
+
+    return run
+
+
+def _free_of(group: list[tuple[int, bytes, int]], radius: int, similarity: float, shingle: int):
     """A column function: whether a text holds none of these items. The index is built once for a task."""
 
     @F.pandas_udf("boolean")
     def free(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(group, radius, similarity, shingle)
+        index = Index([(k, t) for k, (_, t, _) in enumerate(group)], radius, similarity, shingle)
         for t in texts:
             held = {i for i, *_ in index.find([x.encode() if isinstance(x, str) else b"" for x in t])}
             yield pd.Series([i not in held for i in range(len(t))], dtype=bool)
@@ -226,7 +236,10 @@ def _free_of(group: list[tuple[int, bytes]], radius: int, similarity: float, shi
 
 
 def clean(docs: DataFrame, items: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that hold no item, with their columns as they are."""
-    for group in passes(items):
-        docs = docs.where(_free_of(group, radius, similarity, shingle)(docs["text"]))
+    """The rows of docs that hold no item, with their columns as they are. What is left after each of several passes is written before the next."""
+    n, groups = passes(items)
+    with scratch(docs.sparkSession):
+        for k, group in enumerate(groups):
+            docs = docs.where(_free_of(group, radius, similarity, shingle)(docs["text"]))
+            docs = saved(docs, "clean", keep=k == n - 1) if n > 1 else docs
     return docs
