@@ -57,6 +57,26 @@ def test_cases(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_ends_are_found_digit_by_digit(spark, medium):
+    docs = table(spark, medium, "documents")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    assert sorted(map(tuple, mixing.mix(docs, digits=1, last_rows=2).collect())) == want
+
+
+def test_a_third_of_all_rows_without_id(spark):
+    rows = [(None, "four words without id", "hot")] * 300 + [(k, f"w{k} " * (k % 7), ("hot", "b", None)[k % 3]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(spark, docs)
+    assert sorted(map(str, mixing.mix(docs, digits=1, last_rows=2).collect())) == sorted(map(str, mixing.mix(docs).collect()))
+
+
+def test_many_sources_keep_their_order(spark):
+    rows = [(k, f"s{k * 7919 % 500}") for k in range(500)] + [(500, None)]
+    found = mixing.in_order(spark.createDataFrame(rows, "k long, source string")).collect()
+    order = sorted((r["source"] for r in found), key=lambda s: (s is None, s))
+    assert {r["source"]: r["rank"] for r in found} == {s: k for k, s in enumerate(order)}
+
+
 def test_main_path_is_native(spark, small):
     plan = mixing.mix(table(spark, small, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
