@@ -13,6 +13,7 @@ whole sets (of 32-bit token hashes). A bucket gives one row for each member: its
 Connected components of those rows are the groups.
 
 Defined results:
+- texts of any length are compared whole; a pair of exactly the similarity is linked;
 - null, empty or all-space text has no shingle: such a document is in a group of its own, without links;
 - a text of one to four words has one shingle: all its words; letters A-Z count as a-z, all white space alike;
 - null ids are allowed: a group's class_id is its smallest id, null if all ids in it are null; rows that repeat an id each
@@ -30,13 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import SHINGLE, SIMILARITY, free_name, mix64, pieces, saved, scratch, shingle_hashes, text_bytes, word_hashes
+from gondola.llm.common import SHINGLE, SIMILARITY, free_name, mix64, parts, pieces, saved, scratch, shingle_hashes, text_bytes, word_hashes
 
 RECALL = 0.9995
 LIMIT = 64
 CHILDREN = 2
 DEPTH = 3
-BLOCK = 2048
+#: Members and 32-bit tokens of a block, on average at most.
+BLOCK, BLOCK_TOKENS = 512, 4 << 20
+#: Rows and bytes that are put together before whole groups are worked on.
+HELD_ROWS, HELD_BYTES = 2000, 32 << 20
 #: Buckets of so many members are compared pair by pair over many buckets at once, larger ones as matrices.
 FLAT = 32
 COLUMNS = 2048
@@ -66,7 +70,7 @@ def token_sets(docs: DataFrame, n_orders: int, shingle: int = SHINGLE) -> DataFr
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("sig", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = list(text_bytes(batch.column("text")))
             ids = list(zip(batch.column("uid").to_pylist(), batch.column("doc_id").to_pylist()))
             for lo, hi in pieces(texts):
@@ -90,25 +94,25 @@ def token_sets(docs: DataFrame, n_orders: int, shingle: int = SHINGLE) -> DataFr
 
 
 def leaves(members: DataFrame, runs: int, limit: int = LIMIT) -> DataFrame:
-    """(uid, bucket, size) of the buckets to compare, each of two members or more. members: (uid, sig), saved."""
+    """(uid, bucket, size, tokens) of the buckets to compare, each of two members or more, with all its members' tokens. members: (uid, n, sig), saved."""
     first = F.posexplode(F.slice("sig", 1, runs)).alias("run", "token")
-    nodes = saved(members.select("uid", first).select("uid", "run", F.xxhash64("run", "token").alias("bucket")), "path-1")
+    nodes = saved(members.select("uid", "n", first).select("uid", "n", "run", F.xxhash64("run", "token").alias("bucket")), "path-1")
     found = []
     for level in range(1, DEPTH + 1):
-        sizes = nodes.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = nodes.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
         nodes = saved(nodes.join(sizes, "bucket"), f"path-{level}-sized")
         big = F.lit(False) if level == DEPTH else F.col("size") > limit
-        found.append(nodes.where(~big).select("uid", "bucket", "size"))
+        found.append(nodes.where(~big).select("uid", "bucket", "size", "tokens"))
         if level == DEPTH or nodes.where(big).isEmpty():
             break
         at = runs * (1 + CHILDREN * (level - 1)) + F.col("run") * CHILDREN
-        split = nodes.where(big).withColumnRenamed("bucket", "parent").withColumnRenamed("size", "parent_size").join(members, "uid")
-        split = split.select("uid", "run", "parent", "parent_size", F.posexplode(F.slice("sig", at + 1, CHILDREN)).alias("child", "token"))
-        split = saved(split.select("uid", "run", "parent", "parent_size", F.xxhash64("parent", "child", "token").alias("bucket")), f"path-{level}-split")
+        split = nodes.where(big).withColumnRenamed("bucket", "parent").withColumnRenamed("size", "parent_size").join(members.drop("n"), "uid")
+        split = split.select("uid", "n", "run", "parent", "parent_size", F.posexplode(F.slice("sig", at + 1, CHILDREN)).alias("child", "token"))
+        split = saved(split.select("uid", "n", "run", "parent", "parent_size", F.xxhash64("parent", "child", "token").alias("bucket")), f"path-{level}-split")
         largest = split.groupBy("bucket").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.first("parent_size").alias("of"))
         alike = saved(largest.groupBy("parent").agg(F.max("n").alias("n"), F.first("of").alias("of")).where("2 * n > of").select("parent"), f"path-{level}-alike")
-        found.append(nodes.where(big).join(alike, F.col("bucket") == F.col("parent"), "left_semi").select("uid", "bucket", "size"))
-        nodes = split.join(alike, "parent", "left_anti").select("uid", "run", "bucket")
+        found.append(nodes.where(big).join(alike, F.col("bucket") == F.col("parent"), "left_semi").select("uid", "bucket", "size", "tokens"))
+        nodes = split.join(alike, "parent", "left_anti").select("uid", "n", "run", "bucket")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -116,8 +120,8 @@ def leaves(members: DataFrame, runs: int, limit: int = LIMIT) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds own, low and high: a bucket of more than block members is dealt into blocks, each pair of which is compared apart."""
-    n = F.ceil(F.col("size") / block).cast("int")
+    """Adds own, low and high: a bucket of more than block members, or of too many tokens, is dealt into blocks, each pair of which is compared apart."""
+    n = F.least(F.ceil(F.greatest(F.col("size") / block, F.col("tokens") / BLOCK_TOKENS)), F.col("size")).cast("int")
     rows = rows.withColumn("blocks", n).withColumn("own", F.when(n > 1, F.pmod(F.xxhash64("uid"), n)).otherwise(0).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return rows.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).drop("other", "blocks")
@@ -208,19 +212,19 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
             new[1:] |= x[1:] != x[:-1]
         return np.flatnonzero(new)
 
-    rows, target = 0, 2000
-    for batch in batches:
+    rows, size, full = 0, 0, 1
+    for batch in parts(batches):
         if batch.num_rows:
             held.append(batch)
-            rows += batch.num_rows
-        if rows >= target:
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= full * HELD_ROWS or size >= full * HELD_BYTES:
             table = pa.Table.from_batches(held)
             at = starts(table)
             if len(at) > 1:
                 yield table.slice(0, int(at[-1])).combine_chunks(), at[:-1]
             rest = table.slice(int(at[-1]))
-            held, rows = rest.to_batches(), rest.num_rows
-            target = 2 * rows if len(at) == 1 else 2000  # a group that isn't whole yet is put together ever more rarely
+            held, rows, size = rest.to_batches(), rest.num_rows, rest.nbytes
+            full = 2 * full if len(at) == 1 else 1  # a group that isn't whole yet is put together ever more rarely
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, starts(table)
@@ -363,10 +367,10 @@ def classes(sets: DataFrame, runs: int, similarity: float = SIMILARITY) -> DataF
     n_orders = orders(runs)
     least = least_shared(n_orders, similarity)
     reps = saved(sets.where("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")), "join-classes")
-    members = saved(sets.select("uid", "sig").join(reps.select("uid"), "uid"), "join-members")
+    members = saved(sets.select("uid", "n", "sig").join(reps.select("uid"), "uid"), "join-members")
     rows = saved(leaves(members, runs), "join-leaves")
     of = rows.groupBy("uid").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # a few for each run
-    rows = in_blocks(rows).join(of, "uid").join(members, "uid")
+    rows = in_blocks(rows).join(of, "uid").join(members.drop("n"), "uid")
     rows = rows.select("bucket", "low", "high", "own", "uid", F.filter("buckets", lambda x: x < F.col("bucket")).alias("earlier"), "sig")
     able = saved(grouped(rows, plausible(n_orders, least), rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")), "join-able")
     wanted = able.select("uid").distinct().join(reps.select("uid", "copies"), "uid")
