@@ -8,12 +8,15 @@ Defined results:
 - null html is an empty payload; null url an empty Target-URI; null page_id: such a record is never referred to;
 - payloads of at least MIN_REVISIT bytes that are equal: the smallest page_id is the response, others revisit it; rows
   that repeat that page_id are responses too; smaller payloads are always responses;
+- payloads of any length are one record each; a frame ends with the record that fills it, so it may be longer;
 - an empty table gives no bundle and no rows; extra input columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -24,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import saved, shared_dir
+from gondola.llm.common import parts, saved, shared_dir
 
 MIN_REVISIT = 100
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Frames that a task reads back, of archives of so many frames; of larger ones it reads more.
+FRAMES_A_TASK, MOST_TASKS = 8, 20_000
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the seekable format.
@@ -94,11 +99,16 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
     return out
 
 
+def opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The store and path of a folder; Hadoop's names of the S3 stores mean S3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an](?=://)", "s3", folder))
+
+
 class Bundle:
     """A bundle that is being written. Its name is new in each attempt of a task; files of lost attempts are never referred to."""
 
     def __init__(self, folder: str, level: int):
-        store, path = pafs.FileSystem.from_uri(folder)
+        store, path = opened(folder)
         store.create_dir(path, recursive=True)
         self.name = f"bundle-{uuid.uuid4().hex}.warc.zst"
         self.out, self.packer = store.open_output_stream(f"{path}/{self.name}", compression=None), zstandard.ZstdCompressor(level=level)
@@ -132,7 +142,7 @@ def assigned(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     hashed = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     large = F.octet_length("html") >= min_revisit
     firsts = hashed.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    firsts = saved(firsts, "warc-firsts")
+    firsts = saved(firsts, "warc-firsts", keep=True)
     revisits = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return hashed.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
 
@@ -149,7 +159,7 @@ def write_warc(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
-        for batch in batches:
+        for batch in parts(batches, 100):
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 bundle = bundle or Bundle(folder, level)
                 bundle.add(page_id, record_bytes(page_id, url, html, digest, refers_to))
@@ -161,7 +171,7 @@ def write_warc(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: i
         if bundle:
             yield from rows(bundle.close())
 
-    return saved(assigned(pages).mapInArrow(write, INDEX), "warc-index"), folder
+    return saved(assigned(pages).mapInArrow(write, INDEX), "warc-index", keep=True), folder
 
 
 def read_warc(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -169,7 +179,7 @@ def read_warc(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = pafs.FileSystem.from_uri(folder)
+        store, path = opened(folder)
         name = frame = file = raw = None
         for batch in batches:
             out, size = [], 0
@@ -195,7 +205,10 @@ def read_warc(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame
         if file:
             file.close()
 
-    return index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(read, RECORD)
+    frames = index.groupBy("bundle").agg(F.max("frame").alias("frame")).agg(F.sum(F.col("frame") + 1)).first()[0] or 0
+    # The number is given, since the index's own bytes say nothing of what is to be read.
+    tasks = max(1, min(MOST_TASKS, math.ceil(frames / FRAMES_A_TASK)))
+    return index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(read, RECORD)
 
 
 ORACLE_SQL = f"""
