@@ -8,6 +8,7 @@ Defined results:
   checksum of the bytes; equal texts have equal digests;
 - a null id comes first in order, then by id; rows of equal id are ordered by a hash of the text; the last row's next is
   the first;
+- texts of any length are digested whole, in pieces;
 - a table of one row is its own next; an empty table gives no rows; extra input columns are ignored.
 """
 
@@ -24,12 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gondola.llm.common import parts as slices
 from gondola.llm.common import saved
 
 BUCKETS = 128
 #: Places of the second and third byte of each triplet in a window that begins with the first.
 TRIPLETS = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4))
 CHUNK = 1 << 19
+#: Bytes of text that a range of ids has on average at most.
+RANGE_BYTES = 16 << 20
 #: Difference at which two digests count as unlike: likeness 0.
 WORST = 160.0
 
@@ -97,9 +101,11 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     of the next range, which is a row a range.
     """
     spark = docs.sparkSession
+    if parts is None:  # as many ranges as the bytes of text ask for
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / RANGE_BYTES))
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("hash"), F.col("row")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
-    ranged = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
 
     def judged(doc_id, text: str, own: str, following: str, after: str) -> tuple:
@@ -113,7 +119,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None  # id, text and fingerprint of the row whose next is to come
         edge = lambda kind, row: (part, kind, row[0], None, None, row[2], None, None, None, row[1])
-        for found in batches:
+        for found in slices(batches):
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in found.columns)):
                 row = (doc_id, text or "", fingerprint((text or "").encode()))
@@ -130,7 +136,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), list(schema)[2:-1])], names=schema.names[2:-1])
 
-    walked = saved(ranged.mapInArrow(walk, WALKED), "digest-rows")
+    walked = saved(ranged.mapInArrow(walk, WALKED), "digest-rows", keep=True)
     ranges = sorted(r["part"] for r in walked.where("kind = 'last'").select("part").collect())  # a number for each range
     after = spark.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1])), "part int, next int")
     first = walked.where("kind = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"), F.col("fingerprint").alias("after"))

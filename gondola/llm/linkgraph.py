@@ -3,6 +3,7 @@
 DataFrame functions only. Defined results:
 - null url, or one without `://`: host and path are empty; such pages share the host "";
 - null or empty html has no links; links without a host of their own stay on their host and pass nothing on;
+- html of any length is read whole; equal trust and distrust are allowed;
 - repeated rows each get a row and each count; an empty table gives no rows; extra input columns are ignored;
 - a host that neither trust nor distrust reaches, over any number of links, is allowed; a score too small for a double
   is 0.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import saved
+from gondola.llm.common import saved, scratch
 
 #: (verdict, host and path) of each rule: the host reaches to the first slash, the path begins with it.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
@@ -55,17 +56,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def _deleted(df: DataFrame) -> None:
-    """Delete a table of saved() that nothing reads any more."""
-    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0])
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score): personalised PageRank of kind 'trust' along the edges and of kind 'distrust' against them.
 
     seeds: (kind, host, seed). Each round is a join with the edges and a sum before the shuffle; its ranks are written
-    to the shared folder, and those of the round before deleted. Scores only grow, and the largest growth of a host as a
+    to the shared folder. Scores only grow, and the largest growth of a host as a
     share of its own score never rises from round to round: after the first rounds, it stops as soon as that is within
     tolerance for every host. A host just reached has grown by all of its score, so each that a seed leads to is met.
     """
@@ -78,10 +73,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         sent = flow.join(ranks, ["kind", "host"]).groupBy("kind", "dst").agg(F.sum(F.col("part") * F.col("score")).alias("score"))
         parts = start.unionByName(sent.select("kind", F.col("dst").alias("host"), "score", F.lit(0.0).alias("before")))
         parts = parts.unionByName(ranks.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before")))
-        new = saved(parts.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "link-ranks")
-        if ranks is not start:
-            _deleted(ranks)
-        ranks, done = new, done + 1
+        ranks, done = saved(parts.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "link-ranks"), done + 1
         if done >= rounds:
             grown = ranks.where("score > 0").agg(F.max((F.col("score") - F.col("before")) / F.col("score"))).first()[0] or 0.0
     return ranks.drop("before")
@@ -97,8 +89,10 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     ruled = pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("rule"))
     seeds = ruled.where("rule is not null").groupBy(F.when(verdict_of[F.col("rule")] == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("seed"))
-    ranks = propagate(saved(host_edges(pages), "link-edges"), seeds)
-    hosts = ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
+    with scratch(pages.sparkSession):
+        ranks = propagate(saved(host_edges(pages), "link-edges"), seeds)
+        hosts = ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
+        hosts = saved(hosts, "link-hosts", keep=True)
     every = ruled.join(hosts, "host", "left").fillna(0.0, ["trust", "distrust"])
     by_host = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
     return every.select("page_id", "host", "path", "rule", F.coalesce(verdict_of[F.col("rule")], by_host).alias("verdict"), "trust", "distrust")
