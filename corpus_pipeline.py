@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and reread as the next one's docs."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and reread as the next one's docs.
+
+Defined results, besides those of each stage's operator: rows without text or letters go in the first stage, whatever
+their other columns; null or repeated ids and nulls in other columns stay as they are; of rows that are alike one stays
+(the smallest id, null last, then as read); an empty table, or one that a stage empties, gives no rows; extra columns, of
+any name, are carried up to the last stage, which returns doc_id, size, source_size, target and taken. Texts of any length
+are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gondola.llm import chosenpath, decontaminate, langid, mixing, quality
-from gondola.llm.common import shared_dir, table
+from gondola.llm.common import deleted, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage has written is deleted as soon as the next one's result no longer reads it."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if k:
+            deleted(spark, f"{folder}/{STAGES[k - 1][0]}")
+    mixed_rows = STAGES[-1][1](spark, docs, sf_dir)  # reads its own table of sizes, not the texts
+    deleted(spark, folder)
+    return mixed_rows
