@@ -54,11 +54,11 @@ _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 _kept: list[str] = []
 
 
-def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and later reads prune columns. Inside scratch() the table goes when that ends, unless it is to be kept: then it stays until release()."""
+def saved(df: DataFrame, name: str, keep: bool = False, spread: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and later reads prune columns. Inside scratch() the table goes when that ends, unless it is to be kept: then it stays until release(). Columns whose values hardly repeat (spread) are written without a dictionary."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in spread}).parquet(path)
     own = _scratch.get()
     (_kept if keep or own is None else own).append(path)
     return spark.read.schema(df.schema).parquet(path)
