@@ -19,8 +19,10 @@ MOST = 8
 
 def _each_once(badges: Column) -> Column:
     """First spellings of badges that differ in more than case."""
-    keys = F.transform(badges, F.lower)
-    return F.slice(F.filter(badges, lambda b, i: F.array_position(keys, F.lower(b)) == i + 1), 1, MOST)
+    keyed = F.array_sort(F.transform(badges, lambda b, i: F.struct(F.lower(b).alias("key"), i.alias("i"), b.alias("b"))))
+    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"]))
+    in_order = lambda s: F.slice(F.array_sort(F.transform(firsts(s), lambda x: F.struct(x["i"], x["b"]))), 1, MOST)
+    return F.get(F.transform(F.array(keyed), lambda s: F.transform(in_order(s), lambda x: x["b"])), 0)
 
 
 def badge_list(values: Column) -> Column:

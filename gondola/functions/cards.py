@@ -22,7 +22,10 @@ PRICE_NODES, ANCESTORS, LEAST_CARDS, MOST_CARDS, MOST_PRICES = 500, 5, 2, 200, 3
 HEADS = re.compile(r"name|title|nome|titulo", re.I)
 ACTIONS = re.compile(r"^(?:adicionar|comprar|ver mais|ver detalhes|adicionar ao carrinho|compre agora|detalhes)$", re.I)
 PROMOTED = re.compile(r"oferta|promoc|clube|\boff\b|-\s*\d+\s*%", re.I)
-BADGE_CLASS = re.compile(r"badge|tag|flag|selo|label|promo|oferta|desconto", re.I)
+BADGE_CLASS = re.compile(r"badge|tag|flag|selo|chip|label|stamp|promo|offer|club|discount|pill|ribbon", re.I)
+BADGE_TEXT = re.compile(r"oferta|promo|clube|super barato|festival|real|sexta|carne|exclusiv|site|cpf|cliente|limite|máx|max|360|peso|unidade|leve|pague|desconto|especial", re.I)
+BADGE_PERCENT = re.compile(r"^-\d+%$", re.ASCII)
+BADGE_TAGS, BADGE_NODES, MOST_BADGES = {"span", "small", "strong", "div", "p", "button", "a"}, 80, 8
 
 
 @dataclass
@@ -142,15 +145,14 @@ def card_name(node: Node) -> str | None:
     return max((t for t in node.lines() if able(t)), key=len, default=None)
 
 
-def card_badges(node: Node) -> list[str]:
-    out = []
-    for k, x in enumerate(node.walk()):
-        if k > 80:
-            break
-        t = squeezed(x.text()) if BADGE_CLASS.search(x.attrs.get("class", "")) else None
-        if t and len(t) <= 80:
-            out.append(t)
-    return out + [t for t in node.lines() if len(t) <= 80 and PROMOTED.search(t)]
+def card_badges(node: Node, name: str | None = None) -> list[str]:
+    """At most 8 short texts without prices: of the first elements below that look like badges by class, id or words, then of the card's lines by their words alone; each once whatever its case, the name not among them."""
+    told = lambda t: bool(BADGE_TEXT.search(t) or BADGE_PERCENT.match(t))
+    inner = [x for x in node.walk() if x is not node and x.tag in BADGE_TAGS][:BADGE_NODES]
+    marked = [(squeezed(x.text()), bool(BADGE_CLASS.search(f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}"))) for x in inner]
+    found = [t for t, by_class in marked if t and len(t) <= 80 and t.lower() != (name or "").lower() and (by_class or told(t))]
+    found += [t for t in node.lines() if 2 <= len(t) <= 80 and told(t)]
+    return list({t.lower(): t for t in reversed(found) if not _PRICE.search(t)}.values())[::-1][:MOST_BADGES] if found else []
 
 
 def card(node: Node) -> dict | None:
@@ -169,7 +171,7 @@ def card(node: Node) -> dict | None:
         "current": current,
         "original": original if original > current else None,
         "promotion": original > current or bool(PROMOTED.search(text)),
-        "badges": card_badges(node),
+        "badges": card_badges(node, name),
         "image": first_image(node),
         "link": link,
         "n_prices": len(prices),

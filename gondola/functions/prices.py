@@ -71,7 +71,12 @@ def prices_in(x: Column) -> Column:
 
 def price_state(x: Column, most: int | None = None) -> Column:
     """The lowest price of a text as current, the highest as original if it is higher; nothing for texts of more than so many prices."""
-    found = prices_in(x)
-    able = F.size(found) > 0 if most is None else F.size(found).between(1, most)
-    current, original = F.array_min(found), F.array_max(found)
-    return F.when(able, F.struct(current.alias("current"), F.when(original > current, original).alias("original"), F.size(found).alias("n")))
+
+
+    def state(found: Column) -> Column:
+        able = F.size(found) > 0 if most is None else F.size(found).between(1, most)
+        current, original = F.array_min(found), F.array_max(found)
+        return F.when(able, F.struct(current.alias("current"), F.when(original > current, original).alias("original"), F.size(found).alias("n")))
+
+    # As the element of an array the prices are found once, not once for each use.
+    return F.get(F.transform(F.array(prices_in(x)), state), 0)

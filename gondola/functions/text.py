@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s   -     　﻿]"
+NOT_SPACE = "[^" + SPACE[1:]
 PRICE = r"(?i)R\$" + SPACE + r"*\d[\d.,]*"
 #: A word edge as browsers see it: only ASCII letters, digits and _ are word characters.
 EDGE_BEFORE, EDGE_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -39,8 +40,8 @@ def empty_to_null(x: Column) -> Column:
 
 
 def squeeze(x: Column) -> Column:
-    """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(x, SPACE + "+", " "))
+    """White space runs as one blank, none at the ends. A lone blank is left where it is: most are."""
+    return F.trim(F.regexp_replace(x, f"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " "))
 
 
 def clean(x: Column) -> Column:

@@ -10,7 +10,7 @@ from gondola.operators import ranking
 
 # What a source gets where its input says nothing.
 DEFAULTS = {"scheduleMinutes": 360, "maxSections": 20, "maxPagesPerSection": 8, "maxItemsPerPage": 250, "workerCount": 3, "productsWebhookBatchSize": 10}
-JOBS_KEPT, BATCHES_KEPT = 500, 50
+JOBS_KEPT, BATCHES_KEPT, ID_LENGTH = 500, 50, 60
 
 
 def job_summary(jobs: DataFrame) -> DataFrame:
@@ -58,11 +58,12 @@ def latest_catalog(sources: DataFrame, jobs: DataFrame, summaries: DataFrame) ->
     return own.join(summaries.withColumnRenamed("jobId", "latestJobId"), "latestJobId", "left")
 
 
-def patched(base: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of base with the patch's values where it has any; keys that base lacks change nothing."""
+def patched(base: DataFrame, patch: DataFrame, key: str = "id", clearing: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of base with the patch's values where it has any; keys that base lacks change nothing. In the columns that are `clearing` an empty text of the patch makes the value null."""
     new = patch.select(F.col(key), *(F.col(c).alias(f"_{c}") for c in patch.columns if c != key))
     out = base.join(new, key, "left")
-    return out.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c != key and c in patch.columns else F.col(c) for c in base.columns))
+    value = lambda c: F.when(F.col(f"_{c}") == "", None).otherwise(F.coalesce(F.col(f"_{c}"), F.col(c))) if c in clearing else F.coalesce(F.col(f"_{c}"), F.col(c))
+    return out.select(*(value(c).alias(c) if c != key and c in patch.columns else F.col(c) for c in base.columns))
 
 
 def upserted(base: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -112,17 +113,18 @@ def batch_id(at: Column, label: Column) -> Column:
 
 
 def normalised_sources(inputs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Inputs (schemas.SOURCE_INPUT) as sources: numbers, flags and defaults; what the input lacks is kept from the existing source of the same id."""
+    """Inputs (schemas.SOURCE_INPUT) as sources: numbers, flags and defaults; what the input lacks is kept from the existing source of the same id, but for the city, which is then null. An empty webhook URL clears it."""
     url = urls.ensure_scheme(F.col("url"))
     label = F.coalesce(text.clean(F.col("label")), urls.host(url))
-    rows = inputs.withColumn("url", url).where("url is not null").withColumn("label", label).withColumn("id", text.slug(F.concat_ws("-", "label", urls.host(F.col("url"))), 80))
+    rows = inputs.withColumn("url", url).where("url is not null").withColumn("label", label).withColumn("id", text.slug(F.concat_ws("-", "label", urls.host(F.col("url"))), ID_LENGTH))
     if existing is not None:
-        old = existing.select("id", *(F.col(c).alias(f"_{c}") for c in (*DEFAULTS, "city", "enabled", "headless", "adapterHint", "productsWebhookUrl")))
+        old = existing.select("id", *(F.col(c).alias(f"_{c}") for c in (*DEFAULTS, "enabled", "headless", "adapterHint", "productsWebhookUrl")))
         rows = rows.join(old, "id", "left")
     kept = lambda c, other: F.coalesce(F.col(f"_{c}"), other) if existing is not None else other
     numbers = {c: text.whole_number(F.col(c), 1, kept(c, F.lit(n))) for c, n in DEFAULTS.items()}
     flags = {"enabled": text.truth(F.col("enabled"), kept("enabled", F.lit(True))), "headless": text.truth(F.col("headless"), kept("headless", F.lit(True)))}
-    words = {c: F.coalesce(text.clean(F.col(c)), kept(c, F.lit(None).cast("string"))) for c in ("city", "productsWebhookUrl")}
+    hook = text.squeeze(F.col("productsWebhookUrl"))
+    words = {"city": text.clean(F.col("city")), "productsWebhookUrl": text.empty_to_null(F.coalesce(hook, kept("productsWebhookUrl", F.lit(None).cast("string"))))}
     hint = {"adapterHint": F.coalesce(text.clean(F.col("adapterHint")), kept("adapterHint", F.lit("auto")))}
     return rows.select("id", "label", "url", *(c.alias(k) for k, c in {**words, **flags, **numbers, **hint}.items()))
 

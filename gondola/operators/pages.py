@@ -115,9 +115,9 @@ def heading_sections(found: DataFrame, heads: DataFrame, n: int = 60) -> DataFra
 
 def sections(found: DataFrame, n: int, heads: DataFrame | None = None) -> DataFrame:
     """The best n section links of each page: those that its headings name, if given, and links on its origin that are no product or account page; each URL once."""
-    on_site = found.where(F.col("href").startswith(urls.origin(F.col("url"))) & ~F.col("in_frame") & ~scoring.like(F.col("href"), scoring.PRODUCT_PAGE))
+    on_site = found.where(F.col("href").startswith(urls.origin(F.col("url"))) & ~F.col("in_frame") & ~scoring.like(F.col("href"), scoring.SECTION_PRODUCT))
     hay = scoring.both(F.col("text"), F.col("href"))
-    able = on_site.where(scoring.like(hay, "depart|categor|produt|catalog|shop|" + scoring.THEMED) & ~scoring.like(hay, scoring.ACCOUNT))
+    able = on_site.where(scoring.like(hay, scoring.SECTION_ABLE) & ~scoring.like(hay, scoring.SECTION_NOT))
     scored = able.withColumn("score", scoring.section_score(F.col("text"), F.col("href"), F.col("has_image")))
     best = ranking.top(scored, ["page_id"], [F.col("score").desc(), F.col("seq")], 3 * n).drop("rank").withColumn("kind", F.lit(1))
     if heads is not None:

@@ -15,6 +15,7 @@ PAGE_MARK = r"page=|pagina=|/page/\d+"
 ACCOUNT = "login|conta|institucional|blog|contato|faq|privacidade|cookie|carrinho|cart|favorito|wishlist|formas-de-pagamento|pagamento"
 SECTION_NOT = ACCOUNT + "|checkout"
 SECTION_PRODUCT = r"/produto/|/p/|sku=|product_id="
+SECTION_ABLE = "categoria|categorias|departamento|departamentos|secao|secoes|setor|catalog|category|department|shop|produto|produtos|mercado|promoc|ofertas?|festival|clube|especial|barato|carne|páscoa|pascoa|ver mais|ver tudo"
 ROOT = (("categorias?|category|departamentos?|department", 180), ("produt|catalog|shop|listar", 60), ("oferta|encarte|promoc", -140), (INSTITUTIONAL, -420))
 ROOT_INPUT = "categor|depart|produt|catalog|shop|busca"
 ROOT_LANDED = "formas-de-pagamento|pagamento|institucional|privacidade|contato|blog|login"

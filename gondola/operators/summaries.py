@@ -33,11 +33,16 @@ def flat_catalogs(catalogs: DataFrame) -> DataFrame:
 
 
 def webhook_rows(products: DataFrame, context: DataFrame, group: list[str], order: list[Column], size: int = 10) -> DataFrame:
-    """The payload of each batch of products: envelope and products in order. context: one row for each group."""
-    rows = ranking.in_chunks(products, group, order, size).join(context, group)
-    fields = [c for c in products.columns if c not in group]
-    item = F.struct("itemIndex", "itemIndexInBatch", *fields)
-    return rows.groupBy(*group, "batchIndex", "totalBatches", "batchSize", *[c for c in context.columns if c not in group]).agg(F.to_json(F.sort_array(F.collect_list(item))).alias("products"))
+    """(group, batchIndex, body) of each batch of products: body is a JSON array of flat objects, one for each product in order, each with the envelope's fields, of which the product's own win. context: the envelope, one row for each group."""
+    counts = products.groupBy(*group).agg(F.count("*").alias("totalProducts"))
+    own = [c for c in products.columns if c not in group]
+    places = ["totalProducts", "batchIndex", "totalBatches", "batchSize", "itemIndexInBatch"]
+    outer = [*context.columns, *places]
+    placed = products.select(*group, F.struct(*own).alias("_product"), *(c.alias(f"_order{k}") for k, c in enumerate(order)))
+    rows = ranking.in_chunks(placed, group, [F.col(f"_order{k}") for k in range(len(order))], size).join(context, group).join(counts, group)
+    item = F.struct("itemIndexInBatch", F.struct(*[F.col(c) for c in outer if c not in own], *[F.col("_product")[c].alias(c) for c in own]).alias("item"))
+    listed = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"])
+    return rows.groupBy(*group, "batchIndex").agg(F.to_json(listed, {"ignoreNullFields": "false"}).alias("body"))
 
 
 def log_view(products: DataFrame, badges: int = 6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,7 +51,11 @@ def page_candidates(pages: DataFrame, captures: DataFrame, most: int = ITEMS) ->
 def written(df: DataFrame, name: str) -> DataFrame:
     """df from a table in the folder named by spark.checkpoint.dir: cuts the plan."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gondola-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gondola-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -130,17 +135,18 @@ def investigated(inputs: DataFrame, pages: DataFrame, captures: DataFrame, most:
 def frontier(links: DataFrame, seeds: DataFrame, able: Column | None = None, rounds: int = 10, most: int = ROOTS) -> DataFrame:
     """(url, depth) of at most `most` pages reached from seeds (url) over links (url, href), breadth first, each once.
 
-    It never has more than `most` rows, so each round's are brought to the driver, which keeps the plan small.
+    The edges are written once, and so are the pages of each round, which keeps the plan small; a round is one join.
     """
-    spark = seeds.sparkSession
     able = scoring.catalog_link(F.col("href")) if able is None else able
-    edges = links.where(able).select("url", F.col("href").alias("to")).distinct()
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0)).orderBy("url").limit(most)
+    edges = written(links.where(able & (F.col("url") != F.col("href"))).select("url", F.col("href").alias("to")).distinct(), "frontier-edges")
+    seen = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)).orderBy("url").limit(most), "frontier")
+    n = seen.count()
     for depth in range(1, rounds + 1):
-        known = spark.createDataFrame(seen.collect(), "url string, depth int")
-        new = known.where(F.col("depth") == depth - 1).join(edges, "url").select(F.col("to").alias("url")).distinct()
-        new = new.join(known, "url", "left_anti").withColumn("depth", F.lit(depth))
-        seen = known.unionByName(new).orderBy("depth", "url").limit(most)
-        if new.isEmpty():
+        new = seen.where(F.col("depth") == depth - 1).join(edges, "url").select(F.col("to").alias("url")).distinct()
+        new = new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
+        more = written(new.orderBy("url").limit(most - n), "frontier") if n < most else None
+        grown = more.count() if more is not None else 0
+        if not grown:
             break
+        seen, n = seen.unionByName(more), n + grown
     return seen

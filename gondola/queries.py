@@ -68,7 +68,7 @@ def normalize_text(spark, d):
 
 @query("SELECT doc_id, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS clean, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines FROM documents")
 def clean_text(spark, d):
-    n = F.size(F.filter(F.transform(F.split("text", "\n"), text.squeeze), lambda x: x != ""))
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(text.NOT_SPACE)))
     return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("clean"), n.cast("long").alias("lines"))
 
 
@@ -154,18 +154,6 @@ def section_topk(spark, d):
     return ranking.top(scored, ["page_id"], [F.col("score").desc(), F.col("seq")], 3).select("page_id", "href", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def links_of_trees(spark, d):
-    """Discovered links by the HTML tree, best first."""
-    return pages.discovered_links(pages.links(table(spark, d, "pages"))).select("page_id", "href", "text", "score")
-
-
-@query()
-def card_groups(spark, d):
-    """Groups of product cards of each page; the shared pages have none."""
-    return pages.group_stats(table(spark, d, "pages"))
-
-
 PAGE_OF = "coalesce(try_cast(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '') AS INT), 1)"
 
 
@@ -185,13 +173,14 @@ def synthesised_pages(spark, d):
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 40 AS a, o_orderkey % 40 AS b FROM orders), "
-    "f(n, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT b, depth + 1 FROM f JOIN e ON a = n WHERE depth < 3) "
-    "SELECT 'n' || n AS url, min(depth) AS depth FROM f GROUP BY n"
+    f"WITH RECURSIVE e AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS a, regexp_replace(lower(regexp_extract(href, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS b FROM ({LINKS})), "
+    "s AS (SELECT min(a) AS n FROM e WHERE a <> ''), f(n, depth) AS (SELECT n, 0 FROM s UNION SELECT b, depth + 1 FROM f JOIN e ON a = n WHERE depth < 3 AND b <> '') SELECT n AS url, min(depth) AS depth FROM f GROUP BY n"
 )
 def frontier_bfs(spark, d):
-    links = table(spark, d, "orders").select(F.concat(F.lit("n"), F.col("o_custkey") % 40).alias("url"), F.concat(F.lit("n"), F.col("o_orderkey") % 40).alias("href"))
-    return catalog.frontier(links, spark.createDataFrame([("n0",)], "url string"), F.lit(True), rounds=3, most=1000)
+    """Hosts that three links lead to from the first host of the pages' own links."""
+    found = href_rows(spark, d).select(urls.host(F.col("url")).alias("url"), urls.host(F.col("href")).alias("href")).where("url <> ''")
+    links = found.where("href <> ''")
+    return catalog.frontier(links, found.agg(F.min("url").alias("url")), F.lit(True), rounds=3, most=1 << 30)
 
 
 # Keep-the-best
@@ -422,13 +411,9 @@ def city_coverage(spark, d):
     "SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS badges FROM r WHERE k <= 8 GROUP BY doc_id"
 )
 def badges_distinct_ci(spark, d):
-    docs = table(spark, d, "documents")
     words = F.split(text.squeeze(F.col("text")), " ")
-    found = docs.select("doc_id", F.posexplode(words).alias("i", "word")).where(F.length("word").between(2, 80))
-    first = found.groupBy("doc_id", F.lower("word").alias("key")).agg(F.min_by("word", "i").alias("word"), F.min("i").alias("i"))
-    best = ranking.top(first, ["doc_id"], [F.col("i")], badges.MOST)
-    listed = best.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words"))
-    return listed.select("doc_id", F.array_join(badges.badge_list(F.col("words")), " ").alias("badges"))
+    listed = table(spark, d, "documents").select("doc_id", badges.badge_list(words).alias("badges")).where(F.size("badges") > 0)
+    return listed.select("doc_id", F.array_join("badges", " ").alias("badges"))
 
 
 @query(

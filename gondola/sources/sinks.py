@@ -80,8 +80,8 @@ def http_post(url: str, body: str, headers: dict[str, str] | None = None, timeou
 
 
 def post_rows(rows: DataFrame, url: str, order: list[str], post: Callable[[str, str], int] = http_post) -> DataFrame:
-    """Posts each row as JSON, those of a task one after the other in order; (body, status, error). A failed call is a row, it is neither raised nor repeated."""
-    body = rows.sortWithinPartitions(*order).select(F.to_json(F.struct(*rows.columns)).alias("body"))
+    """Posts each row's body, those of a task one after the other in order; (body, status, error). A failed call is a row, it is neither raised nor repeated."""
+    body = rows.sortWithinPartitions(*order).select("body")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

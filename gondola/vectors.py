@@ -1,0 +1,413 @@
+"""Registered queries over small frames written here: each operator on the cases that its meaning turns on, against values worked out by hand in SQL."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gondola import schemas
+from gondola.functions import badges, payloads, prices, text, urls
+from gondola.operators import cities, ledger, pages, ranking, scoring, shelves, summaries
+from gondola.plans import catalog, runs
+from gondola.queries import query
+from gondola.sources import readers, sinks
+
+NULL = "NULL"
+
+
+def values(columns: str, *rows: str) -> str:
+    """SQL of literal rows."""
+    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS t({columns})"
+
+
+def of(spark: SparkSession, cases: list, column, kind: str = "string") -> DataFrame:
+    """(k, y): the column function of each case, numbered from 0."""
+    return spark.createDataFrame(list(enumerate(cases)), f"k int, x {kind}").select("k", column(F.col("x")).alias("y"))
+
+
+def strings(*expected) -> str:
+    """SQL of (k, y) for expected texts."""
+    quoted = lambda e: "NULL::VARCHAR" if e is None else "'" + e.replace("'", "''") + "'"
+    return values("k, y", *(f"{k}, {quoted(e)}" for k, e in enumerate(expected)))
+
+
+def plain(kind: str, *expected) -> str:
+    return values("k, y", *(f"{k}, {NULL if e is None else e}::{kind}" for k, e in enumerate(expected)))
+
+
+# Prices and text
+
+
+@query(plain("DOUBLE", 1299.9, 1299.9, 5.99, 1.299, 1.23, -15, None, None))
+def parse_price_cases(spark, d):
+    return of(spark, ["R$ 1.299,90", "1,299.90", "R$ 5,99", "1.299", "1,2,3", "-15%", "abc", None], prices.parse_price)
+
+
+@query(plain("DOUBLE", 1299.9, 5.99, 1299, None, None))
+def parse_shelf_price_cases(spark, d):
+    return of(spark, ["R$ 1.299,90", "R$ 5,99", "1.299", "R$ 0,00", "abc"], prices.parse_shelf_price)
+
+
+@query(strings("R$ 12,50", "gratis", "a partir R$ abc", None))
+def format_price_text_cases(spark, d):
+    return of(spark, ["12,5", "gratis", "a partir R$ abc", ""], prices.format_price_text)
+
+
+@query(plain("DOUBLE", 3.5, 2, None))
+def first_price_cases(spark, d):
+    rows = spark.createDataFrame([(0, "x", "3,5", "1"), (1, "2", "3", None), (2, None, "", "x")], "k int, a string, b string, c string")
+    return rows.select("k", prices.first_price(F.col("a"), F.col("b"), F.col("c")).alias("y"))
+
+
+@query(plain("INT", 25, 38, 0, -15, None))
+def discount_cases(spark, d):
+    rows = spark.createDataFrame([(0, None, 5.99, 7.99), (1, None, 10.0, 16.0), (2, "0", 5.0, 10.0), (3, "-15%", 5.0, 10.0), (4, None, 8.0, 8.0)], "k int, g string, c double, o double")
+    return rows.select("k", prices.discount_percent(F.col("g"), F.col("c"), F.col("o")).alias("y"))
+
+
+@query(values("k, current, original, n", "0, 5.99::DOUBLE, 7.99::DOUBLE, 2", "1, NULL, NULL, NULL", "2, 3, NULL, 2", "3, NULL, NULL, NULL"))
+def price_state_cases(spark, d):
+    states = of(spark, ["de R$ 7,99 por R$ 5,99", "R$ 1,00 R$ 2,00 R$ 3,00 R$ 4,00", "R$ 3,00 R$ 3,00", "nada"], lambda x: prices.price_state(x, 3))
+    return states.select("k", "y.current", "y.original", "y.n")
+
+
+@query(strings("Arroz  5kg", None, "Feijão"))
+def product_text_cases(spark, d):
+    return of(spark, ["Arroz R$ 5,99 5kg", "R$ 5,99", " Feijão "], text.product_text)
+
+
+@query(plain("INT", 12, 7, 7, 7, 3))
+def whole_number_cases(spark, d):
+    return of(spark, ["12abc", "0", "x", None, " +3"], lambda x: text.whole_number(x, 1, 7))
+
+
+@query(plain("BOOLEAN", "true", "true", "false", "false", None))
+def truth_cases(spark, d):
+    return of(spark, ["Yes", "1", "off", "NO", "maybe"], lambda x: text.truth(x, None))
+
+
+@query(strings("pascoa-feliz", "acucar", "a-b"))
+def folded_slug_cases(spark, d):
+    return of(spark, ["Páscoa Feliz", "  Açúcar  ", "a & b"], text.folded_slug)
+
+
+@query(strings("a|b", "", "x y"))
+def lines_cases(spark, d):
+    return of(spark, ["a\n\n b\na", " \n ", "x  y"], lambda x: F.array_join(text.lines(x), "|"))
+
+
+# Cities and URLs
+
+
+@query(values("k, city, bracket, word", "0, 'Balneario Camboriu', 'Balneario Camboriu, Centro', 'Balneario'", "1, 'Gaspar', 'Gaspar', 'gaspar'", "2, 'Ilhota', NULL, NULL", "3, 'Blumenau', NULL, NULL", "4, 'São José', NULL, NULL", "5, NULL, NULL, NULL"))
+def city_label_cases(spark, d):
+    cases = ["Rede Azul - Balneario Camboriu, Centro", "Mercado LJ01 - gaspar (Centro)", "Retirar na loja: ILHOTA, SC", "Loja de Blumenau Retirada", "Cidade: são josé", "nada"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, x string")
+    return rows.select("k", cities.city_of(F.col("x")).alias("city"), cities.city_to_bracket(F.col("x")).alias("bracket"), cities.city_first_word(F.col("x")).alias("word"))
+
+
+@query(values('k, "cityCoverage", "cityEligible", inferred, "effectiveCity"', "0, 'match', true, false, 'SAO JOSE'", "1, 'mismatch', false, false, 'Ilhota'", "2, 'match', true, true, 'Gaspar'", "3, 'default', true, true, NULL"))
+def site_context_cases(spark, d):
+    rows = spark.createDataFrame([(0, "São José", "SAO JOSE"), (1, "Gaspar", "Ilhota"), (2, "Gaspar", None), (3, None, None)], "k int, requestedCity string, labelCity string")
+    return cities.site_context(rows).select("k", "cityCoverage", "cityEligible", "inferred", "effectiveCity")
+
+
+@query(values("seq, label", "1, 'Loja: Centro Rua A, 1'", "4, 'Retirar na loja: Norte'"))
+def label_lines_cases(spark, d):
+    df = spark.createDataFrame([(1, "topo\nLoja:  Centro\n\nRua A, 1\nRetirar na loja: Norte")], "page_id long, body string")
+    return cities.label_lines(df, "body", ["loja:", "retirar na loja:"]).select("seq", "label")
+
+
+@query(strings("http://a/produto/x-1", "http://a/p/2", "https://z/q", None))
+def product_link_cases(spark, d):
+    return of(spark, ["x-1", "/p/2", "https://z/q", "a b"], lambda u: urls.product_link(u, F.lit("http://a/b/c")))
+
+
+@query(strings("http://a/listar.php http://a/produtos http://a/ofertas http://a/ofertas-por-cidade http://a/catalogsearch/result/?q=arroz%205kg http://a/busca/arroz%205kg http://a/busca?busca=arroz%205kg http://a/search?q=arroz%205kg http://a/pesquisa?busca=arroz%205kg"))
+def search_candidates_cases(spark, d):
+    return of(spark, ["http://a/b"], lambda u: F.array_join(urls.search_candidates(u, F.lit("arroz 5kg")), " "))
+
+
+@query(strings("shelf", "generic", "generic"))
+def adapter_cases(spark, d):
+    return of(spark, ["http://www.chain.example/x", "http://b", None], lambda u: urls.adapter(u, F.lit("auto"), {"chain.example": "shelf"}))
+
+
+# Badges and labels
+
+
+@query(strings("Oferta|Clube", "", "a1|b2|c3|d4|e5|f6|g7|h8"))
+def badge_list_cases(spark, d):
+    cases = [["Oferta", "OFERTA", "R$ 5,00", "x", " Clube ", None, ""], None, ["a1", "b2", "A1", "c3", "d4", "e5", "f6", "g7", "h8", "i9"]]
+    return of(spark, cases, lambda b: F.array_join(badges.badge_list(b), "|"), "array<string>")
+
+
+@query(strings("Oferta|R$ 5,00|x|Clube"))
+def product_badges_cases(spark, d):
+    return of(spark, [["Oferta", "OFERTA", "R$ 5,00", "x", " Clube ", None, ""]], lambda b: F.array_join(badges.product_badges(b), "|"), "array<string>")
+
+
+@query(values("k, label, campaign, promotion, club, exclusive", "0, 'PÁSCOA feliz', 'PÁSCOA feliz', 'PÁSCOA feliz', false, false", "1, 'Clube', 'Clube', 'Clube', true, false", "2, 'Promoção', 'Festival de Carnes', NULL, false, false", "3, 'Exclusivo do site', 'Exclusivo do site', 'Exclusivo do site', false, true"))
+def campaign_cases(spark, d):
+    rows = spark.createDataFrame([(0, ["PÁSCOA feliz"]), (1, ["desconto", "Clube"]), (2, ["R1"][:0]), (3, ["Exclusivo do site"])], "k int, b array<string>")
+    b = F.col("b")
+    return rows.select("k", badges.campaign_label(F.lit("Promoção"), b).alias("label"), badges.product_campaign(F.lit("oferta"), F.lit("Festival de Carnes"), b).alias("campaign"), badges.promotion_from_badges(b).alias("promotion"), badges.club_offer(b).alias("club"), badges.site_exclusive(b).alias("exclusive"))
+
+
+@query(strings("Máx 3 por CPF", None, "limite 2"))
+def limit_text_cases(spark, d):
+    return of(spark, ["Máx 3 por CPF", "novo", " limite  2 "], badges.limit_text)
+
+
+# Scores
+
+
+@query(plain("INT", 34, 50, 0))
+def section_link_score_cases(spark, d):
+    rows = spark.createDataFrame([(0, "Ver tudo", "http://a/x", False), (1, "Festival", "http://a/busca", True), (2, "nada", "http://a/x", False)], "k int, t string, h string, i boolean")
+    return rows.select("k", scoring.section_link_score(F.col("t"), F.col("h"), F.col("i")).cast("int").alias("y"))
+
+
+@query(plain("INT", 92, 32, 0))
+def related_score_cases(spark, d):
+    rows = spark.createDataFrame([(0, "Ver tudo da categoria", "http://a/s/categorias/x"), (1, "2", "http://a/s?page=2"), (2, "nada", "http://b/x")], "k int, t string, h string")
+    return rows.select("k", scoring.related_score(F.col("t"), F.col("h"), F.lit("http://a/s/")).cast("int").alias("y"))
+
+
+@query(plain("BOOLEAN", "true", "false", "false"))
+def catalog_link_cases(spark, d):
+    return of(spark, ["http://a/departamentos", "http://a/produtos/ofertas", "http://a/contato"], scoring.catalog_link)
+
+
+@query(plain("BOOLEAN", "true", "true", "false", "false"))
+def enough_cases(spark, d):
+    rows = spark.createDataFrame([(0, 20, "http://a/"), (1, 5, "http://a/x"), (2, 5, "http://a/"), (3, 4, "http://a/x")], "k int, n int, u string")
+    return rows.select("k", catalog.enough(F.col("n"), F.col("u")).alias("y"))
+
+
+@query(values("k, rank", "0, 1", "1, 2"))
+def city_anchor_top(spark, d):
+    """The best links by their city score."""
+    rows = spark.createDataFrame([(0, "gaspar", "http://a/gaspar"), (1, "loja gaspar centro", "http://a/x"), (2, "ilhota", "http://a/ilhota")], "k int, t string, h string")
+    scored = rows.withColumn("score", scoring.city_anchor_score(F.col("t"), F.col("h"), F.lit("gaspar"), F.lit("gaspar"))).where("score > 0").withColumn("one", F.lit(1))
+    return ranking.top(scored, ["one"], [F.col("score").desc(), F.col("k")], 2).select("k", "rank")
+
+
+@query(plain("BOOLEAN", "true", "false", "false"))
+def capture_able_cases(spark, d):
+    rows = spark.createDataFrame([(0, "http://a/api/x", "application/json", "{}"), (1, "http://a/x.css", "text/css", "x"), (2, "http://a/api", "application/json", "x" * 1_200_001)], "k int, u string, c string, b string")
+    return rows.select("k", scoring.capture_able(F.col("u"), F.col("c"), F.col("b")).alias("y"))
+
+
+# Pages and payloads
+
+CARDS = """<nav><a href="/categorias/x">menu</a></nav><ul>
+<li class="card big"><img src=/1.png alt="Foto"><h3>Arroz 5kg</h3><span>R$ 7,99</span><b>R$ 5,99</b><span class=chip>Super barato</span><p>Limite 3 por cpf</p><a href="/produto/11/arroz">ver</a>
+<li class="card big"><img data-src=/2.png><p class=nome>Feijão preto</p><span>R$ 8,49</span><a href="/produto/12">ver</a></ul><a href="/categorias/y"><img src=z> Todos os produtos</a><a href="/login">conta</a><a>7</a><a>501</a>"""
+
+
+def landed(spark, html: str = CARDS) -> DataFrame:
+    return spark.createDataFrame([(1, "http://loja.example/", html)], schemas.PAGE)
+
+
+@query(values("seq, id, name, current, original, badges, image, link", "0, '11', 'Arroz 5kg', 5.99::DOUBLE, 7.99::DOUBLE, 'Super barato|Limite 3 por cpf', 'http://loja.example/1.png', 'http://loja.example/produto/11/arroz'", "1, '12', 'Feijão preto', 8.49, NULL, '', 'http://loja.example/2.png', 'http://loja.example/produto/12'"))
+def page_items_cases(spark, d):
+    found = pages.page_items(landed(spark))
+    return found.select("seq", "id", "name", "current", "original", F.array_join("badges", "|").alias("badges"), "image", "link")
+
+
+@query(values("selector, n, price, link, image, name_length, score", "'li.card.big', 2, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 10.5::DOUBLE, 64.05::DOUBLE"))
+def card_groups(spark, d):
+    found = pages.group_stats(landed(spark)).where("selector = 'li.card.big'")
+    return found.select("selector", "n", "price", "link", "image", "name_length", F.round("score", 6).alias("score"))
+
+
+@query(values("href, text", "'http://loja.example/categorias/y', 'Todos os produtos'", "'http://loja.example/categorias/x', 'menu'"))
+def links_of_trees(spark, d):
+    """Discovered links by the HTML tree."""
+    return pages.discovered_links(pages.links(landed(spark))).select("href", "text").where("href like '%categorias%'")
+
+
+@query(values("page_id, pages", "1::BIGINT, 7"))
+def max_page_of_links(spark, d):
+    texts = spark.createDataFrame([(1, "7"), (1, "501"), (1, "x"), (1, "3")], "page_id long, text string")
+    return pages.max_page_number(texts)
+
+
+@query(values("href, text, score", "'http://loja.example/x1', 'Bebidas', 114::BIGINT", "'http://loja.example/categoria/z', 'Zeta', 28", "'http://loja.example/x3', 'ver tudo', 8", "'http://loja.example/setor/1', 'Setor', 8"))
+def heading_sections_cases(spark, d):
+    html = """<header><h2>Menu topo</h2><a href="/listar/top">x</a></header><div><section class="a"><h2>Bebidas</h2><p><a href="/x1">ver tudo</a><a href="/x2">nada</a></p></section>
+    <section><h2>Minha conta</h2><a href="/x3">ver tudo</a></section><section><h3>Frios</h3><a href="/produto/9">ver mais</a></section></div><a href="/categoria/z">Zeta</a><a href="/setor/1">Setor</a><a href="/checkout/produtos">Comprar</a>"""
+    df = landed(spark, html)
+    return pages.sections(pages.links(df), 9, pages.headings(df)).select("href", "text", F.col("score").cast("long").alias("score"))
+
+
+ITEM = {"id": 7, "nome": "Arroz Tipo 1", "pricing": {"price": "9,99", "promotionalPrice": 7.49, "promotion": {"name": "Festival"}}, "imagem": "/i.png", "slug": "arroz-1", "unidade": "kg", "tags": ["Novo", "R$ 1,00"], "clube": True}
+
+
+def captured(spark) -> DataFrame:
+    body = json.dumps({"data": {"products": [ITEM, 3, {"x": 1}], "extra": [dict(ITEM, id=8, nome="Feijão")]}})
+    return spark.createDataFrame([("http://p", 0, "https://a/search", "application/json", body), ("http://p", 1, "https://a/search", "application/json", "not json")], "page_url string, seq int, url string, content_type string, body string")
+
+
+@query(values('rank, path, score, "normalizedCount"', "1, '$.data.products', 45, 1", "2, '$.data.extra', 25, 1"))
+def payload_matches_cases(spark, d):
+    found = pages.payload_matches(captured(spark))
+    return found.select("rank", "path", F.col("score").cast("int").alias("score"), "normalizedCount")
+
+
+@query(values("id, name, current, original, promotion, label, unit, image, link, badges", "'7', 'Arroz Tipo 1', 7.49::DOUBLE, 9.99::DOUBLE, true, 'Festival', 'kg', 'https://a/i.png', 'https://a/produto/arroz-1', 'Novo|Festival|Clube'", "'8', 'Feijão', 7.49, 9.99, true, 'Festival', 'kg', 'https://a/i.png', 'https://a/produto/arroz-1', 'Novo|Festival|Clube'"))
+def payload_items_cases(spark, d):
+    found = pages.payload_items(captured(spark), 10)
+    return found.select("id", "name", "current", "original", "promotion", "label", "unit", "image", "link", F.array_join("badges", "|").alias("badges"))
+
+
+@query(values("path, value, vtype", "'a', '1', 'number'", "'a.b', '2', 'number'", "'d.e', 'x', 'string'", "'d.g', 'true', 'boolean'"))
+def json_flatten_cases(spark, d):
+    df = spark.createDataFrame([('{"a": [1, {"b": 2}, null], "c": null, "d": {"e": "x", "g": true}}',), ("not json",)], "x string")
+    return df.select(F.explode(payloads.flat_json("x")).alias("f")).select("f.*")
+
+
+@query(strings("short", "g", None))
+def json_pick_cases(spark, d):
+    cases = ['{"x": {"y": {"name": "long"}}, "name": "short"}', '{"unidade": "kg", "a": {"uom": "g"}}', '{"q": "z"}']
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, x string").withColumn("f", payloads.flat_json("x"))
+    return rows.select("k", F.coalesce(payloads.pick_path(F.col("f"), payloads.NAMES), payloads.pick_path(F.col("f"), payloads.UNITS)).alias("y"))
+
+
+SHELF = """<h1>23 Produtos</h1><a href="/departamentos/padaria">Padaria </a><a href="/departamentos/padaria">de novo</a>
+<div class="card"><a href="/produto/77/pao"><span>Pão</span></a><img alt="Pão francês" src="/p.png"><b>R$ 1.299,90 /KG</b><i>R$ 999,00</i></div>
+<div class="card"><img alt="Bolo"><b>R$ 5</b></div><div class="card"><img alt="Broa"><b>R$ 4,00</b></div>"""
+
+
+def shelf_page(spark) -> DataFrame:
+    return spark.createDataFrame([("d", "Padaria", "http://s/d", 1, "http://s/d?p=1", SHELF, "Rede - Gaspar (SC)", "Gaspar")], shelves.PAGES)
+
+
+@query(values("row_id, product_id, price, original_price_value, discount_percent, unit, product_url", "'d-1-77', '77', 'R$ 999,00', 1299.9::DOUBLE, 23, '/kg', 'http://s/produto/77/pao'", "'d-1-3', NULL, 'R$ 4,00', NULL, NULL, NULL, NULL"))
+def shelf_products_cases(spark, d):
+    return shelves.products(shelf_page(spark), "div.card").select("row_id", F.nullif("product_id", F.lit("")).alias("product_id"), "price", "original_price_value", "discount_percent", "unit", "product_url")
+
+
+@query(values("id, label, total", "'padaria', 'Padaria', 23"))
+def shelf_departments_cases(spark, d):
+    rows = shelf_page(spark)
+    found = shelves.departments(pages.links(rows.select(F.lit(1).alias("page_id"), "url", "html")))
+    return found.select("id", "label", F.lit(SHELF).alias("t")).select("id", "label", pages.total_products(F.col("t")).alias("total"))
+
+
+@query(values("seq, id", "1, '1'", "3, NULL"))
+def shelf_dedupe_cases(spark, d):
+    rows = [("1", "d", "D", "a", 2, 5.0, 0), ("1", "d", "D", "a", 1, 9.0, 1), (None, "d", "D", "B c", 1, 2.0, 2), (None, "d", "D", "b C", 1, 1.0, 3)]
+    df = spark.createDataFrame(rows, "product_id string, department_id string, department_label string, name string, page int, price_value double, seq int")
+    return ranking.distinct_shelf(df, text.slug(F.col("name"))).select("seq", F.col("product_id").alias("id"))
+
+
+@query(values('place, "pageUrl"', "1, 'http://a/s'", "2, 'http://a/categorias/x'", "3, 'http://a/s?page=4'", "4, 'http://a/s?page=2'", "5, 'http://a/s?page=3'"))
+def section_pages_cases(spark, d):
+    found = [("http://a/s?page=4", "4"), ("http://a/categorias/x", "Ver tudo"), ("http://b/y", "Ver tudo"), ("http://a/login", "Ver tudo"), ("http://a/produto/1", "x")]
+    links = spark.createDataFrame([("http://a/s", k, h, t) for k, (h, t) in enumerate(found)], "url string, seq int, href string, text string")
+    return catalog.section_pages(links, 8).select("place", "pageUrl")
+
+
+# Ledger, batches and exports
+
+
+@query(values('id, label, url, city, enabled, "scheduleMinutes", "maxItemsPerPage", hook', "'loja-a-loja-example', 'Loja A', 'https://www.loja.example', NULL, false, 12, 250, NULL", f"'{('muito-' * 12)[:60]}', '{('muito ' * 12).strip()}', 'https://b.example/x', 'Gaspar', true, 360, 250, 'http://h'"))
+def normalised_sources_cases(spark, d):
+    """What is given, what is kept (the flag and the schedule), what is cleared (the city, the empty webhook), and the id's 60 characters."""
+    old = spark.createDataFrame([("Loja A", "www.loja.example", "Gaspar", None, "12abc", None, None, "-1", None, "no", None, "http://w", None)], schemas.SOURCE_INPUT)
+    new = [("Loja A", "www.loja.example", *[None] * 9, " ", None), (" muito" * 12, "https://b.example/x", " Gaspar ", *[None] * 8, "http://h", None), ("sem url", None, *[None] * 11)]
+    found = ledger.normalised_sources(spark.createDataFrame(new, schemas.SOURCE_INPUT), ledger.normalised_sources(old))
+    return found.select("id", "label", "url", "city", "enabled", "scheduleMinutes", "maxItemsPerPage", F.col("productsWebhookUrl").alias("hook"))
+
+
+@query(values('"batchLabel", index, url, city, "adapterHint"', "'b1', 1, 'https://a.com', 'Gaspar', 'auto'", "'b1', 2, 'https://b.com', 'Ilhota', 'shelf'", "'b2', 1, 'https://c.com', NULL, 'auto'", "'b2', 2, 'https://d.com', NULL, 'auto'", "'b3', 1, 'https://e.com', NULL, 'auto'"))
+def normalised_batches_cases(spark, d):
+    rows = [("b1", None, "Gaspar", None, [("x", "a.com", None, None), (None, "b.com", "Ilhota", "shelf")], None, None), ("b2", None, None, None, None, "c.com\r\n\n# no\nd.com", None), ("b3", None, None, None, None, None, "e.com"), ("b4", *[None] * 6)]
+    return ledger.normalised_batches(spark.createDataFrame(rows, schemas.BATCH_INPUT)).select("batchLabel", "index", "url", "city", "adapterHint")
+
+
+@query(values("job, batch, artifact", "'2024-05-06T07-08-09-123Z-loja-a', '2024-05-06T07-08-09-123Z-batch-x', '/artifacts/runs/a.json'"))
+def ids_and_artifacts_cases(spark, d):
+    at = F.lit("2024-05-06 07:08:09.123").cast("timestamp_ntz")
+    return spark.range(1).select(ledger.job_id(at, F.lit("Loja A")).alias("job"), ledger.batch_id(at, F.lit("x")).alias("batch"), ledger.artifact_url(F.lit("/data/runs/a.json"), "/data").alias("artifact"))
+
+
+@query(values("id, label", "'b', 'B'"))
+def by_id_cases(spark, d):
+    return ledger.by_id(spark.createDataFrame([("a", "A"), ("b", "B")], "id string, label string"), "b")
+
+
+@query(values("y", "'a|new|c'"))
+def replaced_item_cases(spark, d):
+    df = spark.createDataFrame([(["a", "b", "c"],)], "x array<string>")
+    return df.select(F.array_join(ledger.replaced(F.col("x"), F.lit(1), F.lit("new")), "|").alias("y"))
+
+
+@query(values("id, hook, city", "1, NULL, 'x'", "2, 'http://w', 'y'"))
+def patch_clears_cases(spark, d):
+    base = spark.createDataFrame([(1, "http://h", "x"), (2, "http://w", "x")], "id int, hook string, city string")
+    patch = spark.createDataFrame([(1, "", None), (2, None, "y"), (3, "z", "z")], "id int, hook string, city string")
+    return ledger.patched(base, patch, clearing=("hook",))
+
+
+@query(values('"batchIndex", place, id, name, status, total, size', "1, 1, 0, 'p0', 'done', 3, 2", "1, 2, 1, 'p1', 'done', 3, 2", "2, 1, 2, 'p2', 'done', 3, 1"))
+def webhook_bodies_cases(spark, d):
+    """Each body is an array of flat objects; the product's own name wins over the envelope's."""
+    products = spark.createDataFrame([("j", k, f"p{k}") for k in range(3)], "jobId string, id int, name string")
+    context = spark.createDataFrame([("j", "done", "envelope")], "jobId string, status string, name string")
+    bodies = summaries.webhook_rows(products, context, ["jobId"], [F.col("id")], 2)
+    kind = "array<struct<itemIndexInBatch:int,id:int,name:string,status:string,totalProducts:int,batchSize:int>>"
+    each = bodies.select("batchIndex", F.inline(F.from_json("body", kind)))
+    return each.select(F.col("batchIndex").cast("int").alias("batchIndex"), F.col("itemIndexInBatch").alias("place"), "id", "name", "status", F.col("totalProducts").alias("total"), F.col("batchSize").alias("size"))
+
+
+@query(values("id, event, status", "'1', 'catalog.completed', 'completed'", "'3', 'catalog.failed', 'failed'"))
+def job_event_cases(spark, d):
+    found = sinks.job_event(spark.createDataFrame([("1", "completed"), ("2", "running"), ("3", "failed")], "id string, status string"))
+    return found.select("id", F.get_json_object("body", "$.event").alias("event"), F.get_json_object("body", "$.job.status").alias("status"))
+
+
+@query(values("folder", "'out/2024-05-06T07-08-09-000Z-loja-a'"))
+def run_folder_cases(spark, d):
+    return spark.range(1).select(sinks.run_folder("out/", F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"), F.lit("Loja A")).alias("folder"))
+
+
+@query(values("id, seq", "'1', 0", "'2', 2"))
+def distinct_extracted_cases(spark, d):
+    """The richer of two rows of a key, at the place of the first."""
+    base = {"id": "1", "name": "Arroz", "price": "R$ 5,00", "link": "u1", "badges": ["a"]}
+    rows = [dict(base, seq=0, badges=[]), dict(base, seq=1), dict(base, id="2", name="Feijão", link="u2", seq=2)]
+    kind = "seq int, id string, name string, price string, link string, badges array<string>, image string, unit string, originalPrice string, discountPercent string, promotionLabel string, limitText string, campaignLabel string, isClubOffer boolean, isSiteExclusive boolean, page string"
+    names = [f.split(" ")[0] for f in kind.split(", ")]
+    df = spark.createDataFrame([tuple({**r, "page": "p"}.get(c) for c in names) for r in rows], kind)
+    return ranking.distinct_extracted(df, ["page"]).select("id", "seq")
+
+
+@query(values("domain, known", "'a', 'x'", "'b', NULL"))
+def with_profiles_cases(spark, d):
+    rows = spark.createDataFrame([("a",), ("b",)], "domain string")
+    return readers.with_profiles(rows, spark.createDataFrame([("a", "x")], "domain string, known string"))
+
+
+@query(values('"sourceId", status, products, message', "'a', 'completed', 10, NULL", "'b', 'failed', NULL, 'boom'"))
+def finished_runs_cases(spark, d):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    sources = spark.createDataFrame([("a", "A", "http://a", None, None), ("b", "B", "http://b", "x", None)], "id string, label string, url string, lastError string, latestJobId string")
+    results = spark.createDataFrame([("a", "generic", 2, 10, True, None), ("b", None, None, None, None, "boom")], "sourceId string, adapterId string, totalSections int, totalProducts int, catalogDetected boolean, message string")
+    done = runs.finished(runs.started(sources, "manual", at), results, at)
+    return done.select("sourceId", "status", F.col("metrics.totalProducts").alias("products"), F.col("error.message").alias("message"))
+
+
+@query(values('"inputUrl", url, seq, n_items, best', "'http://loja.example/x', 'http://loja.example/x', 0, 6::BIGINT, true"))
+def investigated_cases(spark, d):
+    """The input's own page has enough items, so no other is inspected."""
+    card = '<div class="card"><h3>Produto {0}</h3><b>R$ {0},00</b><a href="/produto/{0}">ver</a></div>'
+    html = "".join(card.format(k) for k in range(1, 7)) + '<a href="/categorias/y">Categorias</a>'
+    df = spark.createDataFrame([(1, "http://loja.example/x", html)], schemas.PAGE)
+    inputs = spark.createDataFrame([("http://loja.example/x", "arroz", None)], "inputUrl string, query string, profileUrl string")
+    none = spark.createDataFrame([], "page_url string, seq int, url string, content_type string, body string")
+    return catalog.investigated(inputs, df, none).select("inputUrl", "url", "seq", "n_items", "best")

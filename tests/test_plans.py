@@ -88,7 +88,7 @@ def test_sources_batches_and_ids(spark):
     assert (a["url"], a["city"], a["scheduleMinutes"], a["maxItemsPerPage"], a["enabled"], a["adapterHint"]) == ("https://www.loja.com", "Gaspar", 12, 250, False, "auto")
     assert (b["label"], b["adapterHint"], b["workerCount"]) == ("b.com", "shelf", 3)
     again = ledger.normalised_sources(spark.createDataFrame([("Loja A", "www.loja.com", *[None] * 11)], schemas.SOURCE_INPUT), ledger.normalised_sources(df)).first()
-    assert (again["scheduleMinutes"], again["city"], again["enabled"]) == (12, "Gaspar", False)
+    assert (again["scheduleMinutes"], again["city"], again["enabled"]) == (12, None, False)  # only a city that is given stays
     batches = spark.createDataFrame([("b1", None, "Gaspar", None, [("x", "a.com", None, None), (None, "b.com", "Ilhota", "shelf")], None, None), ("b2", None, None, None, None, "c.com\r\n\n# no\nd.com", None), ("b3", None, None, None, None, None, "e.com"), ("b4", *[None] * 6)], schemas.BATCH_INPUT)
     got = [(r["batchLabel"], r["index"], r["url"], r["city"], r["adapterHint"]) for r in ledger.normalised_batches(batches).orderBy("batchLabel", "index").collect()]
     assert got == [("b1", 1, "https://a.com", "Gaspar", "auto"), ("b1", 2, "https://b.com", "Ilhota", "shelf"), ("b2", 1, "https://c.com", None, "auto"), ("b2", 2, "https://d.com", None, "auto"), ("b3", 1, "https://e.com", None, "auto")]
@@ -137,7 +137,10 @@ def test_webhooks(spark):
     context = spark.createDataFrame([("j", "done")], "job string, event string")
     rows = summaries.webhook_rows(products, context, ["job"], [F.col("id")], 2)
     found = sorted(rows.collect(), key=lambda r: r["batchIndex"])
-    assert [len(json.loads(r["products"])) for r in found] == [2, 2, 1] and found[0]["event"] == "done"
+    bodies = [json.loads(r["body"]) for r in found]
+    assert [len(b) for b in bodies] == [2, 2, 1] and bodies[1][0] == {"job": "j", "event": "done", "totalProducts": 5, "batchIndex": 2, "totalBatches": 3, "batchSize": 2, "itemIndexInBatch": 1, "id": 2, "name": "p2"}
+    named = context.withColumn("name", F.lit("envelope"))
+    assert [x["name"] for r in summaries.webhook_rows(products, named, ["job"], [F.col("id")], 9).collect() for x in json.loads(r["body"])] == [f"p{k}" for k in range(5)]
 
     def post(url, body):
         if '"batchIndex":2' in body:
