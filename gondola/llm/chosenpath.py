@@ -38,7 +38,9 @@ LIMIT = 64
 CHILDREN = 2
 DEPTH = 3
 #: Members and 32-bit tokens of a block, on average at most.
-BLOCK, BLOCK_TOKENS = 512, 4 << 20
+BLOCK, BLOCK_TOKENS = 2048, 4 << 20
+#: A bucket has up to so many blocks before they grow from LEAST_BLOCK to BLOCK members, so that its work is spread.
+SPREAD, LEAST_BLOCK = 16, 256
 #: Rows and bytes that are put together before whole groups are worked on.
 HELD_ROWS, HELD_BYTES = 2000, 32 << 20
 #: Buckets of so many members are compared pair by pair over many buckets at once, larger ones as matrices.
@@ -119,9 +121,10 @@ def leaves(members: DataFrame, runs: int, limit: int = LIMIT) -> DataFrame:
     return out
 
 
-def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds own, low and high: a bucket of more than block members, or of too many tokens, is dealt into blocks, each pair of which is compared apart."""
-    n = F.least(F.ceil(F.greatest(F.col("size") / block, F.col("tokens") / BLOCK_TOKENS)), F.col("size")).cast("int")
+def in_blocks(rows: DataFrame, block: int = BLOCK, least: int = LEAST_BLOCK) -> DataFrame:
+    """Adds own, low and high: a bucket of more than least members, or of too many tokens, is dealt into blocks, each pair of which is compared apart."""
+    few = F.least(F.col("size") / least, F.lit(SPREAD))
+    n = F.least(F.ceil(F.greatest(F.col("size") / block, few, F.col("tokens") / BLOCK_TOKENS)), F.col("size")).cast("int")
     rows = rows.withColumn("blocks", n).withColumn("own", F.when(n > 1, F.pmod(F.xxhash64("uid"), n)).otherwise(0).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return rows.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).drop("other", "blocks")
