@@ -121,9 +121,9 @@ def leaves(members: DataFrame, runs: int, limit: int = LIMIT) -> DataFrame:
     return out
 
 
-def in_blocks(rows: DataFrame, block: int = BLOCK, least: int = LEAST_BLOCK) -> DataFrame:
-    """Adds own, low and high: a bucket of more than least members, or of too many tokens, is dealt into blocks, each pair of which is compared apart."""
-    few = F.least(F.col("size") / least, F.lit(SPREAD))
+def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Adds own, low and high: a bucket of more than LEAST_BLOCK members, or of too many tokens, is dealt into blocks, each pair of which is compared apart."""
+    few = F.least(F.col("size") / min(block, LEAST_BLOCK), F.lit(SPREAD))
     n = F.least(F.ceil(F.greatest(F.col("size") / block, few, F.col("tokens") / BLOCK_TOKENS)), F.col("size")).cast("int")
     rows = rows.withColumn("blocks", n).withColumn("own", F.when(n > 1, F.pmod(F.xxhash64("uid"), n)).otherwise(0).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
