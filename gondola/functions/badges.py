@@ -27,7 +27,7 @@ def _each_once(badges: Column) -> Column:
 
 def badge_list(values: Column) -> Column:
     """Squeezed badges of 2 to 80 characters without prices, each once whatever its case, at most 8."""
-    able = F.filter(F.transform(values, squeeze), lambda b: F.length(b).between(2, 80) & ~b.rlike(PRICE))
+    able = F.filter(F.transform(F.array_distinct(values), squeeze), lambda b: F.length(b).between(2, 80) & ~b.rlike(PRICE))
     return _each_once(F.coalesce(able, F.array().cast("array<string>")))
 
 

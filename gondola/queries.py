@@ -412,8 +412,8 @@ def city_coverage(spark, d):
 )
 def badges_distinct_ci(spark, d):
     words = F.split(text.squeeze(F.col("text")), " ")
-    listed = table(spark, d, "documents").select("doc_id", badges.badge_list(words).alias("badges")).where(F.size("badges") > 0)
-    return listed.select("doc_id", F.array_join("badges", " ").alias("badges"))
+    some = table(spark, d, "documents").where(F.col("text").rlike(r"(?<!\S)\S{2,80}(?!\S)"))
+    return some.select("doc_id", F.array_join(badges.badge_list(F.array_distinct(words)), " ").alias("badges"))
 
 
 @query(
