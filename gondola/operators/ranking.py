@@ -112,10 +112,6 @@ def page_of(rows: DataFrame, group: list[str], order: list[Column], after: int,
     return out.withColumn("nextAfter", F.least(F.col("total"), F.lit(most)).cast("int"))
 
 
-def distinct_in_order(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return keep_first(rows, keys, order)
-
-
 def in_priority(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Union of frames, each key from the first frame that has it; adds `priority`."""
     out = None

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from gondola.operators import ledger
 
 
-def started(sources: DataFrame, reason: str, at: Column) -> DataFrame:
-    """A running job for each source (id, label, url)."""
-    return sources.select(
+def started(sources: DataFrame, reason: str, at: Column, running: DataFrame | None = None) -> DataFrame:
+    """A running job for each source (id, label, url), but for those that have one in running (sourceId) already."""
+    idle = sources if running is None else sources.join(running.select(F.col("sourceId").alias("id")), "id", "left_anti")
+    return idle.select(
         ledger.job_id(at, F.col("id")).alias("id"), F.col("id").alias("sourceId"), F.col("label").alias("sourceLabel"), F.col("url").alias("sourceUrl"), F.lit("running").alias("status"), F.lit(reason).alias("reason"), at.alias("startedAt")
     )
 

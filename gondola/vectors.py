@@ -393,6 +393,14 @@ def with_profiles_cases(spark, d):
     return readers.with_profiles(rows, spark.createDataFrame([("a", "x")], "domain string, known string"))
 
 
+@query(values('"sourceId", status', "'b', 'running'"))
+def started_runs_cases(spark, d):
+    """A source that runs already gets no second job."""
+    sources = spark.createDataFrame([("a", "A", "http://a"), ("b", "B", "http://b")], "id string, label string, url string")
+    own = runs.started(sources, "manual", F.lit("2024-01-01 00:00:00").cast("timestamp"), spark.createDataFrame([("a",), ("c",)], "sourceId string"))
+    return own.select("sourceId", "status")
+
+
 @query(values('"sourceId", status, products, message', "'a', 'completed', 10, NULL", "'b', 'failed', NULL, 'boom'"))
 def finished_runs_cases(spark, d):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
