@@ -174,7 +174,6 @@ def card(node: Node) -> dict | None:
         "badges": card_badges(node, name),
         "image": first_image(node),
         "link": link,
-        "n_prices": len(prices),
     }
 
 
@@ -195,25 +194,9 @@ def groups(root: Node) -> dict[str, list[Node]]:
     return {s: list(nodes.values()) for s, nodes in out.items() if LEAST_CARDS <= len(nodes) <= MOST_CARDS}
 
 
-def group_stats(cards: list[dict]) -> dict:
-    n = len(cards)
-    share = lambda k: sum(1 for c in cards if c[k]) / n
-    name = sum(len(c["name"] or "") for c in cards) / n
-    return {"n": n, "price": share("current"), "link": share("link"), "image": share("image"), "name_length": name}
-
-
-def group_score(s: dict) -> float:
-    return 8 * s["n"] + 25 * s["price"] + 12 * s["link"] + 10 * s["image"] + min(s["name_length"], 80) / 10
-
-
-def page_cards(html: str | None) -> tuple[str | None, list[dict]]:
-    """The best group's selector and cards."""
-    best = (0.0, None, [])
-    for name, nodes in groups(tree(html)).items():
-        cards = [c for node in nodes if (c := card(node))]
-        if len(cards) >= LEAST_CARDS and (score := group_score(group_stats(cards))) > best[0]:
-            best = (score, name, cards)
-    return best[1:]
+def page_groups(html: str | None) -> list[tuple[str, list[dict]]]:
+    """The cards of each group, by its selector, in the order the groups are met."""
+    return [(name, [c for node in nodes if (c := card(node))]) for name, nodes in groups(tree(html)).items()]
 
 
 def page_links(root: Node) -> list[dict]:

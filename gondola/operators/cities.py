@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.text import empty_to_null, folded, squeeze, title_case
+from gondola.operators import ranking
 
 # How labels give a city, in order.
 LABELS = (r"-\s*([^(,]+?)(?:\s*\(|,|$)", r"(?iu)retirar na loja:\s*([^,]+?)(?:,|$)", r"(?iu)loja de\s*([^\n]+?)\s*(?:retirada|$)", r"(?iu)cidade[:\s]+([^\n]+?)$")
 TO_BRACKET = r"-\s*([^(]+?)(?:\s*\(|$)"
+CONFIRMS = r"(?i)confirmar|continuar|aplicar|salvar|fechar|ok|escolher|selecionar|alterar|prosseguir"
 FIRST_WORD = r"-\s*([\p{L}]+)"
 
 
@@ -41,6 +43,12 @@ def eligible(requested: Column, effective: Column) -> Column:
     return coverage(requested, effective) != "mismatch"
 
 
+def confirm_button(buttons: DataFrame, group: list[str]) -> DataFrame:
+    """The button (text, seq) of each group that confirms a choice: the one with the shortest text, the first among equals."""
+    able = buttons.withColumn("text", squeeze(F.col("text"))).where(F.col("text").rlike(CONFIRMS))
+    return ranking.keep_first(able, group, [F.length("text"), F.col("seq")])
+
+
 def site_context(results: DataFrame) -> DataFrame:
     """Adds cityCoverage, cityEligible and inferred; without a city in the label the requested one is taken."""
     out = results.withColumn("inferred", F.col("labelCity").isNull()).withColumn("effectiveCity", F.coalesce("labelCity", "requestedCity"))

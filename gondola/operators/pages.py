@@ -16,39 +16,51 @@ from gondola.functions.prices import format_price
 from gondola.functions.text import SPACE
 from gondola.operators import ranking, scoring
 
-ITEM = "seq int, id string, name string, current double, original double, promotion boolean, badges array<string>, image string, link string"
+CARD = "id string, name string, current double, original double, promotion boolean, badges array<string>, image string, link string"
 
 
-def page_items(pages: DataFrame) -> DataFrame:
-    """Items of the best group of cards on each page (page_id, url, html), with its selector. Broken pages have none."""
+def page_groups(pages: DataFrame) -> DataFrame:
+    """(page_id, url, groups) of each page (page_id, url, html): the cards of each group as they are found. Broken pages have none."""
+
+    def item(c: dict, url: str | None) -> dict:
+        return {**c, "image": urls.join_url(c["image"], url), "link": urls.join_url(c["link"], url)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                selector, found = cards.page_cards(html)
-                for k, c in enumerate(found):
-                    rows.append((page_id, url, selector, k, c["id"], c["name"], c["current"], c["original"], c["promotion"], c["badges"], urls.join_url(c["image"], url), urls.join_url(c["link"], url)))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "selector", *[f.split(" ")[0] for f in ITEM.split(", ")]])
+            found = [[{"selector": s, "cards": [item(c, url) for c in of]} for s, of in cards.page_groups(html)] for url, html in zip(pdf["url"], pdf["html"])]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "groups": found})
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, groups array<struct<selector:string,cards:array<struct<{','.join(':'.join(f.split(' ')) for f in CARD.split(', '))}>>>>")
+
+
+def group_measures(found: Column) -> dict[str, Column]:
+    """n, shares of cards with a price, a link and an image, and the mean length of names of a group's cards."""
+    n = F.size(found)
+    share = lambda has: F.size(F.filter(found, has)) / n
+    length = F.aggregate(found, F.lit(0), lambda total, c: total + F.length(c["name"])) / n
+    return {"n": n, "price": share(lambda c: c["current"].isNotNull()), "link": share(lambda c: c["link"] != ""), "image": share(lambda c: c["image"] != ""), "name_length": length}
+
+
+def group_score(m: dict[str, Column]) -> Column:
+    return 8 * m["n"] + 25 * m["price"] + 12 * m["link"] + 10 * m["image"] + F.least(m["name_length"], F.lit(80)) / 10
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, selector string, {ITEM}")
+
+def able_groups(groups: Column) -> Column:
+    return F.filter(groups, lambda g: F.size(g["cards"]) >= cards.LEAST_CARDS)
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """Items of the best group of cards on each page (page_id, url, html), with its selector; the first among equals. A page's groups stay in its row, so nothing is shuffled."""
+    ranked = F.transform(able_groups(F.col("groups")), lambda g, k: F.struct(group_score(group_measures(g["cards"])).alias("score"), (-k).alias("first"), g.alias("group")))
+    best = page_groups(pages).select("page_id", "url", F.array_max(ranked)["group"].alias("best"))
+    return best.select("page_id", "url", F.col("best.selector").alias("selector"), F.posexplode("best.cards").alias("seq", "card")).select("page_id", "url", "selector", "seq", "card.*")
 
 
 def group_stats(pages: DataFrame) -> DataFrame:
     """(page_id, selector, n, price, link, image, name_length, score) of each group of cards."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page_id, html in zip(pdf["page_id"], pdf["html"]):
-                for name, nodes in cards.groups(cards.tree(html)).items():
-                    found = [c for node in nodes if (c := cards.card(node))]
-                    if len(found) >= cards.LEAST_CARDS:
-                        s = cards.group_stats(found)
-                        rows.append((page_id, name, *s.values(), cards.group_score(s)))
-            yield pd.DataFrame(rows, columns=["page_id", "selector", "n", "price", "link", "image", "name_length", "score"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, selector string, n int, price double, link double, image double, name_length double, score double")
+    rows = page_groups(pages).select("page_id", F.explode(able_groups(F.col("groups"))).alias("g"))
+    measures = group_measures(F.col("g.cards"))
+    return rows.select("page_id", "g.selector", *(c.alias(name) for name, c in measures.items()), group_score(measures).alias("score"))
 
 
 def links(pages: DataFrame) -> DataFrame:

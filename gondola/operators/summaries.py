@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.operators import ranking
+from gondola.operators import cities, ranking
 
 
 def batch_totals(items: DataFrame) -> DataFrame:
@@ -24,6 +24,17 @@ def catalog_totals(products: DataFrame) -> DataFrame:
     return products.agg(F.count_distinct("sectionId").alias("totalSections"), F.count_distinct("pageUrl").alias("totalPages"), F.count("*").alias("totalProducts"), F.count_if("isPromotion").alias("promotions"))
 
 
+def shelf_totals(products: DataFrame, departments: DataFrame, stores: DataFrame) -> DataFrame:
+    """One row: the store (source, requestedCity, effectiveCity, storeLabel; one row) with its city coverage, and how many products were scraped of each of its departments (place, departmentId, departmentLabel, departmentUrl, totalProducts, totalPages), in order."""
+    scraped = products.groupBy(F.col("department_id").alias("departmentId")).agg(F.count("*").alias("scrapedProducts"))
+    own = ["departmentId", "departmentLabel", "departmentUrl", "totalProducts", "totalPages", "scrapedProducts"]
+    rows = departments.join(scraped, "departmentId", "left").fillna(0, ["scrapedProducts"]).select("place", F.struct(*own).alias("d"))
+    listed = rows.agg(F.count("*").alias("totalDepartments"), F.transform(F.sort_array(F.collect_list(F.struct("place", "d"))), lambda x: x["d"]).alias("departments"))  # one store's
+    total = products.agg(F.count("*").alias("totalProducts"))
+    city = [cities.coverage(F.col("requestedCity"), F.col("effectiveCity")).alias("cityCoverage"), cities.eligible(F.col("requestedCity"), F.col("effectiveCity")).alias("cityEligible")]
+    return stores.select("source", "requestedCity", "effectiveCity", "storeLabel", *city).join(total).join(listed).select("source", "requestedCity", "effectiveCity", "storeLabel", "cityCoverage", "cityEligible", "totalDepartments", "totalProducts", "departments")
+
+
 def flat_catalogs(catalogs: DataFrame) -> DataFrame:
     """A row for each product of each catalogue, numbered from 1; where both name a column the product's value stays."""
     rows = catalogs.select("*", F.posexplode("products").alias("_at", "product")).drop("products")

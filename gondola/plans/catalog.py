@@ -116,7 +116,10 @@ def enough(n_items: Column, url: Column) -> Column:
 
 
 def investigated(inputs: DataFrame, pages: DataFrame, captures: DataFrame, most: int = INSPECTED) -> DataFrame:
-    """(inputUrl, url, seq, n_items, strategy, best) of the candidates inspected for each input: its own page; unless that has enough items, then the known profile's, the common pages and the first page's links, `most` in all. inputs: (inputUrl, query, profileUrl)."""
+    """(inputUrl, url, seq, n_items, strategy, error, best) of the candidates inspected for each input: its own page; unless that has enough items, then the known profile's, the common pages and the first page's links, `most` in all. inputs: (inputUrl, query, profileUrl). pages may have an error column: a page that failed is a candidate without items that tells its error."""
+    failed = (pages if "error" in pages.columns else pages.withColumn("error", F.lit(None).cast("string"))).where("error is not null").groupBy("url").agg(F.min("error").alias("error"))
+    pages = pages.join(failed.select("url"), "url", "left_anti")
+    captures = captures.join(failed.select(F.col("url").alias("page_url")), "page_url", "left_anti")
     links = page_ops.discovered_links(page_ops.links(pages)).select(F.col("url").alias("inputUrl"), F.col("href").alias("url"), F.lit(3).alias("kind"), F.col("rank").alias("at"))
     own = inputs.select("inputUrl", F.col("inputUrl").alias("url"), F.lit(0).alias("kind"), F.lit(0).alias("at"))
     known = inputs.where("profileUrl <> ''").select("inputUrl", F.col("profileUrl").alias("url"), F.lit(1).alias("kind"), F.lit(0).alias("at"))
@@ -125,11 +128,11 @@ def investigated(inputs: DataFrame, pages: DataFrame, captures: DataFrame, most:
     order = [F.col("kind"), F.col("at")]
     listed = ranking.top(ranking.keep_first(every, ["inputUrl", "url"], order), ["inputUrl"], order, most).select("inputUrl", "url", (F.col("rank") - 1).alias("seq"))
     items = page_candidates(pages, captures).groupBy(F.col("pageUrl").alias("url")).agg(F.count("*").alias("n_items"), F.first("strategy").alias("strategy"))
-    listed = listed.join(items, "url", "left").fillna({"n_items": 0, "strategy": "none"})
+    listed = listed.join(items, "url", "left").fillna({"n_items": 0, "strategy": "none"}).join(failed, "url", "left")
     stops = listed.where((F.col("seq") == 0) & enough(F.col("n_items"), F.col("inputUrl"))).select("inputUrl", F.lit(True).alias("stop"))
     seen = listed.join(stops, "inputUrl", "left").where((F.col("seq") == 0) | F.col("stop").isNull()).drop("stop")
     best = ranking.best_candidate(seen, ["inputUrl"]).select("inputUrl", "seq", F.lit(True).alias("best"))
-    return seen.join(best, ["inputUrl", "seq"], "left").fillna(False, ["best"]).select("inputUrl", "url", "seq", "n_items", "strategy", "best")
+    return seen.join(best, ["inputUrl", "seq"], "left").fillna(False, ["best"]).select("inputUrl", "url", "seq", "n_items", "strategy", "error", "best")
 
 
 def frontier(links: DataFrame, seeds: DataFrame, able: Column | None = None, rounds: int = 10, most: int = ROOTS) -> DataFrame:

@@ -54,6 +54,24 @@ def write_catalog(products: DataFrame, folder: str) -> None:
     summaries.catalog_totals(products).write.mode("overwrite").json(f"{folder}/summary")
 
 
+def write_shelf_catalog(products: DataFrame, departments: DataFrame, stores: DataFrame, folder: str) -> None:
+    """Shelf products (JSON and CSV), departments and summary of one store."""
+    products.write.mode("overwrite").json(f"{folder}/catalog")
+    write_csv(products, f"{folder}/catalog-csv")
+    departments.write.mode("overwrite").json(f"{folder}/departments")
+    summaries.shelf_totals(products, departments, stores).write.mode("overwrite").json(f"{folder}/summary")
+
+
+def write_scrape(results: DataFrame, items: DataFrame, pages: DataFrame, folder: str) -> bool:
+    """What a config read from pages (JSON), their HTML, and, only if there are items, a CSV of those; whether it was written."""
+    results.write.mode("overwrite").json(f"{folder}/results")
+    pages.select("page_id", "url", "html").write.mode("overwrite").json(f"{folder}/rendered")
+    if items.isEmpty():
+        return False
+    write_csv(items, f"{folder}/results-csv")
+    return True
+
+
 def write_batch(catalogs: DataFrame, items: DataFrame, folder: str) -> None:
     """Summary, nested JSON and flat CSV of a batch."""
     summaries.batch_totals(items).write.mode("overwrite").json(f"{folder}/summary")

@@ -25,6 +25,19 @@ def tail(stream: DataFrame, checkpoint: str, out: str, once: bool = False) -> St
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1500 milliseconds")).start()
 
 
+def until_done(query: StreamingQuery, status: Callable[[], str | None], seconds: float = 1.5) -> str:
+    """Lets a job's tail run until the job has completed or failed: writes what is left, stops and gives that status. Without such a job (None) it stops at once: missing."""
+    while True:
+        now = status()
+        if now is None or now in ("completed", "failed"):
+            if now:
+                query.processAllAvailable()
+            query.stop()
+            return now or "missing"
+        if query.awaitTermination(seconds):
+            return now
+
+
 def counts(stream: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Lines of each level in windows of event time; lines later than the watermark are left out."""
     return stream.withWatermark("at", late).groupBy(F.window("at", window), "level").agg(F.count("*").alias("n"))

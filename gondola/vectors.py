@@ -419,3 +419,28 @@ def investigated_cases(spark, d):
     inputs = spark.createDataFrame([("http://loja.example/x", "arroz", None)], "inputUrl string, query string, profileUrl string")
     none = spark.createDataFrame([], "page_url string, seq int, url string, content_type string, body string")
     return catalog.investigated(inputs, df, none).select("inputUrl", "url", "seq", "n_items", "best")
+
+
+@query(values('"inputUrl", url, n_items, error', "'http://loja.example/x', 'http://loja.example/x', 0, 'timeout'"))
+def failed_pages_cases(spark, d):
+    """A page whose landing failed is a candidate without items that tells why."""
+    df = spark.createDataFrame([(1, "http://loja.example/x", CARDS, "timeout")], schemas.PAGE + ", error string")
+    inputs = spark.createDataFrame([("http://loja.example/x", "arroz", None)], "inputUrl string, query string, profileUrl string")
+    none = spark.createDataFrame([], "page_url string, seq int, url string, content_type string, body string")
+    return catalog.investigated(inputs, df, none).where("seq = 0").select("inputUrl", "url", "n_items", "error")
+
+
+@query(values("page_id, seq, text", "1::BIGINT, 2, 'OK'", "2, 0, 'Escolher loja'"))
+def confirm_button_cases(spark, d):
+    buttons = [(1, 0, "Confirmar  cidade"), (1, 1, "x"), (1, 2, " OK "), (1, 3, "ok"), (2, 0, "Escolher loja"), (2, 1, "Ver"), (3, 0, None)]
+    return cities.confirm_button(spark.createDataFrame(buttons, "page_id long, seq int, text string"), ["page_id"])
+
+
+@query(values('source, "storeLabel", "cityCoverage", "cityEligible", "totalDepartments", "totalProducts", scraped', "'http://s', 'Loja A', 'match', true, 2::BIGINT, 3::BIGINT, 'b:0,a:3'"))
+def shelf_totals_cases(spark, d):
+    products = spark.createDataFrame([("a",), ("a",), ("a",)], "department_id string")
+    departments = spark.createDataFrame([(1, "a", "A", "http://s/a", 9, 1), (0, "b", "B", "http://s/b", 0, 1)], "place int, departmentId string, departmentLabel string, departmentUrl string, totalProducts int, totalPages int")
+    stores = spark.createDataFrame([("http://s", "São José", "SAO JOSE", "Loja A")], "source string, requestedCity string, effectiveCity string, storeLabel string")
+    found = summaries.shelf_totals(products, departments, stores)
+    listed = F.array_join(F.transform("departments", lambda x: F.concat_ws(":", x["departmentId"], x["scrapedProducts"].cast("string"))), ",")
+    return found.select("source", "storeLabel", "cityCoverage", "cityEligible", "totalDepartments", "totalProducts", listed.alias("scraped"))

@@ -129,10 +129,10 @@ PAGE = """<html><title> Loja </title><body><nav><a href="/categorias/x">menu</a>
 
 
 def test_cards_of_unclosed_html():
-    selector, found = cards.page_cards(PAGE)
+    found = dict(cards.page_groups(PAGE))["li.card.big"]
     assert [(c["id"], c["name"], c["current"], c["original"], c["link"], c["image"]) for c in found] == [("11", "Arroz 5kg", 5.99, 7.99, "/produto/11/arroz", "/1.png"), ("12", "Feijão preto", 8.49, None, "/produto/12", "/2.png")]
     assert "Clube" in found[0]["badges"] and found[0]["promotion"]
-    assert cards.page_cards(None) == (None, []) and cards.page_cards("<p>no cards R$ 1,00") == (None, [])
+    assert cards.page_groups(None) == [] and cards.page_groups("<p>no cards R$ 1,00") == []
 
 
 def test_extraction_config():

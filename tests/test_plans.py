@@ -132,6 +132,22 @@ def test_artifacts_and_readers(spark, tmp_path, landed):
         readers.logs(spark, f"{tmp_path}/bad.json").collect()
 
 
+def test_shelf_and_scrape_artifacts(spark, tmp_path, landed):
+    rows = spark.createDataFrame([("d", "Padaria", "http://s/d", 1, "http://s/d?p=1", SHELF, "Rede", "Gaspar")], shelves.PAGES)
+    departments = spark.createDataFrame([(0, "d", "Padaria", "http://s/d", 23, 1)], "place int, departmentId string, departmentLabel string, departmentUrl string, totalProducts int, totalPages int")
+    stores = spark.createDataFrame([("http://s", None, "Gaspar", "Rede")], "source string, requestedCity string, effectiveCity string, storeLabel string")
+    sinks.write_shelf_catalog(shelves.products(rows, "div.card"), departments, stores, f"{tmp_path}/shelf")
+    summary = spark.read.json(f"{tmp_path}/shelf/summary").first()
+    assert (summary["totalProducts"], summary["cityCoverage"], summary["departments"][0]["scrapedProducts"]) == (2, "default", 2)
+    assert spark.read.json(f"{tmp_path}/shelf/catalog").count() == spark.read.option("header", True).csv(f"{tmp_path}/shelf/catalog-csv").count() == 2
+    config = {"collection": {"selector": "li.card", "fields": {"img": {"selector": "img", "type": "src"}}}}
+    read = pages.extracted(landed[0], config)
+    items = read.select("page_id", F.explode(F.from_json("data", "collection array<struct<img string>>")["collection"]).alias("item")).select("page_id", "item.*")
+    assert sinks.write_scrape(read, items, landed[0], f"{tmp_path}/a") and not sinks.write_scrape(read, items.where("page_id = 3"), landed[0], f"{tmp_path}/b")
+    assert (tmp_path / "a" / "results-csv").exists() and not (tmp_path / "b" / "results-csv").exists()
+    assert spark.read.json(f"{tmp_path}/b/rendered").where("page_id = 1").first()["html"] == PAGE
+
+
 def test_webhooks(spark):
     products = spark.createDataFrame([("j", k, f"p{k}") for k in range(5)], "job string, id int, name string")
     context = spark.createDataFrame([("j", "done")], "job string, event string")
@@ -170,6 +186,18 @@ def test_tail_is_the_batch_read(spark, small, tmp_path):
     assert spark.sql("SELECT sum(n) FROM level_counts").first()[0] == events.count()
 
 
+def test_tail_ends_with_its_job(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"level": "info", "message": "m"}\n')
+    seen = iter(["running", "running", "failed"])
+    query = tail.tail(tail.log_stream(spark, str(folder)), f"{tmp_path}/cp", f"{tmp_path}/out")
+    assert tail.until_done(query, lambda: next(seen), 0.2) == "failed" and not query.isActive
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+    query = tail.tail(tail.log_stream(spark, str(folder)), f"{tmp_path}/cp", f"{tmp_path}/out")
+    assert tail.until_done(query, lambda: None) == "missing" and not query.isActive
+
+
 def test_capture_stream(spark, tmp_path):
     folder = tmp_path / "captures"
     folder.mkdir()
