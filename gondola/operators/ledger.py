@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions import text, urls
@@ -87,8 +87,8 @@ def sorted_sources(sources: DataFrame) -> DataFrame:
 
 def unique_ids(rows: DataFrame, wanted: Column, order: list[Column], existing: DataFrame | None = None) -> DataFrame:
     """Adds id: the wanted one for its first row, then -2, -3 and so on, after those that exist already."""
-    out = rows.withColumn("_wanted", wanted)
-    n = F.row_number().over(Window.partitionBy("_wanted").orderBy(*order))
+    out = ranking.numbered(rows.withColumn("_wanted", wanted), ["_wanted"], order).drop("_n")
+    n = F.col("_at")
     if existing is not None:
         base = F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 1)
         taken = existing.select(F.explode(F.array_distinct(F.array("id", base))).alias("_wanted"), F.greatest(F.coalesce(F.regexp_extract("id", r"-(\d+)$", 1).try_cast("int"), F.lit(1)), F.lit(1)).alias("k"))
@@ -97,7 +97,7 @@ def unique_ids(rows: DataFrame, wanted: Column, order: list[Column], existing: D
         out = out.withColumn("_n", n).drop("_taken")
     else:
         out = out.withColumn("_n", n)
-    return out.withColumn("id", F.when(F.col("_n") == 1, F.col("_wanted")).otherwise(F.concat("_wanted", F.lit("-"), F.col("_n").cast("string")))).drop("_wanted", "_n")
+    return out.withColumn("id", F.when(F.col("_n") == 1, F.col("_wanted")).otherwise(F.concat("_wanted", F.lit("-"), F.col("_n").cast("string")))).drop("_wanted", "_n", "_at")
 
 
 def _stamp(at: Column) -> Column:

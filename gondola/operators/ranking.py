@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.text import clean
+from gondola.shared import written
 
 # What each field of a product adds to its richness.
 RICHNESS = {"image": 3, "link": 3, "originalPrice": 2, "discountPercent": 2, "promotionLabel": 2, "limitText": 2, "unit": 1}
 FLAGS = {"isClubOffer": 1, "isSiteExclusive": 1}
+#: Rows of a group that one task may number.
+HOT_ROWS = 1_000_000
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -94,11 +97,37 @@ def best_city(results: DataFrame, group: list[str], seq: str = "seq") -> DataFra
     return keep_first(results, group, [F.col("cityEligible").desc(), F.col("effectiveCity").isNotNull().desc(), F.col(seq)])
 
 
+def _numbered_in_ranges(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """As numbered(), for groups of any size: rows are dealt in sorted ranges, numbered within those, and what the ranges before hold of the group is added."""
+    ranged = written(rows.repartitionByRange(*(F.col(g) for g in group), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*group)
+    before = F.sum("_size").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_size"))  # hot groups alone: few rows
+    sizes = sizes.select(*(F.col(g).alias(f"_group{k}") for k, g in enumerate(group)), F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(own).alias("_n"))
+    same = ranged["_range"] == sizes["_of"]
+    for k, g in enumerate(group):
+        same = same & ranged[g].eqNullSafe(sizes[f"_group{k}"])
+    at = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    return ranged.withColumn("_at", at).join(sizes, same).select(*rows.columns, (F.col("_at") + F.col("_before")).alias("_at"), "_n")
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], hot: int = HOT_ROWS) -> DataFrame:
+    """Adds _at, each row's place in its group from 1, and _n, the group's size. Groups of more than `hot` rows are numbered in ranges, so that no task holds one; the numbers are the same."""
+    own = Window.partitionBy(*group)
+    plain = lambda df: df.withColumn("_at", F.row_number().over(own.orderBy(*order)).cast("long")).withColumn("_n", F.count("*").over(own))
+    large = rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    if large.isEmpty():
+        return plain(rows)
+    large = written(large.select(*(F.col(g).alias(f"_group{k}") for k, g in enumerate(group))), "hot-groups")
+    same = F.lit(True)
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_group{k}"))
+    return plain(rows.join(large, same, "left_anti")).unionByName(_numbered_in_ranges(rows.join(large, same, "left_semi"), group, order))
+
+
 def in_chunks(rows: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
     """Adds itemIndex, batchIndex, totalBatches, batchSize and itemIndexInBatch, all from 1, to the rows of each group."""
-    own = Window.partitionBy(*group)
-    at = F.row_number().over(own.orderBy(*order))
-    out = rows.withColumn("itemIndex", at).withColumn("_n", F.count("*").over(own))
+    out = numbered(rows, group, order).withColumn("itemIndex", F.col("_at").cast("int")).drop("_at")
     out = out.withColumn("batchIndex", (F.floor((F.col("itemIndex") - 1) / size) + 1).cast("int")).withColumn("totalBatches", F.ceil(F.col("_n") / size).cast("int"))
     left = F.col("_n") - (F.col("batchIndex") - 1) * size
     return out.withColumn("batchSize", F.least(F.lit(size), left).cast("int")).withColumn("itemIndexInBatch", ((F.col("itemIndex") - 1) % size + 1).cast("int")).drop("_n")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions import badges, prices, text, urls
 from gondola.operators import pages as page_ops
 from gondola.operators import ranking, scoring
+from gondola.shared import written
 
 PAGES, ITEMS, ROOTS, LINKS_A_PAGE, INSPECTED = 8, 250, 10, 12, 8
 
@@ -48,19 +45,6 @@ def page_candidates(pages: DataFrame, captures: DataFrame, most: int = ITEMS) ->
     return every.join(chosen, ["pageUrl", "strategy"])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df from a table in the folder named by spark.checkpoint.dir: cuts the plan."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="gondola-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def section_queue(sections: DataFrame, links: DataFrame, most_pages: int = PAGES, most_links: int = LINKS_A_PAGE) -> DataFrame:
     """The pages that the crawl of each section visits, in order: those of sections, then, page after page, the at most `most_links` best related links of each that are not queued yet, up to the cap. links: those of the landed pages."""
     cap, own = visit_cap(most_pages), ["sectionId", "sectionLabel", "sectionUrl"]

@@ -81,6 +81,14 @@ def test_chunks_and_pages(spark):
     assert whole == list(range(5))
 
 
+def test_hot_groups_are_numbered_alike(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "a").otherwise(F.col("id").cast("string")).alias("g"), (F.col("id") * 7919 % 3001).alias("k"), F.xxhash64("id").alias("x"))
+    order = [F.col("k").desc(), F.col("x")]
+    small, large = (ranking.numbered(rows.repartition(5), ["g"], order, hot) for hot in (10_000, 50))
+    assert small.columns == large.columns and "Exchange rangepartitioning" not in small._jdf.queryExecution().toString()
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
 def test_sources_batches_and_ids(spark):
     inputs = [("Loja A", "www.loja.com", " Gaspar ", None, "12abc", None, None, "-1", None, "no", None, None, None), (None, "https://b.com/x", None, "shelf", None, None, None, None, None, None, None, None, None), ("sem url", None, *[None] * 11)]
     df = spark.createDataFrame(inputs, schemas.SOURCE_INPUT)
