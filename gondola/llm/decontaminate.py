@@ -14,6 +14,7 @@ folder before the items of the next are read, so what the driver holds and sends
 Defined results:
 - null or empty texts and items hold nothing; letters A-Z count as a-z and all white space alike;
 - items of one to four words have one shingle: all their words; items of equal texts are each reported;
+- texts and items of any length count as a whole; long texts are hashed in parts;
 - the row of a document and item is that of the highest similarity, the first place among equals;
 - repeated documents each get their rows; null ids stay null; empty tables give no rows; extra columns are ignored by
   `matches` and kept by `clean`.
