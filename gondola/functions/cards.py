@@ -177,6 +177,21 @@ def card(node: Node) -> dict | None:
     }
 
 
+def hinted(node: Node) -> dict:
+    """What a card of a known selector shows: its own id, the first image's alt, lines, text, and the texts of the first elements that may be badges, with their classes and ids."""
+    image = next((x for x in node.walk() if x.tag == "img"), None)
+    inner = [x for x in node.walk() if x is not node and x.tag in BADGE_TAGS][:BADGE_NODES]
+    return {
+        "id": node.attrs.get("data-idproduct") or node.attrs.get("data-product-id") or None,
+        "alt": squeezed(image.attrs.get("alt")) if image else None,
+        "lines": node.lines(),
+        "text": node.text(),
+        "marked": [{"text": squeezed(x.text()), "marks": f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}"} for x in inner],
+        "image": first_image(node),
+        "link": next((x.attrs["href"] for x in node.walk() if x.tag == "a" and x.attrs.get("href")), None),
+    }
+
+
 def groups(root: Node) -> dict[str, list[Node]]:
     """Cards by selector: the ancestors of price texts, up to five above each."""
     out: dict[str, dict[int, Node]] = {}

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions import cards, payloads, urls
-from gondola.functions.badges import badge_list
+from gondola.functions.badges import LIMITS, badge_list, club_offer, first_like, product_badges, promotion_from_badges, site_exclusive
 from gondola.functions.badges import campaign_label as badge_campaign
-from gondola.functions.prices import format_price
-from gondola.functions.text import SPACE
+from gondola.functions.prices import format_price, price_state
+from gondola.functions.text import SPACE, either
 from gondola.operators import ranking, scoring
 
+# Lines that begin with a price, and those that are no names.
+PRICE_FIRST = rf"(?i)^R\${SPACE}*\d"
+NO_NAME = rf"(?i)^R\${SPACE}*\d|^(?:comprar|adicionar)$"
 CARD = "id string, name string, current double, original double, promotion boolean, badges array<string>, image string, link string"
 
 
@@ -56,6 +59,34 @@ def page_items(pages: DataFrame) -> DataFrame:
     return best.select("page_id", "url", F.col("best.selector").alias("selector"), F.posexplode("best.cards").alias("seq", "card")).select("page_id", "url", "selector", "seq", "card.*")
 
 
+def hinted_items(pages: DataFrame, selector: str, most: int) -> DataFrame:
+    """Items of the cards that a known selector finds on each page (page_id, url, html), each item's key once, at most `most` a page. Unlike page_items(): the image's alt, then the longest line, is the name; any number of prices counts; the id is the card's own or none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+                nodes = cards.select(cards.tree(html), selector)
+                for k, node in enumerate(nodes):
+                    c = cards.hinted(node)
+                    rows.append((page_id, url, k, len(nodes), c["id"], c["alt"], c["lines"], c["text"], c["marked"], urls.join_url(c["image"], url), urls.join_url(c["link"], url)))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "seq", "totalMatched", "id", "alt", "lines", "text", "marked", "image", "link"])
+
+    schema = "page_id long, url string, seq int, totalMatched int, id string, alt string, lines array<string>, text string, marked array<struct<text:string,marks:string>>, image string, link string"
+    named = F.filter("lines", lambda x: ~x.rlike(NO_NAME))
+    longest = F.get(F.array_sort(F.transform(named, lambda x, i: F.struct((-F.length(x)).alias("size"), i.alias("i"), x.alias("line")))), 0)["line"]
+    rows = pages.select("page_id", "url", "html").mapInPandas(run, schema).withColumn("name", F.coalesce("alt", longest)).withColumn("state", price_state(F.col("text")))
+    told = lambda m: m["marks"].rlike(f"(?iu){cards.BADGE_CLASS.pattern}") | m["text"].rlike(f"(?iu){cards.BADGE_TEXT.pattern}") | m["text"].rlike(cards.BADGE_PERCENT.pattern)
+    able = F.filter("marked", lambda m: (F.length(m["text"]) <= 80) & ~m["text"].rlike(PRICE_FIRST) & (F.lower(m["text"]) != F.lower("name")) & told(m))
+    found = rows.where("name is not null and state is not null").withColumn("badges", product_badges(F.transform(able, lambda m: m["text"])))
+    label, current, original = promotion_from_badges(F.col("badges")), F.col("state.current"), F.col("state.original")
+    items = ranking.top(found, ["page_id"], [F.col("seq")], most).select(
+        "page_id", "url", "seq", "totalMatched", "id", "name", format_price(current).alias("price"), current.alias("current"), original.alias("original"), format_price(original).alias("originalPrice"), original.isNotNull().alias("promotion"), label.alias("promotionLabel"), label.alias("campaignLabel"), "badges",
+        first_like(F.col("badges"), either(*LIMITS)).alias("limitText"), club_offer(F.col("badges")).alias("isClubOffer"), site_exclusive(F.col("badges")).alias("isSiteExclusive"), F.lit(None).cast("int").alias("discountPercent"), F.lit(None).cast("string").alias("unit"), "image", "link",
+    )
+    return ranking.distinct_extracted(items, ["page_id"])
+
+
 def group_stats(pages: DataFrame) -> DataFrame:
     """(page_id, selector, n, price, link, image, name_length, score) of each group of cards."""
     rows = page_groups(pages).select("page_id", F.explode(able_groups(F.col("groups"))).alias("g"))

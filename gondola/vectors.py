@@ -444,3 +444,10 @@ def shelf_totals_cases(spark, d):
     found = summaries.shelf_totals(products, departments, stores)
     listed = F.array_join(F.transform("departments", lambda x: F.concat_ws(":", x["departmentId"], x["scrapedProducts"].cast("string"))), ",")
     return found.select("source", "storeLabel", "cityCoverage", "cityEligible", "totalDepartments", "totalProducts", listed.alias("scraped"))
+
+
+@query(values('seq, "totalMatched", id, name, current, original, label, badges, "limitText", link', "0, 2, NULL::VARCHAR, 'Foto', 5.99::DOUBLE, 7.99::DOUBLE, 'Super barato', 'Super barato|Limite 3 por cpf', 'Limite 3 por cpf', 'http://loja.example/produto/11/arroz'", "1, 2, NULL, 'Feijão preto', 8.49, NULL, NULL, '', NULL, 'http://loja.example/produto/12'"))
+def hinted_items_cases(spark, d):
+    """Cards of a known selector: the image's alt is the name, and no id is taken from links."""
+    found = pages.hinted_items(landed(spark), "li.card", 10)
+    return found.select("seq", "totalMatched", "id", "name", "current", "original", F.col("promotionLabel").alias("label"), F.array_join("badges", "|").alias("badges"), "limitText", "link")
