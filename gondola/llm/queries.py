@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.llm import chosenpath, decontaminate, digest, langid, linkgraph, mixing, mixlm, quality, toxicity, warc
+from gondola.llm import chosenpath, collocations, decontaminate, digest, hamerly, langid, linkgraph, mixing, mixlm, quality, rules, toxicity, warc
 from gondola.llm.common import table
 
 
@@ -49,5 +49,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.links(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_score, op3_language_id, op4_quality, op5_decontamination, op6_fingerprints, op7_url_filters, op8_mixing, op9_toxicity, op10_jaccard_join)}
-ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_score, op3_language_id, op4_quality, op5_decontamination, op6_fingerprints, op7_url_filters, op8_mixing, op9_toxicity, op10_jaccard_join, op11_collocations, op12_clusters, op13_quality_rules)}
+ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_clusters": hamerly.ORACLE_SQL, "op13_quality_rules": rules.ORACLE_SQL}
