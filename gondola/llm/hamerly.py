@@ -221,13 +221,10 @@ def buckets_of_rows(spark: SparkSession, buckets: int):
         drop(0)
 
 
-def gains(state: DataFrame) -> dict[int, list[int]]:
+def gains(state: DataFrame, dims: int) -> dict[int, list[int]]:
     """Count and component sums that a round adds to each cluster: k rows of each task, added up by Spark."""
-    each = state.where("row is null").select("cluster", F.posexplode("moved").alias("place", "v"))
-    out: dict[int, dict[int, int]] = {}
-    for r in each.groupBy("cluster", "place").agg(F.sum("v").alias("v")).collect():  # k * (dims + 1) rows
-        out.setdefault(r["cluster"], {})[r["place"]] = int(r["v"])
-    return {c: [v[i] for i in sorted(v)] for c, v in out.items()}
+    added = [F.sum(F.get("moved", F.lit(i))).alias(f"s{i}") for i in range(dims + 1)]
+    return {r[0]: [int(x) for x in r[1:]] for r in state.where("row is null").groupBy("cluster").agg(*added).collect()}  # k rows
 
 
 def start(vectors: DataFrame, k: int, dims: int, seed: int) -> list[tuple[int, ...]]:
@@ -270,7 +267,7 @@ def cluster(embeddings: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int =
                 break
             state = write(moved(last=False), "bounds")
             drop(2)  # the bounds of the round before
-            for c, gain in gains(state).items():
+            for c, gain in gains(state, dims).items():
                 total[c] = [a + b for a, b in zip(total[c], gain)]
             before, places = places, [tuple(s // t[0] for s in t[1:]) if t[0] else place for place, t in zip(places, total.values())]
         final = saved(moved(last=True).select("row", "vec_id", "cluster", "distance"), "clusters", keep=True)
