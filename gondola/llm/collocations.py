@@ -4,10 +4,11 @@ A shard is a stretch of texts that one task holds at a time. Its words get ids,
 in numpy, and each interval of neighbours that share n words is one phrase of n words and how often the shard has it. The
 counts are added up by (lang, phrase), so none is lost to where a shard ends.
 
-Texts are read three times: for single words, for pairs, and for longer phrases. A phrase can only be as frequent as its
-parts are, so each reading after the first ends its runs of words where a word or pair is known to be rare. What is known
-travels as a bit table of hashes whose size is bounded (MOST_BITS): it may let a rare phrase through, to be counted and
-dropped then, and never holds a frequent one back.
+Texts are read three times: for single words, for the hashes of pairs, and for phrases. A phrase can only be as frequent
+as its parts are, so each reading after the first ends its runs of words where a word or pair is known to be rare. Pairs
+are first added up by 40 bits of their hash, as sorted blobs of a few bytes a pair: most pairs are rare and never spelled
+out. What is known travels as a bit table of hashes whose size is bounded (MOST_BITS): it may let a rare phrase through, to
+be counted and dropped then, and never holds a frequent one back.
 
 Defined results:
 - null or empty text has no words; null lang is the lang `und`, together with texts of that lang;
@@ -18,7 +19,7 @@ Defined results:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,11 @@ LEAST = 100
 TOP = 2000
 #: A candidate goes if a longer one that holds it has at least so many hundredths of its count.
 COVERED = 100
-SHARD_BYTES = 10 << 20
+SHARD_BYTES = 8 << 20
 #: The bit table has at most 2 to this many bits: 16 MB.
 MOST_BITS = 27
+#: Bits of a hash that identify a phrase in the bit table and in the sums of pairs, and those that deal pairs into slices.
+KEY_BITS, SLICE_BITS = 40, 10
 
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[list(BLANKS)] = 1
@@ -73,15 +76,18 @@ class Words:
         breaks = np.flatnonzero(kind == 2)  # each text ends in one
         piece = np.searchsorted(breaks, self.starts)
         self.last = np.append(piece[1:] != piece[:-1], True) if len(piece) else np.zeros(0, dtype=bool)
-        self.hashes = self._hashed(kind == 0)
-
-    def _hashed(self, inside: np.ndarray) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        first = np.cumsum(self.sizes) - self.sizes
-        at = np.arange(int(self.sizes.sum())) - np.repeat(first, self.sizes)
-        value = (self.raw[inside].astype(np.uint64) + np.uint64(1)) * powers(int(self.sizes.max()))[at]
-        return mix64(np.add.reduceat(value, first))
+        self.hashes = self._hashed()
+
+    def _hashed(self, step: int = 1 << 17) -> np.ndarray:
+        """In stretches, since each byte takes several numbers meanwhile."""
+        out = np.zeros(len(self.starts), dtype=np.uint64)
+        for lo in range(0, len(out), step):
+            starts, sizes = self.starts[lo : lo + step], self.sizes[lo : lo + step]
+            first = np.cumsum(sizes) - sizes
+            at = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            value = (self.raw[at + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[at]
+            out[lo : lo + step] = mix64(np.add.reduceat(value, first))
+        return out
 
     def strings(self, which: np.ndarray) -> pa.Array:
         """The words at these places as an Arrow array."""
@@ -97,14 +103,18 @@ def salts(langs: list[str]) -> np.ndarray:
     return Words([x.encode().hex().encode() + b"|" for x in langs]).hashes if langs else np.zeros(0, dtype=np.uint64)
 
 
+def key_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - KEY_BITS)
+
+
 class Known:
-    """A bit table of the hashes of frequent phrases: no false no, some false yes."""
+    """A bit table of the keys of frequent phrases: no false no, some false yes."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, np.uint64(len(bits) * 64 - 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        h = hashes & self.mask
+        h = key_of(hashes) & self.mask
         return (self.bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -148,25 +158,58 @@ def intervals(ids: np.ndarray, left: np.ndarray, low: int, high: int) -> Iterato
             yield n, places[first], np.diff(np.append(first, len(places)))
 
 
-def phrase_counts(texts: list[tuple[str, bytes]], low: int, high: int, known: list[Known]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n) of one shard's phrases of low to high words, without those that hold a word (known[0]) or a pair (known[1]) that is known to be rare."""
-    words = Words([t for _, t in texts])
-    if not len(words.starts):
+def pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    return mix64(hashes[:-1] * _PLACES[0] + hashes[1:] * _PLACES[1])
+
+
+class Runs:
+    """The words of a shard that may be in a frequent phrase, by their places (`kept`) in all its words, and whether a run ends after each: where a piece does, or where a word (known[0]) or pair (known[1]) is known to be rare."""
+
+    def __init__(self, texts: list[tuple[str, bytes]], known: list[Known]):
+        self.words = words = Words([t for _, t in texts])
+        self.langs = sorted({x for x, _ in texts})
+        self.of = np.array([self.langs.index(x) for x, _ in texts], dtype=np.int64)[words.text]
+        self.hashes = words.hashes + salts(self.langs)[self.of]
+        last, stay = words.last.copy(), np.ones(len(self.hashes), dtype=bool)
+        if known:
+            stay = known[0].has(mix64(self.hashes * _PLACES[0]))
+        if len(known) > 1 and len(last):
+            last[:-1] |= ~(stay[:-1] & stay[1:] & known[1].has(pair_hashes(self.hashes)))
+            stay &= ~(last & np.concatenate([[True], last[:-1]]))  # a word alone is in no phrase
+        self.kept = kept = np.flatnonzero(stay)
+        self.over = (np.append(kept[1:] != kept[:-1] + 1, True) | last[kept]) if len(kept) else np.zeros(0, dtype=bool)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers of 4 bytes as four runs of bytes: high ones are mostly equal and shrink when the shuffle compresses them."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def pair_sums(texts: list[tuple[str, bytes]], known: list[Known], least: int, slice_bits: int) -> Iterator[pa.RecordBatch]:
+    """(slice, keys, counts) of one shard's pairs: for each slice of the keys, the rest of each key (steps from the one before) and its count, at most `least`."""
+    runs = Runs(texts, known)
+    inside = runs.kept[~runs.over]
+    if not len(inside):
         return
-    langs = sorted({x for x, _ in texts})
-    of = np.array([langs.index(x) for x, _ in texts])[words.text]
-    hashes = words.hashes + salts(langs)[of]
-    last, stay = words.last.copy(), np.ones(len(hashes), dtype=bool)
-    if known:
-        stay = known[0].has(mix64(hashes * _PLACES[0]))
-    if len(known) > 1:
-        pair = mix64(hashes[:-1] * _PLACES[0] + hashes[1:] * _PLACES[1])
-        last[:-1] |= ~(stay[:-1] & stay[1:] & known[1].has(pair))
-        stay &= ~(last & np.concatenate([[True], last[:-1]]))  # a word alone is in no phrase
-    kept = np.flatnonzero(stay)
+    h = runs.hashes
+    keys, counts = np.unique(key_of(mix64(h[inside] * _PLACES[0] + h[inside + 1] * _PLACES[1])), return_counts=True)
+    rest = np.uint64(KEY_BITS - slice_bits)
+    slices, at = np.unique(keys >> rest, return_index=True)
+    keys, ends = keys & np.uint64((1 << int(rest)) - 1), [*at[1:], len(keys)]
+    blobs = [(planes(np.diff(keys[lo:hi], prepend=np.uint64(0))), planes(np.minimum(counts[lo:hi], least))) for lo, hi in zip(at, ends)]
+    yield pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int64)), pa.array([k for k, _ in blobs], pa.binary()), pa.array([c for _, c in blobs], pa.binary())], names=["slice", "keys", "counts"])
+
+
+def phrase_counts(texts: list[tuple[str, bytes]], low: int, high: int, known: list[Known]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n) of one shard's phrases of low to high words, without those that hold a word or pair that is known to be rare."""
+    runs = Runs(texts, known)
+    words, of, hashes, kept, over, langs = runs.words, runs.of, runs.hashes, runs.kept, runs.over, runs.langs
     if not len(kept):
         return
-    over = np.append((kept[1:] != kept[:-1] + 1), True) | last[kept]  # a run ends
     _, first, word = np.unique(hashes[kept], return_index=True, return_inverse=True)
     place = np.arange(len(kept)) + np.cumsum(over) - over
     ids, left = np.zeros(len(kept) + int(over.sum()), dtype=np.int64), np.zeros(len(kept) + int(over.sum()), dtype=np.int64)
@@ -174,7 +217,7 @@ def phrase_counts(texts: list[tuple[str, bytes]], low: int, high: int, known: li
     ends = np.flatnonzero(over)
     left[place] = ends[np.searchsorted(ends, np.arange(len(kept)))] - np.arange(len(kept)) + 1
     spelled, lang_of, lang_names = words.strings(kept[first]), of[kept[first]], pa.array(langs, pa.large_string())
-    del words, hashes
+    del words, hashes, runs
     for n, at, count in intervals(ids, left, low, high):
         for lo in range(0, len(at), 1 << 18):
             part = at[lo : lo + (1 << 18)]
@@ -186,9 +229,8 @@ def phrase_counts(texts: list[tuple[str, bytes]], low: int, high: int, known: li
 COUNTED = "lang string, phrase string, n long"
 
 
-def counted(docs: DataFrame, low: int, high: int, known: list[Known], shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(lang, phrase, n) of the whole table, where n is exact for every phrase whose parts are all known."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+def by_shard(docs: DataFrame, count: Callable[[list[tuple[str, bytes]]], Iterator[pa.RecordBatch]], schema: str, shard_bytes: int) -> DataFrame:
+    """What `count` makes of each shard of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -198,20 +240,52 @@ def counted(docs: DataFrame, low: int, high: int, known: list[Known], shard_byte
                     held.append((lang, piece))
                     size += len(piece)
                     if size >= shard_bytes:
-                        yield from phrase_counts(held, low, high, sent.value)
+                        yield from count(held)
                         held, size = [], 0
         if held:
-            yield from phrase_counts(held, low, high, sent.value)
+            yield from count(held)
 
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, schema)
+
+
+def counted(docs: DataFrame, low: int, high: int, known: list[Known], shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(lang, phrase, n) of the whole table, where n is exact for every phrase whose parts are all known."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    return by_shard(docs, lambda held: phrase_counts(held, low, high, sent.value), COUNTED, shard_bytes).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def frequent_pairs(docs: DataFrame, known: list[Known], least: int, shard_bytes: int = SHARD_BYTES, slice_bits: int = SLICE_BITS) -> DataFrame:
+    """(key) of the pairs whose key occurs `least` times or more. A slice is added up by one task; there are as many as SLICE_BITS say, and at least 64 for each shuffle partition."""
+    spark = docs.sparkSession
+    slice_bits = min(KEY_BITS - 8, max(slice_bits, KEY_BITS - 32, (64 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    sent = spark.sparkContext.broadcast(known)
+    blobs = by_shard(docs, lambda held: pair_sums(held, sent.value, least, slice_bits), "slice long, keys binary, counts binary", shard_bytes)
+
+    def added(number: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([np.cumsum(unplaned(k), dtype=np.int64) for k, _ in held]), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([unplaned(c) for _, c in held]))
+        return pa.RecordBatch.from_arrays([pa.array((number << KEY_BITS - slice_bits) + keys[sums >= least])], names=["key"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = None, []
+        for batch in parts(batches):
+            for n, k, c in zip(*(x.to_pylist() for x in batch.columns)):
+                if held and n != number:
+                    yield added(number, held)
+                    held = []
+                number = n
+                held.append((k, c))
+        if held:
+            yield added(number, held)
+
+    return blobs.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "key long")
 
-def bit_table(phrases: DataFrame, most_bits: int = MOST_BITS) -> Known:
-    """The bit table of (lang, phrase) rows: 16 bits a phrase, at most 2 ** most_bits. Spark joins the bits of each slot of 64; the driver gets one number a slot."""
-    bits = min(most_bits, max(12, int(16 * phrases.count()).bit_length()))
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keys_of(phrases: DataFrame) -> DataFrame:
+    """(key) of each (lang, phrase)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1 << 16):
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
@@ -220,15 +294,19 @@ def bit_table(phrases: DataFrame, most_bits: int = MOST_BITS) -> Known:
             place = np.arange(len(hashes)) - np.searchsorted(words.text, words.text)
             total = np.zeros(batch.num_rows, dtype=np.uint64)
             np.add.at(total, words.text, hashes * _PLACES[place])
-            h = mix64(total) & np.uint64((1 << bits) - 1)
-            at, inverse = np.unique((h >> np.uint64(6)).astype(np.int64), return_inverse=True)
-            out = np.zeros(len(at), dtype=np.uint64)
-            np.bitwise_or.at(out, inverse, np.uint64(1) << (h & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.view(np.int64))], names=["slot", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(key_of(mix64(total)).astype(np.int64))], names=["key"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(slots, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return phrases.select("lang", "phrase").mapInArrow(run, "key long")
+
+
+def bit_table(keys: DataFrame, most_bits: int = MOST_BITS) -> Known:
+    """The bit table of keys: 16 bits for each, at most 2 ** most_bits. Spark joins the bits of each slot of 64; the driver gets one number a slot."""
+    keys = saved(keys, "phrase-keys")
+    bits = min(most_bits, max(12, int(16 * keys.count()).bit_length()))
+    low = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    slots = keys.groupBy(F.shiftright(low, 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    table[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    table[slots["slot"].to_numpy()] = slots["bits"].to_numpy().view(np.uint64)
     return Known(table)
 
 
@@ -236,22 +314,14 @@ def phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, s
     """(lang, phrase, words, f) of all phrases of at most most_words words that occur at least `least` times, and (lang, n) of all words. Both are tables in the shared folder."""
     words = saved(counted(docs, 1, 1, [], shard_bytes), "phrase-words")
     totals = saved(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    found, known, low = [words.where(F.col("n") >= least)], [], 2
-    while low <= most_words:
-        known.append(bit_table(found[-1]))
-        high = low if low == 2 else most_words
-        found.append(saved(counted(docs, low, high, known, shard_bytes).where(F.col("n") >= least), "phrase-counts"))
-        low = high + 1
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    every = words.where(F.col("n") >= least)
+    if most_words > 1:
+        known = [bit_table(keys_of(every))]
+        known.append(bit_table(frequent_pairs(docs, known, least, shard_bytes)))
+        every = every.unionByName(saved(counted(docs, 2, most_words, known, shard_bytes).where(F.col("n") >= least), "phrase-counts"))
     return every.select("lang", "phrase", (F.regexp_count("phrase", F.lit(" ")) + 1).alias("words"), F.col("n").alias("f")), totals
 
 
-def first_words(k) -> F.Column:
-    return F.substring_index("phrase", " ", k)
-
-
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, most_words: int = MOST_WORDS, covered: int = COVERED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score, cut: the first `top` phrases of each lang of docs (text, lang).
 

@@ -83,9 +83,21 @@ def test_cut_only_where_pieces_end():
     assert b"".join(found) == text and len(found) > 5 and all(x[-1:] in b".," for x in found[:-1])
 
 
-def test_bit_table_holds_all_back_never(spark):
+def test_bit_table_never_holds_back(spark):
     rows = spark.createDataFrame([("en", f"w{i} v{i}") for i in range(3000)], "lang string, phrase string")
-    known = collocations.bit_table(rows, most_bits=12)  # crowded
-    words = collocations.Words([f"w{i} v{i}".encode() for i in range(3000)])
-    h = words.hashes + collocations.salts(["en"])[0]
-    assert known.has(collocations.mix64(h[::2] * collocations._PLACES[0] + h[1::2] * collocations._PLACES[1])).all()
+    known = collocations.bit_table(collocations.keys_of(rows), most_bits=12)  # crowded
+    h = collocations.Words([f"w{i} v{i}".encode() for i in range(3000)]).hashes + collocations.salts(["en"])[0]
+    assert known.has(collocations.pair_hashes(h)[::2]).all()
+
+
+def test_sums_of_pairs(spark, many):
+    frame = documents(spark, many).repartition(3)
+    words = collocations.bit_table(collocations.keys_of(collocations.counted(frame, 1, 1, []).where("n >= 30")))
+    got = {r[0] for r in collocations.frequent_pairs(frame, [words], 30, shard_bytes=300).collect()}
+    pairs = collocations.counted(frame, 2, 2, []).where("n >= 30")
+    assert got == {r[0] for r in collocations.keys_of(pairs).collect()} and len(got) > 20
+
+
+def test_planes():
+    x = np.array([0, 1, 255, 256, 1 << 31, (1 << 32) - 1], dtype=np.uint64)
+    assert (collocations.unplaned(collocations.planes(x)) == x).all()
