@@ -7,8 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-from gondola.functions.payloads import price_of, squeezed
-from gondola.functions.text import PRICE
+from gondola.functions.text import PRICE, SPACE
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIPPED = {"script", "style", "noscript", "template"}
@@ -16,7 +15,8 @@ SKIPPED = {"script", "style", "noscript", "template"}
 ENDED = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 #: Tags that such an end does not reach beyond.
 HOLDERS = {"ul", "ol", "table", "tbody", "thead", "body", "div", "section", "article", "select"}
-_PRICE = re.compile(PRICE)
+_PRICE, _SPACES = re.compile(PRICE), re.compile(SPACE + "+")
+_NUMBER = re.compile(r"-?(?:\d+(?:\.\d*)?|\.\d+)")
 # Fixed values of card reading.
 PRICE_NODES, ANCESTORS, LEAST_CARDS, MOST_CARDS, MOST_PRICES = 500, 5, 2, 200, 3
 HEADS = re.compile(r"name|title|nome|titulo", re.I)
@@ -28,6 +28,21 @@ BADGE_PERCENT = re.compile(r"^-\d+%$", re.ASCII)
 BADGE_TAGS, BADGE_NODES, MOST_BADGES = {"span", "small", "strong", "div", "p", "button", "a"}, 80, 8
 
 
+def price_of(text: str) -> float | None:
+    """As prices.parse_price, for one text."""
+    s = _SPACES.sub("", text)
+    if "," in s and "." in s and s.rfind(",") < s.rfind("."):
+        s = s.replace(",", "")
+    elif "," in s:
+        s = s.replace(".", "").replace(",", ".", 1)
+    found = _NUMBER.match(re.sub(r"[^0-9.-]+", "", s))
+    return float(found[0]) if found else None
+
+
+def squeezed(text: str | None) -> str | None:
+    return _SPACES.sub(" ", text).strip() or None if text is not None else None
+
+
 @dataclass
 class Node:
     tag: str

@@ -1,21 +1,25 @@
 """Products out of JSON of any shape: flattening, picking fields by key patterns, price state, product arrays.
 
-Row-wise helpers in plain Python run inside Arrow batches, since key order matters and Spark's VARIANT sorts keys.
+Columns of Spark's own JSON functions, no Python. A walk goes level by level: each object or array is read once as a map or
+list of raw texts, which keeps the keys in the order of the document, and once as VARIANT, which tells strings from
+numbers, objects and nulls. The nodes of all levels stay in the row as an array, so nothing is shuffled and the same
+columns serve batches and streams.
+
+Defined results: null, malformed or scalar JSON has no nodes; a repeated key counts each time; null values are left out but
+count towards the limits of keys and items; numbers are compared as doubles.
 """
 
 from __future__ import annotations
 
-import json
-import math
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gondola.functions.text import PRICE, SPACE, arrow_function
-from gondola.functions.urls import join_url
+from gondola.functions.prices import parse_price
+from gondola.functions.text import PRICE, clean, squeeze
+from gondola.functions.urls import joined
 
 # The last parts of key paths that name each field, as the payloads of shops have them.
 NAMES = ("name", "nome", "title", "titulo", "description", "descricao", "productName", "nomeProduto", "descricao_produto", "produto")
@@ -40,191 +44,207 @@ FLAT_DEPTH, FLAT_KEYS, FLAT_ITEMS = 4, 40, 5
 WALK_DEPTH, WALK_KEYS, WALK_ITEMS = 6, 80, 20
 
 
-def ends_with(keys: tuple[str, ...]) -> re.Pattern:
-    return re.compile(r"(?:^|\.)(?:" + "|".join(map(re.escape, keys)) + r")$", re.I)
-
-
-_PRICE = re.compile(PRICE)
-_SPACES = re.compile(SPACE + "+")
-_NUMBER = re.compile(r"-?(?:\d+(?:\.\d*)?|\.\d+)")
-
+NODE = "array<struct<at:array<int>,path:string,kind:string,text:string>>"
+RAW = "id string, name string, current double, original double, promotion boolean, label string, discount string, badges array<string>, limit_text string, club boolean, exclusive boolean, unit string, image string, link string"
 
-def price_of(value) -> float | None:
-    """As prices.parse_price, for one JSON value."""
-    if isinstance(value, bool) or value is None:
-        return None
-    if isinstance(value, (int, float)):
-        return float(value) if math.isfinite(value) else None
-    s = _SPACES.sub("", str(value))
-    if "," in s and "." in s and s.rfind(",") < s.rfind("."):
-        s = s.replace(",", "")
-    elif "," in s:
-        s = s.replace(".", "").replace(",", ".", 1)
-    found = _NUMBER.match(re.sub(r"[^0-9.-]+", "", s))
-    return float(found[0]) if found else None
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-def flatten(value, limit: int = FLAT_DEPTH) -> list[tuple[str, object]]:
-    """(path, scalar) in document order; array places are no part of a path."""
-    out: list[tuple[str, object]] = []
 
-    def visit(node, path: str, depth: int) -> None:
-        if depth > limit or node is None:
-            return
-        if isinstance(node, dict):
-            for key in list(node)[:FLAT_KEYS]:
-                visit(node[key], f"{path}.{key}" if path else key, depth + 1)
-        elif isinstance(node, list):
-            for item in node[:FLAT_ITEMS]:
-                if isinstance(item, (dict, list)):
-                    visit(item, path, depth + 1)
-                elif item is not None and path:
-                    out.append((path, item))
-        elif path:
-            out.append((path, node))
+def kind_of(value: Column) -> Column:
+    """The first letters of a VARIANT's type: OBJ, ARR, STR, BOO, VOI (a JSON null), of numbers others."""
+    return F.substring(F.schema_of_variant(value), 1, 3)
 
-    visit(value, "", 0)
-    return out
 
+def is_container(node: Column) -> Column:
+    return node["kind"].isin("OBJ", "ARR")
 
-def pick(flat: list[tuple[str, object]], keys: tuple[str, ...], able: Callable[[object], bool], any_other: bool = False):
-    """The value of the shortest path that ends in one of the keys, the first among equals; or else the first able value at all."""
-    pattern = ends_with(keys)
-    found = [(len(p), k, v) for k, (p, v) in enumerate(flat) if pattern.search(p) and able(v)]
-    if found:
-        return min(found, key=lambda x: x[:2])[2]
-    return next((v for _, v in flat if able(v)), None) if any_other else None
 
+def children(node: Column, keys: int, items: int, mark: str, scalars_alone: bool = False) -> Column:
+    """The nodes right under a node: of objects the first `keys`, of arrays the first `items`, whose containers get `mark` after the path."""
+    none = F.array().cast(NODE)
+    below = lambda key: F.when(node["path"] == "", key).otherwise(F.concat(node["path"], F.lit("."), key))
 
-def at(item, path: str):
-    for key in path.split("."):
-        item = item.get(key) if isinstance(item, dict) else None
-    return item
+    def entry(e: Column, i: Column) -> Column:
+        return F.struct(F.concat(node["at"], F.array(i)).alias("at"), below(e["raw"]["key"]).alias("path"), kind_of(e["typed"]["value"]).alias("kind"), e["raw"]["value"].alias("text"))
 
+    def item(e: Column, i: Column) -> Column:
+        kind = kind_of(e["typed"])
+        return F.struct(F.concat(node["at"], F.array(i)).alias("at"), F.concat(node["path"], F.when(kind.isin("OBJ", "ARR"), mark).otherwise("")).alias("path"), kind.alias("kind"), e["raw"].alias("text"))
 
-def _text(least: int, most: int | None = None) -> Callable[[object], bool]:
-    return lambda v: isinstance(v, str) and len(v) >= least and (most is None or len(v) <= most)
+    entries = F.arrays_zip(F.map_entries(F.from_json(node["text"], "map<string,string>")).alias("raw"), F.map_entries(F.from_json(node["text"], "map<string,variant>")).alias("typed"))
+    listed = F.arrays_zip(F.from_json(node["text"], "array<string>").alias("raw"), F.from_json(node["text"], "array<variant>").alias("typed"))
+    of_object = none if scalars_alone else F.transform(F.slice(entries, 1, keys), entry)
+    found = F.coalesce(F.when(node["kind"] == "OBJ", of_object).when(node["kind"] == "ARR", F.transform(F.slice(listed, 1, items), item)).otherwise(none), none)
+    return F.filter(found, lambda n: (n["kind"] != "VOI") & (~is_container(n) if scalars_alone else F.lit(True)))
 
 
-def _scalar(v) -> bool:
-    return isinstance(v, str) or (isinstance(v, (int, float)) and not isinstance(v, bool))
+def walked(body: Column, root: str, depth: int, keys: int, items: int, mark: str) -> Column:
+    """All nodes of a JSON text down to so many levels under the root, in the order of the document. Scalars in an array are on its level."""
+    start = F.regexp_extract(body, r"^\s*([\[{])", 1)
+    first = F.array(F.struct(F.array().cast("array<int>").alias("at"), F.lit(root).alias("path"), F.when(start == "{", "OBJ").otherwise("ARR").alias("kind"), body.alias("text")))
 
+    def under(nodes: Column, left: int) -> Column:
+        more = lambda ns: F.flatten(F.transform(ns, lambda n: children(n, keys, items, mark, scalars_alone=left == 0)))
+        return let(nodes, lambda ns: F.concat(ns, more(ns) if left == 0 else under(more(ns), left - 1)))
 
-def squeezed(v) -> str | None:
-    return _SPACES.sub(" ", str(v)).strip() or None if v is not None and v is not False else None
+    return F.when(start != "", F.array_sort(under(first, depth))).otherwise(F.array().cast(NODE))
 
 
-def price_state(item: dict, flat: list[tuple[str, object]], fallback=None) -> dict:
-    """Current and original price, promotion flag, label and discount of a product object."""
-    first = lambda values: next((p for v in values if (p := price_of(v)) is not None), None)
-    promoted, regular = (first(at(item, p) for p in paths) for paths in (PROMOTION_PRICE_PATHS, REGULAR_PRICE_PATHS))
-    flat_current, flat_original = (price_of(pick(flat, keys, _scalar)) for keys in (PRICES, ORIGINALS))
-    current = promoted if promoted is not None else first((regular, flat_current, fallback))
-    candidate = first((regular, flat_original)) if promoted is not None else flat_original
-    original = candidate if None not in (candidate, current) and candidate > current else None
-    flag = any(at(item, p) for p in ("pricing.promotion", "em_oferta", "oferta"))
-    return {
-        "current": current,
-        "original": original,
-        "promotion": bool(flag) or original is not None,
-        "label": next((v for p in LABEL_PATHS if (v := at(item, p))), None),
-        "discount": next((v for p in DISCOUNT_PATHS if (v := at(item, p)) is not None), None),
-    }
+def flat_json(body: Column | str) -> Column:
+    """(path, value, vtype) of the scalars of a JSON text in the order of the document; array places are no part of a path."""
+    nodes = walked(F.col(body) if isinstance(body, str) else body, "", FLAT_DEPTH, FLAT_KEYS, FLAT_ITEMS, "")
+    scalars = F.filter(nodes, lambda n: ~is_container(n) & (n["path"] != ""))
+    name = lambda n: F.when(n["kind"] == "STR", "string").when(n["kind"] == "BOO", "boolean").otherwise("number")
+    return F.transform(scalars, lambda n: F.struct(n["path"].alias("path"), n["text"].alias("value"), name(n).alias("vtype")))
 
 
-RAW = "id string, name string, current double, original double, promotion boolean, label string, discount string, badges array<string>, limit_text string, club boolean, exclusive boolean, unit string, image string, link string"
+def ends_with(keys: tuple[str, ...]) -> str:
+    return r"(?i)(?:^|\.)(?:" + "|".join(map(re.escape, keys)) + r")$"
 
 
-def raw_product(item: dict, source_url: str | None) -> dict | None:
-    """The fields of a product object as they are found; None if it is none: no name or price, or neither image, link nor id."""
-    flat = flatten(item)
-    name = pick(flat, NAMES, lambda v: _text(3)(v) and not _PRICE.search(v), any_other=True)
-    price = pick(flat, PRICES, _scalar)
-    state = price_state(item, flat, price)
-    image = pick(flat, IMAGES, lambda v: isinstance(v, str) and bool(re.match(r"/|https?://|base/|imgs/", v, re.I)))
-    link = pick(flat, LINKS, lambda v: isinstance(v, str) and bool(re.match(r"https?://|/|[a-z0-9-]+$", v, re.I)))
-    found_id = pick(flat, IDS, _scalar)
-    clean_name = squeezed(_PRICE.sub("", squeezed(name) or "")) if name is not None else None
-    if link and not re.match(r"https?://|/", link, re.I):
-        link = "/produto/" + link
-    image, link = join_url(image, source_url), join_url(link, source_url)
-    if not clean_name or (state["current"] is None and squeezed(price) is None) or re.match(r"store\d+:", clean_name, re.I):
-        return None
-    if not image and not link and not found_id:
-        return None
-    badge = ends_with(BADGES)
-    badges = [v for p, v in flat if badge.search(p) and _text(2, 80)(v)][:12]
-    more = (state["label"], "Clube" if item.get("clube") else None, "Exclusivo do site" if item.get("exclusive") or item.get("siteExclusive") else None)
-    discount = state["discount"] if state["discount"] is not None else pick(flat, DISCOUNTS, _scalar)
-    return {
-        "id": str(found_id) if found_id else None,
-        "name": clean_name,
-        "current": state["current"],
-        "original": state["original"],
-        "promotion": state["promotion"],
-        "label": squeezed(state["label"] or pick(flat, PROMOTIONS, _text(2, 80))),
-        "discount": None if discount is None else str(discount),
-        "badges": badges + [squeezed(x) for x in more if x],
-        "limit_text": squeezed(pick(flat, LIMITS, _text(3, 80))),
-        "club": bool(item.get("clube")),
-        "exclusive": bool(item.get("exclusive") or item.get("siteExclusive")),
-        "unit": squeezed(pick(flat, UNITS, _text(0, 20))),
-        "image": image,
-        "link": link,
-    }
-
-
-def product_arrays(payload, source_url: str | None) -> list[dict]:
-    """The arrays of a payload that hold products: path, score, and the products."""
-    out: list[dict] = []
-
-    def visit(node, path: str, depth: int) -> None:
-        if depth > WALK_DEPTH or node is None:
-            return
-        if isinstance(node, list):
-            products = [p for x in node if isinstance(x, dict) and (p := raw_product(x, source_url))]
-            if products:
-                score = 10 * len(products) + 20 * bool(re.search(ARRAY_WORDS, path, re.I)) + 15 * bool(re.search(URL_WORDS, source_url or "", re.I))
-                out.append({"path": path, "score": score, "items": products})
-            for item in node[:WALK_ITEMS]:
-                if isinstance(item, (dict, list)):
-                    visit(item, f"{path}[]", depth + 1)
-        elif isinstance(node, dict):
-            for key in list(node)[:WALK_KEYS]:
-                visit(node[key], f"{path}.{key}", depth + 1)
-
-    visit(payload, "$", 0)
-    return out
-
-
-def parsed(text):
-    try:
-        return json.loads(text) if text else None
-    except ValueError:
-        return None
-
-
-def _kind(v) -> str:
-    return "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string"
-
-
-@arrow_function("array<struct<path:string,value:string,vtype:string>>")
-def flat_json(x: pd.Series) -> pd.Series:
-    """flatten() of JSON texts; malformed ones are empty."""
-    return pd.Series([[{"path": p, "value": v if isinstance(v, str) else json.dumps(v), "vtype": _kind(v)} for p, v in flatten(parsed(t))] for t in x])
+def pick(flat: Column, keys: tuple[str, ...], able: Callable[[Column], Column], any_other: bool = False) -> Column:
+    """(value, vtype) of the shortest path of flat_json that ends in one of the keys, the first among equals; or else the first able value at all."""
+    fits = F.filter(flat, lambda f: f["path"].rlike(ends_with(keys)) & able(f))
+    best = F.array_min(F.transform(fits, lambda f, i: F.struct(F.length(f["path"]).alias("n"), i.alias("i"), f.alias("f"))))["f"]
+    return F.coalesce(best, F.get(F.filter(flat, able), 0)) if any_other else best
 
 
 def pick_path(flat: Column, keys: tuple[str, ...]) -> Column:
-    """The value of the shortest path of flat_json that ends in one of the keys, in SQL functions."""
-    fits = F.filter(flat, lambda f: F.concat(F.lit("."), F.lower(f["path"])).rlike(r"\.(?:" + "|".join(re.escape(k.lower()) for k in keys) + ")$"))
-    ranked = F.array_sort(F.transform(fits, lambda f, i: F.struct(F.length(f["path"]).alias("n"), i.alias("i"), f["value"].alias("value"))))
-    return F.get(ranked, 0)["value"]
-
-
-_ITEM = ",".join(":".join(field.split(" ")) for field in RAW.split(", "))
-
-
-@arrow_function(f"array<struct<path:string,score:int,items:array<struct<{_ITEM}>>>>")
-def found_arrays(body: pd.Series, url: pd.Series) -> pd.Series:
-    """product_arrays() of JSON bodies; malformed ones have none."""
-    return pd.Series([product_arrays(parsed(b), u) for b, u in zip(body, url)])
+    return pick(flat, keys, lambda f: F.lit(True))["value"]
+
+
+def a_text(least: int, most: int | None = None) -> Callable[[Column], Column]:
+    size = lambda f: F.length(f["value"])
+    return lambda f: (f["vtype"] == "string") & (size(f) >= least) & ((size(f) <= most) if most is not None else F.lit(True))
+
+
+def a_scalar(f: Column) -> Column:
+    return f["vtype"].isin("string", "number")
+
+
+def like(pattern: str) -> Callable[[Column], Column]:
+    return lambda f: (f["vtype"] == "string") & f["value"].rlike(pattern)
+
+
+def price_of(f: Column) -> Column:
+    """The price of a picked value."""
+    return F.when(f["vtype"] == "number", f["value"].try_cast("double")).when(f["vtype"] == "string", parse_price(f["value"]))
+
+
+#: Paths of keys that are asked for as they are.
+ASKED = tuple(dict.fromkeys((*PROMOTION_PRICE_PATHS, *REGULAR_PRICE_PATHS, *LABEL_PATHS, *DISCOUNT_PATHS, "pricing.promotion", "em_oferta", "oferta", "clube", "exclusive", "siteExclusive")))
+
+
+def asked(whole: Column) -> Column:
+    """(value, vtype) at each path of ASKED; no type where nothing or null stands."""
+    kind = lambda p: kind_of(F.try_variant_get(whole, f"$.{p}", "variant"))
+    found = F.array(*(F.struct(F.try_variant_get(whole, f"$.{p}", "string").alias("value"), kind(p).alias("kind")) for p in ASKED))
+    name = lambda k: F.when(k == "STR", "string").when(k == "BOO", "boolean").when(k.isin("OBJ", "ARR"), "container").when(k != "VOI", "number")
+    return F.transform(found, lambda f: F.struct(f["value"].alias("value"), name(f["kind"]).alias("vtype")))
+
+
+class Item:
+    """A product object: what stands at the paths of ASKED, and its flat list for key patterns."""
+
+    def __init__(self, found: Column, flat: Column):
+        self.found, self.flat = found, flat
+
+    def at(self, path: str) -> Column:
+        """(value, vtype); without a type where nothing or null stands."""
+        return F.get(self.found, ASKED.index(path))
+
+    def holds(self, path: str) -> Column:
+        """Whether a value that counts as true stands there: not false, 0 or an empty text."""
+        f = self.at(path)
+        no = ((f["vtype"] == "boolean") & (f["value"] == "false")) | ((f["vtype"] == "number") & (f["value"].try_cast("double") == 0)) | ((f["vtype"] == "string") & (f["value"] == ""))
+        return f["vtype"].isNotNull() & ~no
+
+    def price(self, paths: tuple[str, ...]) -> Column:
+        return F.coalesce(*(price_of(self.at(p)) for p in paths))
+
+    def picked(self) -> Column:
+        """What the key patterns find."""
+        flat = self.flat
+        value = lambda keys, able, **more: pick(flat, keys, able, **more)["value"]
+        badges = F.filter(flat, lambda f: f["path"].rlike(ends_with(BADGES)) & a_text(2, 80)(f))
+        return F.struct(
+            value(NAMES, lambda f: a_text(3)(f) & ~f["value"].rlike(PRICE), any_other=True).alias("name"),
+            pick(flat, PRICES, a_scalar).alias("price"),
+            pick(flat, ORIGINALS, a_scalar).alias("old"),
+            pick(flat, IDS, a_scalar).alias("id"),
+            value(LINKS, like(r"(?i)^(?:https?://|/|[a-z0-9-]+$)")).alias("link"),
+            value(IMAGES, like(r"(?i)^(?:/|https?://|base/|imgs/)")).alias("image"),
+            value(PROMOTIONS, a_text(2, 80)).alias("promotion"),
+            value(DISCOUNTS, a_scalar).alias("discount"),
+            value(LIMITS, a_text(3, 80)).alias("limit"),
+            value(UNITS, a_text(0, 20)).alias("unit"),
+            F.slice(F.transform(badges, lambda f: f["value"]), 1, 12).alias("badges"),
+            F.coalesce(*(F.when(self.holds(p), self.at(p)["value"]) for p in LABEL_PATHS)).alias("label"),
+        )
+
+    def prices(self, p: Column) -> Column:
+        """(current, original, promotion)."""
+        seen = F.struct(self.price(PROMOTION_PRICE_PATHS).alias("promoted"), self.price(REGULAR_PRICE_PATHS).alias("regular"), price_of(p["price"]).alias("flat"), price_of(p["old"]).alias("old"))
+        flag = self.holds("pricing.promotion") | self.holds("em_oferta") | self.holds("oferta")
+
+        def state(s: Column) -> Column:
+            current = F.coalesce(s["promoted"], s["regular"], s["flat"])
+            before = F.when(s["promoted"].isNotNull(), F.coalesce(s["regular"], s["old"])).otherwise(s["old"])
+            original = F.when(before > current, before)
+            return F.struct(current.alias("current"), original.alias("original"), (flag | original.isNotNull()).alias("promotion"))
+
+        return let(seen, state)
+
+    def shaped(self, p: Column, source_url: Column) -> Column:
+        """The fields of RAW out of what was picked, before it is known whether they make a product."""
+        exclusive = self.holds("exclusive") | self.holds("siteExclusive")
+        more = F.array_compact(F.array(squeeze(p["label"]), F.when(self.holds("clube"), F.lit("Clube")), F.when(exclusive, F.lit("Exclusivo do site"))))
+        no_id = (p["id"]["value"] == "") | ((p["id"]["vtype"] == "number") & (p["id"]["value"].try_cast("double") == 0))
+        link = F.when(p["link"].rlike(r"(?i)^(?:https?://|/)"), p["link"]).otherwise(F.concat(F.lit("/produto/"), p["link"]))
+        return F.struct(
+            F.when(~no_id, p["id"]["value"]).alias("id"),
+            clean(F.regexp_replace(squeeze(p["name"]), PRICE, "")).alias("name"),
+            self.prices(p).alias("state"),
+            clean(p["price"]["value"]).alias("price"),
+            clean(F.coalesce(p["label"], p["promotion"])).alias("label"),
+            F.coalesce(*(self.at(x)["value"] for x in DISCOUNT_PATHS), p["discount"]).alias("discount"),
+            F.concat(p["badges"], more).alias("badges"),
+            clean(p["limit"]).alias("limit_text"),
+            self.holds("clube").alias("club"),
+            exclusive.alias("exclusive"),
+            clean(p["unit"]).alias("unit"),
+            let(p["image"], lambda x: joined(x, source_url)).alias("image"),
+            let(link, lambda x: joined(x, source_url)).alias("link"),
+        )
+
+    def raw(self, source_url: Column) -> Column:
+        """The fields of RAW; null if it is no product: no name or price, or neither image, link nor id."""
+
+        def product(s: Column) -> Column:
+            able = s["name"].isNotNull() & (s["state"]["current"].isNotNull() | s["price"].isNotNull()) & ~s["name"].rlike(r"(?i)^store\d+:") & F.coalesce(s["image"], s["link"], s["id"]).isNotNull()
+            field = lambda c: s["state"][c] if c in ("current", "original", "promotion") else s[c]
+            return F.when(able, F.struct(*(field(c).alias(c) for c in (x.split(" ")[0] for x in RAW.split(", ")))))
+
+        return let(let(self.picked(), lambda p: self.shaped(p, source_url)), product)
+
+
+def raw_product(text: Column, source_url: Column) -> Column:
+    """The product that a JSON object is, or null."""
+    return let(F.struct(let(F.try_parse_json(text), asked).alias("found"), flat_json(text).alias("flat")), lambda x: Item(x["found"], x["flat"]).raw(source_url))
+
+
+def found_arrays(body: Column | str, url: Column | str) -> Column:
+    """(path, score, items) of the arrays of a JSON body that hold products, in the order of the document."""
+    body, url = (F.col(c) if isinstance(c, str) else c for c in (body, url))
+    arrays = F.filter(walked(body, "$", WALK_DEPTH, WALK_KEYS, WALK_ITEMS, "[]"), lambda n: n["kind"] == "ARR")
+    hint = lambda x, words: F.coalesce(x.rlike(f"(?i){words}"), F.lit(False)).cast("int")
+
+    def found(n: Column) -> Column:
+        objects = F.filter(F.arrays_zip(F.from_json(n["text"], "array<string>").alias("raw"), F.from_json(n["text"], "array<variant>").alias("typed")), lambda e: kind_of(e["typed"]) == "OBJ")
+        products = F.filter(F.transform(objects, lambda e: raw_product(e["raw"], url)), lambda p: p.isNotNull())
+        return let(products, lambda ps: F.struct(n["path"].alias("path"), (10 * F.size(ps) + 20 * hint(n["path"], ARRAY_WORDS) + 15 * hint(url, URL_WORDS)).alias("score"), ps.alias("items")))
+
+    return F.filter(F.transform(arrays, found), lambda a: F.size(a["items"]) > 0)

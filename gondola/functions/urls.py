@@ -52,10 +52,30 @@ def absolute(value: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([join_url(v, b) for v, b in zip(value, base)], dtype=object)
 
 
+def without_dots(path: Column) -> Column:
+    """A rooted path whose . and .. parts are worked off."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).when(p == ".", out).otherwise(F.concat(out, F.array(p))))
+    tail = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise("")
+    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), F.concat(F.array_join(kept, "/"), tail)).otherwise(path)
+
+
+def joined(value: Column, base: Column) -> Column:
+    """A link made absolute against the page it stands on, as join_url() does, in SQL functions: null if that has no host."""
+    v = F.trim(value, F.lit(" \t\n\r\f\u000b"))
+    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    scheme, plain = F.regexp_extract(site, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.regexp_extract(F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$", 1), r"^(.*/)", 1)
+    path, rest = F.regexp_extract(v, r"^[^?#]*", 0), F.regexp_extract(v, r"^[^?#]*([\s\S]*)$", 1)
+    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    on_site = F.when(v.startswith("//"), F.concat(scheme, v)).when(v.startswith("?"), F.concat(plain, v)).when(v.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), v)).otherwise(F.concat(site, without_dots(rooted), rest))
+    return F.when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"), v)).when((v != "") & (site != ""), on_site)
+
+
 def product_link(value: Column, base: Column) -> Column:
     """Absolute and rooted links as they are, bare slugs under /produto/, else null."""
     rooted = value.rlike("(?i)^https?://") | value.startswith("/")
-    return absolute(F.when(rooted, value).when(value.rlike("(?i)^[a-z0-9-]+$"), F.concat(F.lit("/produto/"), value)), base)
+    return joined(F.when(rooted, value).when(value.rlike("(?i)^[a-z0-9-]+$"), F.concat(F.lit("/produto/"), value)), base)
 
 
 def root_candidates(url: Column) -> Column:

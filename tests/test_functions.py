@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gondola.functions import badges, cards, payloads, prices, text, urls
+from tests import plain_payloads
 from gondola.operators import cities
 
 NBSP = " "
@@ -24,7 +25,7 @@ def one(spark, column, value, kind="string"):
 def test_parse_price(spark, value, generic, shelf):
     assert one(spark, prices.parse_price, value) == generic
     assert one(spark, prices.parse_shelf_price, value) == shelf
-    assert payloads.price_of(value or None) == generic
+    assert plain_payloads.price_of(value or None) == generic
 
 
 @pytest.mark.parametrize("value, want", [(1.005, "R$ 1,00"), (0.125, "R$ 0,13"), (0.375, "R$ 0,38"), (1299.9, "R$ 1299,90"), (2.5, "R$ 2,50"), (0.0, "R$ 0,00")])
@@ -110,16 +111,16 @@ ITEM = {"id": 7, "nome": "Arroz Tipo 1", "pricing": {"price": "9,99", "promotion
 
 
 def test_payloads():
-    p = payloads.raw_product(ITEM, "https://a/b")
+    p = plain_payloads.raw_product(ITEM, "https://a/b")
     assert (p["id"], p["name"], p["current"], p["original"], p["promotion"], p["label"], p["unit"]) == ("7", "Arroz Tipo 1", 7.49, 9.99, True, "Festival", "kg")
     assert p["image"] == "https://a/i.png" and p["link"] == "https://a/produto/arroz-1" and p["club"] and p["badges"] == ["Novo", "R$ 1,00", "Festival", "Clube"]
-    assert payloads.raw_product({"nome": "Sem preço", "id": 1}, "https://a") is None and payloads.raw_product({"nome": "Sem mais", "preco": 1}, "https://a") is None
-    assert payloads.raw_product({"nome": "store12: x", "preco": 1, "id": 1}, "https://a") is None
-    (m,) = payloads.product_arrays({"data": {"products": [ITEM, 3, {"x": 1}]}}, "https://a/search")
+    assert plain_payloads.raw_product({"nome": "Sem preço", "id": 1}, "https://a") is None and plain_payloads.raw_product({"nome": "Sem mais", "preco": 1}, "https://a") is None
+    assert plain_payloads.raw_product({"nome": "store12: x", "preco": 1, "id": 1}, "https://a") is None
+    (m,) = plain_payloads.product_arrays({"data": {"products": [ITEM, 3, {"x": 1}]}}, "https://a/search")
     assert (m["path"], m["score"], len(m["items"])) == ("$.data.products", 45, 1)
-    assert payloads.flatten({"a": [1, {"b": 2}, [3]], "c": None, "d": {"e": {"f": {"g": {"h": 1}}}}}) == [("a", 1), ("a.b", 2), ("a", 3)]
-    assert payloads.pick([("x.y.name", "long"), ("name", "short"), ("name", "later")], payloads.NAMES, lambda v: True) == "short"
-    assert payloads.pick([("q", "abc")], payloads.NAMES, lambda v: True, any_other=True) == "abc"
+    assert plain_payloads.flatten({"a": [1, {"b": 2}, [3]], "c": None, "d": {"e": {"f": {"g": {"h": 1}}}}}) == [("a", 1), ("a.b", 2), ("a", 3)]
+    assert plain_payloads.pick([("x.y.name", "long"), ("name", "short"), ("name", "later")], payloads.NAMES, lambda v: True) == "short"
+    assert plain_payloads.pick([("q", "abc")], payloads.NAMES, lambda v: True, any_other=True) == "abc"
 
 
 PAGE = """<html><title> Loja </title><body><nav><a href="/categorias/x">menu</a></nav><ul>

@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from gondola import vectors  # noqa: F401 registers its queries
+from gondola import shop_queries  # noqa: F401 registers its queries
 from gondola.queries import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
+from tests.vectors import CASES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -24,9 +25,18 @@ def plain(rows):
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, medium, db, name):
-    want = db.execute(ORACLE_SQL[name])
+    same(db, ORACLE_SQL[name], QUERIES[name](spark, medium))
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_cases_worked_out_by_hand(spark, medium, db, name):
+    f, sql = CASES[name]
+    same(db, sql, f(spark, medium))
+
+
+def same(db, sql, got):
+    want = db.execute(sql)
     columns = [d[0] for d in want.description]
-    got = QUERIES[name](spark, medium)
     assert sorted(got.columns) == sorted(columns)
     a, b = plain(map(tuple, got.select(columns).collect())), plain(want.fetchall())
     assert len(a) == len(b) and a == b and a

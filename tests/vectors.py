@@ -1,4 +1,4 @@
-"""Registered queries over small frames written here: each operator on the cases that its meaning turns on, against values worked out by hand in SQL."""
+"""Queries over small frames written here: each operator on the cases that its meaning turns on, against values worked out by hand in SQL."""
 
 from __future__ import annotations
 
@@ -11,10 +11,20 @@ from gondola import schemas
 from gondola.functions import badges, payloads, prices, text, urls
 from gondola.operators import cities, ledger, pages, ranking, scoring, shelves, summaries
 from gondola.plans import catalog, runs
-from gondola.queries import query
 from gondola.sources import readers, sinks
 
 NULL = "NULL"
+CASES: dict = {}
+
+
+def query(sql: str):
+    """Adds the function and its SQL to CASES."""
+
+    def add(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
 
 
 def values(columns: str, *rows: str) -> str:
