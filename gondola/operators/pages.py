@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from gondola.functions.badges import campaign_label as badge_campaign
 from gondola.functions.prices import format_price, price_state
 from gondola.functions.text import SPACE, either
 from gondola.operators import ranking, scoring
+from gondola.operators.nodes import extracted, headings, links  # noqa: F401 read by name from here
 
 # Lines that begin with a price, and those that are no names.
 PRICE_FIRST = rf"(?i)^R\${SPACE}*\d"
@@ -94,20 +94,6 @@ def group_stats(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "g.selector", *(c.alias(name) for name, c in measures.items()), group_score(measures).alias("score"))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, seq, href, text, has_image, in_frame) of each link, absolute."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                for k, link in enumerate(cards.page_links(cards.tree(html))):
-                    rows.append((page_id, url, k, urls.join_url(link["href"], url), link["text"], link["has_image"], link["in_frame"]))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "seq", "href", "text", "has_image", "in_frame"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, seq int, href string, text string, has_image boolean, in_frame boolean").where("href is not null")
-
-
 def href_values(html: Column) -> Column:
     """The double-quoted href values of a page, by pattern alone."""
     return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)
@@ -131,20 +117,6 @@ def total_products(text: Column) -> Column:
     return F.regexp_extract(text, rf"(?i)(\d+){SPACE}+Produtos", 1).try_cast("int")
 
 
-def headings(pages: DataFrame) -> DataFrame:
-    """(page_id, url, heading, label, places) of each heading of a page; places: the first and last seq of links() in each place around it, in the order they are tried."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                for k, h in enumerate(cards.headings(cards.tree(html))):
-                    rows.append((page_id, url, k, h["label"], [{"first": lo, "last": hi} for lo, hi in h["places"]]))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "heading", "label", "places"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, heading int, label string, places array<struct<first:int,last:int>>")
-
-
 def heading_sections(found: DataFrame, heads: DataFrame, n: int = 60) -> DataFrame:
     """For each of a page's first n headings the best link of the first place around it that has one, labelled by the heading."""
     able = ranking.top(heads.where(~scoring.like(F.col("label"), scoring.SECTION_NOT)), ["page_id"], [F.col("heading")], n)
@@ -186,13 +158,3 @@ def payload_items(captures: DataFrame, most: int) -> DataFrame:
     shaped = items.select("*", format_price(F.col("current")).alias("price"), F.col("original").alias("originalPrice"), F.col("discount").alias("discountPercent"), F.col("label").alias("promotionLabel"), F.col("limit_text").alias("limitText"), F.col("label").alias("campaignLabel"), F.col("club").alias("isClubOffer"), F.col("exclusive").alias("isSiteExclusive"))
     once = ranking.distinct_extracted(shaped.withColumn("badges", badge_list(F.col("badges"))), ["page_url"])
     return ranking.top(once, ["page_url"], [F.col("seq")], most).select("page_url", F.col("rank").alias("seq"), "id", "name", "current", "original", "promotion", F.col("label"), badge_campaign(F.col("label"), F.col("badges")).alias("campaign"), "discount", "badges", F.col("limit_text"), "club", "exclusive", "unit", "image", "link")
-
-
-def extracted(pages: DataFrame, config: dict) -> DataFrame:
-    """What an extraction config reads from each page, as JSON."""
-
-    @F.pandas_udf("string")
-    def read(html: pd.Series, url: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(cards.extract(h, config, u), ensure_ascii=False) for h, u in zip(html, url)])
-
-    return pages.select("page_id", "url", read("html", "url").alias("data"))

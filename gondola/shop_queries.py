@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions import badges, payloads, prices, text, urls
-from gondola.operators import cities, pages, ranking, scoring
+from gondola.operators import cities, nodes, pages, ranking, scoring
 from gondola.plans import catalog
 from gondola.queries import LINKS, cases, href_rows, query, table
 
@@ -185,3 +185,43 @@ def enough_items(spark, d):
     """When a page has enough items: fewer do on a page that is not the site's root (FI6)."""
     url = F.when(F.col("o_orderstatus") == "F", "http://a.com/catalog/x").otherwise("http://a.com/")
     return table(spark, d, "orders").select("o_orderkey", catalog.enough((F.col("o_custkey") % 40).cast("int"), url).alias("enough"))
+
+
+def shown(x: str) -> str:
+    """SQL of a text of HTML without tags: entities resolved, white space squeezed."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+
+
+@query(
+    "SELECT page_id, i - 1 AS seq, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || regexp_extract(a, 'href=\"([^\"]*)\"', 1) AS href, i <= in_nav AS in_frame FROM "
+    "(SELECT page_id, url, unnest(links) AS a, unnest(range(1, len(links) + 1)) AS i, len(regexp_extract_all(split_part(html, '</nav>', 1), '<a href=')) AS in_nav FROM (SELECT *, regexp_extract_all(html, '<a href=\"[^\"]+\">') AS links FROM pages))"
+)
+def page_tree_links(spark, d):
+    """Links by the node table, with what is around them (RS6, SO9)."""
+    return nodes.links(table(spark, d, "pages")).select("page_id", "seq", "href", "in_frame")
+
+
+@query(f"SELECT page_id, 0 AS heading, label FROM (SELECT page_id, {shown("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS label FROM pages) WHERE length(label) BETWEEN 3 AND 80")
+def page_headings(spark, d):
+    """Headings outside of frames (RS10)."""
+    return nodes.headings(table(spark, d, "pages")).select("page_id", "heading", "label")
+
+
+EXTRACTION = {
+    "fields": {"title": {"type": "pageTitle"}, "url": {"type": "pageUrl"}, "ad": {"selector": "body div.ad"}, "script": {"selector": "script", "type": "exists"}, "menu": {"selector": "nav ul a[href]", "type": "href", "multiple": True}},
+    "collection": {"selector": "li", "limit": 3, "fields": {"word": {"selector": "a"}, "link": {"selector": "a", "type": "attribute", "attribute": "href"}}},
+}
+
+
+@query(
+    f"SELECT page_id, {shown("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, url, {shown("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")} AS ad, contains(html, '<script') AS script, "
+    f"array_to_string(regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1), '|') AS menu, regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1)[2] AS second_link, {shown("regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)<', 1)[2]")} AS second_word FROM pages"
+)
+def page_extraction(spark, d):
+    """An extraction config over all pages (SC9)."""
+    data = nodes.extracted(table(spark, d, "pages"), EXTRACTION)
+    found = F.from_json("data", "title string, url string, ad string, script boolean, menu array<string>, collection array<struct<word string, link string>>")
+    row = data.select("page_id", found.alias("f"))
+    return row.select("page_id", "f.title", "f.url", "f.ad", "f.script", F.array_join("f.menu", "|").alias("menu"), F.get("f.collection", 1)["link"].alias("second_link"), F.get("f.collection", 1)["word"].alias("second_word"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gondola.functions import badges, cards, payloads, prices, text, urls
-from tests import plain_payloads
+from tests import plain_cards, plain_payloads
 from gondola.operators import cities
 
 NBSP = " "
@@ -138,8 +138,8 @@ def test_cards_of_unclosed_html():
 
 def test_extraction_config():
     config = {"pageText": True, "fields": {"title": {"type": "pageTitle"}, "url": {"type": "pageUrl"}, "has": {"selector": "li.card h3", "type": "exists"}, "all": {"selector": "li.card a", "type": "href", "multiple": True}}, "collection": {"selector": "li.card", "limit": 2, "fields": {"img": {"selector": "img", "type": "src"}, "none": {"selector": "em"}}}}
-    out = cards.extract(PAGE, config, "http://a")
+    out = plain_cards.extract(PAGE, config, "http://a")
     assert out["title"] == "Loja" and out["url"] == "http://a" and out["has"] and out["all"] == ["/produto/11/arroz", "/produto/12"]
     assert out["collection"] == [{"img": "/1.png", "none": None}, {"img": None, "none": None}] and "Arroz" in out["pageText"]
     with pytest.raises(ValueError):
-        cards.extract(PAGE, {"fields": {"x": {"type": "odd"}}})
+        plain_cards.extract(PAGE, {"fields": {"x": {"type": "odd"}}})
