@@ -41,7 +41,7 @@ SHARD_BYTES = 8 << 20
 #: The bit table has at most 2 to this many bits: 16 MB.
 MOST_BITS = 27
 #: Bits of a hash that identify a phrase in the bit table and in the sums of pairs, and those that deal pairs into slices.
-KEY_BITS, SLICE_BITS = 40, 10
+KEY_BITS, SLICE_BITS = 40, 8
 
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[list(BLANKS)] = 1
@@ -256,9 +256,9 @@ def counted(docs: DataFrame, low: int, high: int, known: list[Known], shard_byte
 
 
 def frequent_pairs(docs: DataFrame, known: list[Known], least: int, shard_bytes: int = SHARD_BYTES, slice_bits: int = SLICE_BITS) -> DataFrame:
-    """(key) of the pairs whose key occurs `least` times or more. A slice is added up by one task; there are as many as SLICE_BITS say, and at least 64 for each shuffle partition."""
+    """(key) of the pairs whose key occurs `least` times or more. A slice is added up by one task; there are as many as SLICE_BITS say, and at least two for each shuffle partition."""
     spark = docs.sparkSession
-    slice_bits = min(KEY_BITS - 8, max(slice_bits, KEY_BITS - 32, (64 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    slice_bits = min(KEY_BITS - 8, max(slice_bits, KEY_BITS - 32, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() + 1))
     sent = spark.sparkContext.broadcast(known)
     blobs = by_shard(docs, lambda held: pair_sums(held, sent.value, least, slice_bits), "slice long, keys binary, counts binary", shard_bytes)
 
