@@ -80,6 +80,11 @@ def deleted(base: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return base.join(keys.select(key), key, "left_anti")
 
 
+def unmatched(base: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """The keys that no row of base has."""
+    return keys.select(key).join(base.select(key), key, "left_anti")
+
+
 def sorted_sources(sources: DataFrame) -> DataFrame:
     """By label as Portuguese sorts it."""
     return sources.orderBy(F.collate("label", "pt"), "id")

@@ -48,18 +48,51 @@ def richness(campaign: int) -> Column:
     return score
 
 
+def best_state(rows: DataFrame, keys: list[str], order: Column, seq: str = "seq") -> DataFrame:
+    """A row for each key: `best` (the row whose order, a struct, is smallest), that `order`, and `first`, the smallest seq. Null keys are equal. One aggregate: each task keeps a row a key before the shuffle, so no task holds a hot key. States of parts of the rows, such as those of each day, are put together by merged_state."""
+    ordered = rows.withColumn("__order", order)
+    kept = [F.col(c) for c in rows.columns if c not in keys]
+    return ordered.groupBy(*keys).agg(F.min_by(F.struct(*kept), "__order").alias("best"), F.min("__order").alias("order"), F.min(seq).alias("first"))
+
+
+def merged_state(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The state of the rows of both."""
+    both = state.unionByName(new)
+    return both.groupBy(*keys).agg(F.min_by("best", "order").alias("best"), F.min("order").alias("order"), F.min("first").alias("first"))
+
+
+def of_state(state: DataFrame, columns: list[str]) -> DataFrame:
+    """The best rows of a state, with these of their columns."""
+    inner = state.schema["best"].dataType.names
+    return state.select(*(F.col("best")[c].alias(c) if c in inner else F.col(c) for c in columns))
+
+
+def extracted_state(items: DataFrame, group: list[str], seq: str = "seq") -> DataFrame:
+    """State of the richest item of each key (__key), the first among equals."""
+    return best_state(items.withColumn("__key", product_key()), [*group, "__key"], F.struct((-richness(2)).alias("poor"), F.col(seq).alias("seq")), seq)
+
+
 def distinct_extracted(items: DataFrame, group: list[str], seq: str = "seq") -> DataFrame:
     """Extracted items: the richest of each key, the first among equals; `seq` becomes that of the key's first row."""
-    key = items.withColumn("_key", product_key()).withColumn("_first", F.min(seq).over(Window.partitionBy(*group, "_key")))
-    best = keep_first(key, [*group, "_key"], [richness(2).desc(), F.col(seq)])
-    return best.withColumn(seq, F.col("_first")).drop("_key", "_first")
+    state = extracted_state(items, group, seq)
+    return of_state(state.withColumn("best", F.col("best").withField(seq, F.col("first"))), items.columns)
+
+
+def products_state(products: DataFrame, seq: str = "seq") -> DataFrame:
+    """State of the richest catalogue product of each key (__key), then the cheapest, then by link."""
+    link = F.collate(F.coalesce("link", F.lit("")), "pt")
+    order = F.struct((-richness(3)).alias("poor"), F.col("priceValue").isNull().alias("free"), F.col("priceValue").alias("price"), link.alias("link"), F.col(seq).alias("seq"))
+    return best_state(products.withColumn("__key", product_key()), ["__key"], order, seq)
+
+
+def shown(products: DataFrame, seq: str = "seq") -> DataFrame:
+    """By section and name, as Portuguese sorts them."""
+    return products.orderBy(F.collate(F.coalesce("sectionLabel", F.lit("")), "pt"), F.collate("name", "pt"), seq)
 
 
 def distinct_products(products: DataFrame, seq: str = "seq") -> DataFrame:
     """Catalogue products: the richest of each key, then the cheapest, then by link; shown by section and name."""
-    link = F.collate(F.coalesce("link", F.lit("")), "pt")
-    best = keep_first(products.withColumn("_key", product_key()), ["_key"], [richness(3).desc(), F.col("priceValue").asc_nulls_last(), link, F.col(seq)])
-    return best.drop("_key").orderBy(F.collate(F.coalesce("sectionLabel", F.lit("")), "pt"), F.collate("name", "pt"), seq)
+    return shown(of_state(products_state(products, seq), products.columns), seq)
 
 
 def distinct_shelf(products: DataFrame, slug: Column, seq: str = "seq") -> DataFrame:

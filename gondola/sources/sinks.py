@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -12,6 +15,7 @@ from pyspark.sql import types as T
 
 from gondola.functions import text
 from gondola.operators import summaries
+from gondola.shared import written
 
 
 def csv_value(df: DataFrame, name: str) -> Column:
@@ -85,10 +89,12 @@ def append_logs(rows: DataFrame, folder: str) -> None:
 
 
 def write_profiles(candidates: DataFrame, path: str) -> None:
-    """The best candidate of each domain and summaries of all."""
+    """The best candidate of each domain, and summaries (strategy, n_items, url where there is one) of all its candidates in order; a domain's candidates are those of one visit, a handful."""
     kept = [c for c in candidates.columns if c != "domain"]
-    best = candidates.groupBy("domain").agg(F.max_by(F.struct(*kept), F.struct("n_items", F.col("strategy") == "network", -F.col("seq"))).alias("bestCandidate"))
-    best.write.mode("overwrite").parquet(path)
+    best = F.max_by(F.struct(*kept), F.struct("n_items", F.col("strategy") == "network", -F.col("seq"))).alias("bestCandidate")
+    told = F.struct("seq", *(c for c in ("strategy", "n_items", "url") if c in kept))
+    every = F.transform(F.sort_array(F.collect_list(told)), lambda x: x.dropFields("seq")).alias("candidates")
+    candidates.groupBy("domain").agg(best, every).write.mode("overwrite").parquet(path)
 
 
 def http_post(url: str, body: str, headers: dict[str, str] | None = None, timeout: float = 20) -> int:
@@ -115,6 +121,81 @@ def post_rows(rows: DataFrame, url: str, order: list[str], post: Callable[[str,
     return body.mapInPandas(run, "body string, status int, error string")
 
 
+class Journal:
+    """What a job's calls came to, in a file of that job in a folder that all executors share, written before and after each call.
+
+    A call that was begun is never made again: a task that is repeated finds it here."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _name(self, job: str) -> str:
+        return os.path.join(self.folder, hashlib.sha256(job.encode()).hexdigest())
+
+    def made(self, job: str) -> dict[int, list]:
+        """[status, error] of each call begun; [None, None] where no answer is known."""
+        if not os.path.exists(self._name(job)):
+            return {}
+        with open(self._name(job), encoding="utf-8") as file:
+            whole = [line for line in file if line.endswith("\n")]
+        return {k: answer for k, *answer in map(json.loads, whole)}
+
+    def note(self, job: str, call: int, status: int | None = None, error: str | None = None) -> None:
+        with open(self._name(job), "a", encoding="utf-8") as file:
+            file.write(json.dumps([call, status, error]) + "\n")
+            file.flush()
+            os.fsync(file.fileno())
+
+
+DELIVERY = "job string, batchIndex int, status int, error string"
+
+
+def delivered(rows: DataFrame, url: str, folder: str, token: str | None = None, post: Callable[[str, str, dict[str, str]], int] = http_post) -> DataFrame:
+    """Posts the chunks (job, batchIndex, body) that the delivery log in `folder` lacks, those of a job one after the other in the
+    order of batchIndex, and adds what they came to (DELIVERY) to that log; returns the new rows of the log.
+
+    A job's chunks go to one task, sorted there by Spark, which may spill; bodies are sent as they come, never held together.
+    A chunk is sent at most once, also when a task or the whole call is repeated (Journal): failed calls are logged and not
+    made again. Folder is a path that all executors share, mounted at the same place.
+
+    Defined results: where a call was begun but its task lost, the error is `answer unknown`; a null job is the job with an
+    empty name, a null body an empty one; of chunks with equal job and batchIndex the first by body is sent."""
+    spark = rows.sparkSession
+    os.makedirs(f"{folder}/calls", exist_ok=True)
+    log, journal = f"{folder}/log", Journal(f"{folder}/calls")
+    named = rows.select(F.coalesce(F.col("job").cast("string"), F.lit("")).alias("job"), F.col("batchIndex").cast("int").alias("batchIndex"), F.coalesce("body", F.lit("")).alias("body"))
+    if os.path.exists(log):
+        named = named.join(spark.read.schema(DELIVERY).parquet(log).select("job", "batchIndex"), ["job", "batchIndex"], "left_anti")
+    headers = {"Authorization": f"Bearer {token}"} if token else {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, made, sent = None, {}, set()
+        for pdf in batches:
+            out = []
+            for j, k, body in zip(pdf["job"], pdf["batchIndex"], pdf["body"]):
+                if j != job:
+                    job, made, sent = j, journal.made(j), set()
+                if k in sent:
+                    continue
+                sent.add(k)
+                if k in made:
+                    status, error = made[k] if made[k] != [None, None] else (None, "answer unknown")
+                else:
+                    journal.note(j, int(k))
+                    try:
+                        status = post(url, body, headers)
+                        error = None if 200 <= status < 300 else f"status {status}"
+                    except Exception as e:  # noqa: BLE001 any failure of a call is logged
+                        status, error = None, str(e)[:200] or type(e).__name__
+                    journal.note(j, int(k), status, error)
+                out.append((j, k, status, error))
+            yield pd.DataFrame(out, columns=["job", "batchIndex", "status", "error"]).astype({"status": "Int32"})
+
+    done = written(named.repartition("job").sortWithinPartitions("job", "batchIndex", "body").mapInPandas(run, DELIVERY), "delivery")
+    done.write.mode("append").parquet(log)
+    return done
+
+
 def job_event(jobs: DataFrame) -> DataFrame:
     """(id, body): the event of each finished job."""
     done = jobs.where(F.col("status").isin("completed", "failed"))

@@ -1,8 +1,9 @@
-"""Streams: a log tail, a schedule, and products out of captured responses."""
+"""Streams: a log tail, plain and with line numbers, a schedule, and products out of captured responses."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gondola import schemas
 from gondola.functions import payloads
-from gondola.operators import ledger, scoring
+from gondola.operators import ledger, ranking, scoring
+from gondola.plans import runs
+from gondola.sources.stored import Stored
+
+#: Every so many batches the totals of all jobs are written, else those of the batch's own.
+TOTALS_EVERY = 64
 
 
 def log_stream(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
@@ -25,6 +31,44 @@ def tail(stream: DataFrame, checkpoint: str, out: str, once: bool = False) -> St
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1500 milliseconds")).start()
 
 
+def numbered_tail(stream: DataFrame, job: str, order: list[str], checkpoint: str, out: str, once: bool = False) -> StreamingQuery:
+    """Numbers the lines of each job as they land: line goes on from what the batches before have written, in the given order
+    within a batch. Each batch has folders of its own, which a repeated batch overwrites, so lines are neither lost nor
+    numbered twice after a restart. Jobs of any size: ranking.numbered splits hot ones.
+
+    Defined results: lines without a job are one job; equal lines are each numbered; later batches never change numbers given."""
+
+    def number(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        lines = ranking.numbered(batch, [job], [F.col(c) for c in order])
+        if k:
+            paths = [f"{out}/totals/batch={b}" for b in range((k - 1) // TOTALS_EVERY * TOTALS_EVERY, k)]
+            before = spark.read.schema(f"key {batch.schema[job].dataType.simpleString()}, total long").parquet(*paths).groupBy("key").agg(F.max("total").alias("_before"))
+            lines = lines.join(before, F.col(job).eqNullSafe(F.col("key")), "left").drop("key")
+        else:
+            before, lines = None, lines.withColumn("_before", F.lit(0))
+        lines = lines.withColumn("line", F.coalesce("_before", F.lit(0)) + F.col("_at"))
+        lines.select(*batch.columns, "line").write.mode("overwrite").parquet(f"{out}/lines/batch={k}")
+        totals = spark.read.parquet(f"{out}/lines/batch={k}").groupBy(F.col(job).alias("key")).agg(F.max("line").alias("total"))
+        if before is not None and k % TOTALS_EVERY == 0:
+            totals = totals.unionByName(before.withColumnRenamed("_before", "total")).groupBy("key").agg(F.max("total").alias("total"))
+        totals.write.mode("overwrite").parquet(f"{out}/totals/batch={k}")
+
+    writer = stream.writeStream.foreachBatch(number).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1500 milliseconds")).start()
+
+
+def numbered_lines(spark: SparkSession, out: str) -> DataFrame:
+    """The lines that numbered_tail has written, of whole batches only."""
+    last = spark.read.parquet(f"{out}/totals").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{out}/lines").where(F.col("batch") <= F.lit(last)).drop("batch")
+
+
+def resumed(lines: DataFrame, job: str, of: str, after: int = 0, limit: int = 200) -> DataFrame:
+    """What a client that has seen `after` lines of a job gets next; it goes on from the last line's number."""
+    return lines.where((F.col(job) == of) & (F.col("line") > after)).orderBy("line").limit(max(limit, 1))
+
+
 def until_done(query: StreamingQuery, status: Callable[[], str | None], seconds: float = 1.5) -> str:
     """Lets a job's tail run until the job has completed or failed: writes what is left, stops and gives that status. Without such a job (None) it stops at once: missing."""
     while True:
@@ -43,16 +87,27 @@ def counts(stream: DataFrame, late: str = "10 minutes", window: str = "5 minutes
     return stream.withWatermark("at", late).groupBy(F.window("at", window), "level").agg(F.count("*").alias("n"))
 
 
-def schedule(spark: SparkSession, sources: Callable[[], DataFrame], running: Callable[[], DataFrame], run: Callable[[DataFrame], None], checkpoint: str, seconds: int = 60) -> StreamingQuery:
-    """Hands the due sources to run at each tick."""
+def schedule(spark: SparkSession, sources: Callable[[], DataFrame], store: Stored, run: Callable[[DataFrame], None], checkpoint: str, seconds: int = 60) -> StreamingQuery:
+    """Claims the sources that are due at each tick and hands their jobs to run, which ends them (runs.ended). A tick is a stretch of
+    `seconds` of the stream's own time: one that is repeated after a restart is the same tick, of which nothing is claimed twice."""
 
-    def tick(_: DataFrame, __: int) -> None:
-        run(ledger.due(sources(), running(), F.current_timestamp()))
+    def tick(batch: DataFrame, _: int) -> None:
+        at = batch.agg(F.max("timestamp")).first()[0]
+        if at is not None:
+            tick_at(sources(), store, at - timedelta(seconds=at.timestamp() % seconds), run)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def tick_at(sources: DataFrame, store: Stored, at: datetime, run: Callable[[DataFrame], None]) -> None:
+    """One tick: the due sources that nobody has claimed."""
+    due = ledger.due(sources, store.read().where("status = 'running'"), F.lit(at).cast("timestamp"))
+    jobs = runs.claimed(store, due, at)
+    if not jobs.isEmpty():
+        run(jobs)
+
+
 def capture_products(stream: DataFrame) -> DataFrame:
     """The product arrays of captured responses as they land."""
     able = stream.where(scoring.capture_able(F.col("url"), F.col("content_type"), F.col("body")))
