@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions import badges, payloads, prices, text, urls
 from gondola.operators import cities, nodes, pages, ranking, scoring
-from gondola.plans import catalog
+from gondola.plans import catalog, roots
 from gondola.queries import LINKS, cases, href_rows, query, table
 
 PAGE_PARTS = 20
@@ -225,3 +225,54 @@ def page_extraction(spark, d):
     found = F.from_json("data", "title string, url string, ad string, script boolean, menu array<string>, collection array<struct<word string, link string>>")
     row = data.select("page_id", found.alias("f"))
     return row.select("page_id", "f.title", "f.url", "f.ad", "f.script", F.array_join("f.menu", "|").alias("menu"), F.get("f.collection", 1)["link"].alias("second_link"), F.get("f.collection", 1)["word"].alias("second_word"))
+
+
+# A page stands at its first link's address, and what it links to are addresses of other pages: a graph of all links of all pages.
+SPOTS = "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS site, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS hrefs FROM pages"
+
+
+def root_sql(score: str) -> str:
+    """SQL for roots.inspected over SPOTS, as (site, url, visit): a site's pages one by one, with lists of what waits and what is known."""
+    item = f"{{'poor': -({score.replace('url', 'u')}), 'place': place, 'url': u}}"
+    fresh = "list_filter(coalesce(hrefs, []), lambda x: NOT list_contains(known, x))"
+    queued = f"list_transform({fresh}, lambda x, i: {{'poor': -({score.replace('url', 'x')}), 'place': 1000 * len(known) + i, 'url': x}})"
+    return (
+        f"WITH RECURSIVE spots AS ({SPOTS}), ways AS (SELECT url, list(href ORDER BY nth) AS hrefs FROM (SELECT url, href, min(nth) AS nth FROM (SELECT hrefs[1] AS url, unnest(hrefs) AS href, 1000 * page_id + unnest(range(len(hrefs))) AS nth FROM spots) GROUP BY url, href) GROUP BY url), "
+        f"starts AS (SELECT site, list({item} ORDER BY {item}) AS waiting, list(u) AS known FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY -({score.replace('url', 'u')}), place) AS r FROM (SELECT site, hrefs[1] AS u, min(page_id) AS place FROM spots WHERE len(hrefs) > 0 GROUP BY site, u)) WHERE r <= 10 GROUP BY site), "
+        "walk AS (SELECT site, []::VARCHAR[] AS seen, list_transform(waiting, lambda x: {'poor': x.poor::BIGINT, 'place': x.place::BIGINT, 'url': x.url}) AS waiting, known FROM starts UNION ALL "
+        f"SELECT site, list_append(seen, waiting[1].url), list_sort(list_concat(waiting[2:], {queued})), list_concat(known, {fresh}) FROM walk LEFT JOIN ways ON waiting[1].url = ways.url WHERE len(seen) < 10 AND len(waiting) > 0), "
+        "visited AS (SELECT site, unnest(seen) AS url, unnest(range(1, len(seen) + 1)) AS visit FROM (SELECT site, max_by(seen, len(seen)) AS seen FROM walk GROUP BY site))"
+    )
+
+
+def spots(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("site"), pages.href_values(F.col("html")).alias("hrefs")).where("size(hrefs) > 0")
+
+
+def inspected_spots(spark, d, score=None) -> DataFrame:
+    rows = spots(spark, d)
+    links = rows.select(F.col("hrefs")[0].alias("url"), "page_id", F.posexplode("hrefs").alias("seq", "href")).select("url", "href", (1000 * F.col("page_id") + F.col("seq")).alias("nth"))
+    return roots.inspected(rows.select("site", F.col("hrefs")[0].alias("url"), F.col("page_id").alias("place")), links, F.lit(True), score)
+
+
+@query(root_sql("0") + " SELECT site, url, visit::INT AS visit FROM visited")
+def root_frontier(spark, d):
+    """The pages that each site's discovery inspects, first in, first out (ST4)."""
+    return inspected_spots(spark, d).withColumnRenamed("at", "visit")
+
+
+ROOT_SCORE = f"9 * least(n_items, 120) + 7 * least(n_links, 40) + CASE WHEN n_items % 2 = 0 THEN 30 ELSE 0 END + {cases('url', scoring.ROOT)} + CASE WHEN ends_with(url, '/') AND n_items > 20 THEN 32 ELSE 0 END - CASE WHEN regexp_matches(url, '{scoring.ROOT_INPUT}', 'i') AND regexp_matches(url, '{scoring.ROOT_LANDED}', 'i') THEN 240 ELSE 0 END"
+
+
+@query(
+    root_sql("length(url)") + ", landed AS (SELECT url, count(*) AS n_items, count(DISTINCT href) AS n_links FROM (SELECT hrefs[1] AS url, unnest(hrefs) AS href FROM spots) GROUP BY url), "
+    f"scored AS (SELECT site, url, visit, {ROOT_SCORE} AS score FROM (SELECT site, visited.url, visit, coalesce(n_items, 0) AS n_items, coalesce(n_links, 0) AS n_links, n_items IS NOT NULL AS landed FROM visited LEFT JOIN landed ON visited.url = landed.url) WHERE landed "
+    f"UNION ALL SELECT site, visited.url, visit, {cases('visited.url', scoring.ROOT)} - CASE WHEN regexp_matches(visited.url, '{scoring.ROOT_INPUT}', 'i') AND regexp_matches(visited.url, '{scoring.ROOT_LANDED}', 'i') THEN 240 ELSE 0 END FROM visited WHERE url NOT IN (SELECT url FROM landed)) "
+    "SELECT site, arg_max(url, (score, -visit)) AS root_url, max(score)::BIGINT AS score, count(*) AS inspected FROM scored GROUP BY site"
+)
+def root_choice(spark, d):
+    """The root of each site: best-first discovery, then the best score (ST4, SO3, RS1)."""
+    visited = inspected_spots(spark, d, F.length("url"))
+    landed = spots(spark, d).select(F.col("hrefs")[0].alias("url"), F.explode("hrefs").alias("href")).groupBy("url").agg(F.count("*").alias("n_items"), F.count_distinct("href").alias("n_links"))
+    landed = landed.withColumn("strategy", F.when(F.col("n_items") % 2 == 0, "network").otherwise("dom")).withColumn("finalUrl", F.col("url"))
+    return roots.chosen(roots.scored(visited, landed)).withColumnRenamed("rootUrl", "root_url")
