@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions import badges, payloads, prices, text, urls
-from gondola.operators import cities, nodes, pages, ranking, scoring
+from gondola.operators import cities, city_choice, nodes, pages, ranking, scoring
 from gondola.plans import catalog, roots
 from gondola.queries import LINKS, cases, href_rows, query, table
 
@@ -276,3 +276,51 @@ def root_choice(spark, d):
     landed = spots(spark, d).select(F.col("hrefs")[0].alias("url"), F.explode("hrefs").alias("href")).groupBy("url").agg(F.count("*").alias("n_items"), F.count_distinct("href").alias("n_links"))
     landed = landed.withColumn("strategy", F.when(F.col("n_items") % 2 == 0, "network").otherwise("dom")).withColumn("finalUrl", F.col("url"))
     return roots.chosen(roots.scored(visited, landed)).withColumnRenamed("rootUrl", "root_url")
+
+
+# Customers as sources, their orders as links and as controls, the lines of those as options.
+CITY_TEXTS = ("Trocar loja", "Selecionar cidade", "Contato", "Entrega", "Menu")
+CITY_ROWS = (
+    "c AS (SELECT c_custkey AS k, 'http://s' || c_custkey || '.com/' AS site, regexp_extract(n_name, '^[A-Za-z]+') AS city FROM customer JOIN nation ON c_nationkey = n_nationkey), "
+    f"o AS (SELECT k, site, city, o_orderkey AS seq, o_orderstatus AS st, o_orderkey % 5 <> 0 AS visible, {list(CITY_TEXTS)}[left(o_orderpriority, 1)::INT] AS t FROM c JOIN orders ON o_custkey = k)"
+)
+
+
+def city_frames(spark, d):
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.regexp_extract("n_name", "^[A-Za-z]+", 0).alias("city"))
+    site = F.concat(F.lit("http://s"), "c_custkey", F.lit(".com/"))
+    c = table(spark, d, "customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("k"), site.alias("site"), "city")
+    text = F.element_at(F.array(*map(F.lit, CITY_TEXTS)), F.left("o_orderpriority", F.lit(1)).cast("int"))
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "k").join(c, "k").select("k", "site", "city", F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("st"), (F.col("o_orderkey") % 5 != 0).alias("visible"), text.alias("t"))
+    return c, o
+
+
+@query(
+    f"WITH {CITY_ROWS}, anchors AS (SELECT *, CASE st WHEN 'F' THEN city WHEN 'O' THEN 'Ofertas' ELSE '' END AS text, site || CASE WHEN st = 'O' THEN 'loja/' || lower(city) ELSE 'x' || seq END AS href FROM o WHERE k % 4 <> 1), "
+    "scored AS (SELECT *, CASE WHEN lower(text) = lower(city) THEN 180 ELSE 0 END + CASE WHEN contains(lower(text), lower(city)) THEN 80 ELSE 0 END + CASE WHEN contains(href, '/' || lower(city)) THEN 140 ELSE 0 END + CASE WHEN regexp_matches(href, 'loja') THEN 35 ELSE 0 END + CASE WHEN text <> '' THEN 10 ELSE 0 END AS score FROM anchors), "
+    "linked AS (SELECT k, arg_max(text, (score, -seq)) AS text, arg_max(href, (score, -seq)) AS href FROM scored WHERE score > 0 GROUP BY k), "
+    "shown AS (SELECT k, CASE WHEN k % 3 = 1 THEN 'Outra' ELSE upper(city[1]) || lower(city[2:]) END AS first_city, upper(city[1]) || lower(city[2:]) AS asked FROM c), "
+    "s AS (SELECT c.*, href IS NOT NULL AS has_link, href, text, href IS NOT NULL AND k % 3 <> 1 AS closed FROM c LEFT JOIN linked USING (k)), "
+    "trig AS (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY o.k ORDER BY CASE WHEN regexp_matches(lower(t), 'cidade|loja|entrega') THEN 80 ELSE 0 END + CASE WHEN regexp_matches(lower(t), 'selecionar cidade') THEN 80 ELSE 0 END + CASE WHEN st = 'O' THEN 50 ELSE 0 END + 15 - CASE WHEN t = 'Contato' THEN 120 ELSE 0 END DESC, seq) AS r FROM o JOIN s ON o.k = s.k WHERE NOT closed AND visible AND NOT (t = 'Contato')) WHERE r <= 12), "
+    "opts AS (SELECT trig.k, r, l_linenumber AS seq, st = 'O' AND l_linenumber > 3 AS sel, CASE l_linenumber % 3 WHEN 1 THEN 'Outra' WHEN 2 THEN 'Loja ' || city ELSE city END AS text, l_linenumber % 3 AS m FROM trig JOIN lineitem ON l_orderkey = trig.seq WHERE l_linenumber <> 2 AND l_linenumber % 3 <> 1), "
+    "picked AS (SELECT k, arg_min(text, (r, NOT sel, CASE WHEN sel THEN 0 WHEN m = 0 THEN -220 ELSE -70 END, seq)) AS label FROM opts GROUP BY k), "
+    "res AS (SELECT s.*, asked, picked.label, CASE WHEN closed THEN 'd' WHEN label IS NOT NULL THEN 't' WHEN has_link THEN 'm' ELSE 'n' END AS how FROM s JOIN shown USING (k) LEFT JOIN picked USING (k)) "
+    "SELECT site, CASE how WHEN 't' THEN 'generic-city-trigger' WHEN 'n' THEN 'city-selection-unavailable' ELSE 'generic-city-directory' END AS strategy, "
+    "CASE how WHEN 't' THEN CASE WHEN k % 2 = 0 THEN 'Retirar na loja: ' || city || ', 9h' ELSE label END WHEN 'd' THEN nullif(text, '') WHEN 'm' THEN coalesce(nullif(text, ''), 'Loja de Outra') END AS label, "
+    "CASE how WHEN 'm' THEN 'Outra' WHEN 'n' THEN NULL ELSE asked END AS city, CASE WHEN how IN ('d', 'm') THEN href END AS url, how IN ('d', 't') AS eligible FROM res"
+)
+def city_contexts(spark, d):
+    """How each source gets its city: link directory, then triggers and options for the sources still open (CP6, SO12, RS7-RS9)."""
+    c, o = city_frames(spark, d)
+    text = F.when(F.col("st") == "F", F.col("city")).when(F.col("st") == "O", "Ofertas").otherwise("")
+    href = F.concat("site", F.when(F.col("st") == "O", F.concat(F.lit("loja/"), F.lower("city"))).otherwise(F.concat(F.lit("x"), "seq")))
+    links = o.where("k % 4 <> 1").select("site", "seq", text.alias("text"), href.alias("href"))
+    triggers = o.select("site", "seq", F.col("t").alias("text"), (F.col("st") == "O").alias("is_select"), "visible")
+    line = F.col("l_linenumber")
+    option = F.when(line % 3 == 1, "Outra").when(line % 3 == 2, F.concat(F.lit("Loja "), "city")).otherwise(F.col("city"))
+    options = table(spark, d, "lineitem").join(o.withColumn("l_orderkey", F.col("seq")).drop("seq"), "l_orderkey")
+    options = options.select("site", F.col("l_orderkey").alias("trigger"), line.alias("seq"), option.alias("text"), ((F.col("st") == "O") & (line > 3)).alias("in_select"), (line != 2).alias("visible"))
+    other = c.where("k % 3 = 1").select("site", F.lit("generic-city-directory").alias("strategy"), F.lit("Loja de Outra").alias("label"))
+    picked = c.where("k % 2 = 0").select("site", F.lit("generic-city-trigger").alias("strategy"), F.concat(F.lit("Retirar na loja: "), "city", F.lit(", 9h")).alias("label"))
+    found = city_choice.contexts(c.select("site", F.col("city").alias("requestedCity")), links, triggers, options, other.unionByName(picked))
+    return found.select("site", "strategy", F.col("storeLabel").alias("label"), F.col("effectiveCity").alias("city"), F.col("contextUrl").alias("url"), F.col("cityEligible").alias("eligible"))
