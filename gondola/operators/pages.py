@@ -19,6 +19,8 @@ from gondola.operators.nodes import extracted, headings, links  # noqa: F401 rea
 # Lines that begin with a price, and those that are no names.
 PRICE_FIRST = rf"(?i)^R\${SPACE}*\d"
 NO_NAME = rf"(?i)^R\${SPACE}*\d|^(?:comprar|adicionar)$"
+#: Arrays of a page that are kept.
+MATCHES = 8
 CARD = "id string, name string, current double, original double, promotion boolean, badges array<string>, image string, link string"
 
 
@@ -142,11 +144,16 @@ def sections(found: DataFrame, n: int, heads: DataFrame | None = None) -> DataFr
     return ranking.top(once, ["page_id"], order, n).drop("kind")
 
 
-def payload_matches(captures: DataFrame, n: int = 8) -> DataFrame:
-    """(page_url, rank, path, responseUrl, score, normalizedCount) of the best n arrays of each page_url's captures."""
+def match_rows(captures: DataFrame) -> DataFrame:
+    """(page_url, seq, responseUrl, n, path, score, normalizedCount) of each product array of captures (page_url, seq, url, content_type, body)."""
     able = captures.where(scoring.capture_able(F.col("url"), F.col("content_type"), F.col("body")))
-    arrays = able.select("page_url", "seq", F.col("url").alias("responseUrl"), F.posexplode(payloads.found_arrays("body", "url")).alias("n", "found")).select("page_url", "seq", "responseUrl", "n", "found.path", "found.score", F.size("found.items").alias("normalizedCount"))
-    return ranking.top(arrays, ["page_url"], [F.col("score").desc(), F.col("seq"), F.col("n")], n).select("page_url", "rank", "path", "responseUrl", "score", "normalizedCount")
+    arrays = able.select("page_url", "seq", F.col("url").alias("responseUrl"), F.posexplode(payloads.found_arrays("body", "url")).alias("n", "found"))
+    return arrays.select("page_url", "seq", "responseUrl", "n", "found.path", "found.score", F.size("found.items").alias("normalizedCount"))
+
+
+def payload_matches(captures: DataFrame, n: int = MATCHES) -> DataFrame:
+    """(page_url, rank, path, responseUrl, score, normalizedCount) of the best n arrays of each page_url's captures."""
+    return ranking.top(match_rows(captures), ["page_url"], [F.col("score").desc(), F.col("seq"), F.col("n")], n).select("page_url", "rank", "path", "responseUrl", "score", "normalizedCount")
 
 
 def payload_items(captures: DataFrame, most: int) -> DataFrame:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gondola import shared
 from gondola.functions import badges, payloads, prices, text, urls
 from gondola.operators import cities, city_choice, nodes, pages, ranking, scoring
 from gondola.plans import catalog, roots
 from gondola.queries import LINKS, cases, href_rows, query, table
+from gondola.streaming import tail
 
 PAGE_PARTS = 20
 
 
-def captures(spark, d) -> DataFrame:
-    """A captured search response for each 20 parts, with a product for each part."""
-    part = table(spark, d, "part")
+def captures(spark, d, able="true") -> DataFrame:
+    """A captured search response for each 20 parts, with a product for each part (that is able)."""
+    part = table(spark, d, "part").where(able)
     lower = F.when(F.col("p_size") % 3 == 0, F.col("p_retailprice") - 10)
     product = F.struct(
         F.col("p_partkey").alias("sku"), F.concat_ws(" ", "p_name", "p_type").alias("nome"), F.struct(F.col("p_retailprice").alias("price"), lower.alias("promotionalPrice")).alias("pricing"),
@@ -324,3 +328,22 @@ def city_contexts(spark, d):
     picked = c.where("k % 2 = 0").select("site", F.lit("generic-city-trigger").alias("strategy"), F.concat(F.lit("Retirar na loja: "), "city", F.lit(", 9h")).alias("label"))
     found = city_choice.contexts(c.select("site", F.col("city").alias("requestedCity")), links, triggers, options, other.unionByName(picked))
     return found.select("site", "strategy", F.col("storeLabel").alias("label"), F.col("effectiveCity").alias("city"), F.col("contextUrl").alias("url"), F.col("cityEligible").alias("eligible"))
+
+
+@query(
+    f"WITH m AS (SELECT p_partkey // {10 * PAGE_PARTS} AS page, p_partkey // {PAGE_PARTS} AS nth, count(*) AS n FROM part WHERE p_size > 2 * (p_partkey // {PAGE_PARTS} % 10) GROUP BY 1, 2), "
+    "r AS (SELECT *, 10 * n + 35 AS score, row_number() OVER (PARTITION BY page ORDER BY n DESC, nth % 10) AS rank FROM m) "
+    "SELECT 'https://shop.example/d/' || page AS page_url, rank, '$.result.products' AS path, 'https://shop.example/api/search?page=' || nth AS url, score, n FROM r WHERE rank <= 8"
+)
+def tapped_payload_matches(spark, d):
+    """The running list of each page's product arrays, by a stream of captured responses, each of which lands twice (ST7, AG12)."""
+    found = captures(spark, d, f"p_size > 2 * (floor(p_partkey / {PAGE_PARTS}) % 10)")
+    nth = F.regexp_extract("url", r"page=(\d+)", 1).cast("int")
+    found = found.withColumn("page_url", F.concat(F.lit("https://shop.example/d/"), F.floor(nth / 10))).withColumn("seq", nth % 10).withColumn("at", F.timestamp_seconds(nth * 0 + 1_700_000_000))
+    folder = f"{shared.folder(spark)}/tap-{uuid.uuid4().hex}"
+    found.unionByName(found).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 16).parquet(f"{folder}/in")
+    tail.tapped(stream, f"{folder}/checkpoint", f"{folder}/out", once=True).awaitTermination()
+    lists = tail.tapped_matches(spark, f"{folder}/out")
+    shared.deleted(spark, f"{folder}/in")
+    return lists.select("page_url", "rank", "path", F.col("responseUrl").alias("url"), F.col("score").cast("long").alias("score"), F.col("normalizedCount").cast("long").alias("n"))

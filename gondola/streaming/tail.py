@@ -12,11 +12,14 @@ from pyspark.sql.streaming import StreamingQuery
 from gondola import schemas
 from gondola.functions import payloads
 from gondola.operators import ledger, ranking, scoring
+from gondola.operators.pages import MATCHES, match_rows
 from gondola.plans import runs
 from gondola.sources.stored import Stored
 
 #: Every so many batches the totals of all jobs are written, else those of the batch's own.
 TOTALS_EVERY = 64
+MATCH = "page_url string, seq int, n int, responseUrl string, path string, score int, normalizedCount int, batch int"
+MATCH_KEYS = [f.split()[0] for f in MATCH.split(", ")[:-1]]
 
 
 def log_stream(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
@@ -113,3 +116,45 @@ def capture_products(stream: DataFrame) -> DataFrame:
     able = stream.where(scoring.capture_able(F.col("url"), F.col("content_type"), F.col("body")))
     arrays = able.select("url", F.explode(payloads.found_arrays("body", "url")).alias("found"))
     return arrays.select("url", "found.path", "found.score", F.explode("found.items").alias("item")).select("url", "path", "score", "item.*")
+
+
+def tapped(stream: DataFrame, checkpoint: str, out: str, late: str = "10 minutes", n: int = MATCHES, once: bool = False) -> StreamingQuery:
+    """Keeps the best n product arrays of each page while its responses are captured (page_url, seq, url, content_type, body, at).
+
+    A capture (page_url, seq) counts once, and not at all if it lands later than the watermark allows. Each batch writes, to a folder of
+    its own, the lists of the pages that it met, put together with what they had; every so many batches the lists of all pages. A
+    batch that is repeated after a restart starts from the batches before it and overwrites its folder, so its list is the same.
+
+    Defined results: captures that aren't worth parsing or hold no products change nothing; null bodies likewise; of equal scores the
+    smaller seq, then the earlier array counts; captures without a time are late as soon as there is a watermark; captures
+    without a page are one page."""
+    once_each = stream.withWatermark("at", late).dropDuplicatesWithinWatermark(["page_url", "seq"])
+
+    def merge(batch: DataFrame, k: int) -> None:
+        new = match_rows(batch).select(*MATCH_KEYS)
+        if k:
+            before = _latest(batch.sparkSession, out, (k - 1) // TOTALS_EVERY * TOTALS_EVERY, k)
+            if k % TOTALS_EVERY:
+                touched = new.select(F.col("page_url").alias("_page")).distinct()
+                before = before.join(touched, F.col("page_url").eqNullSafe(F.col("_page")), "left_semi")
+            # A capture that comes again after its state has gone must not stand in the list twice.
+            new = ranking.keep_first(new.unionByName(before), ["page_url", "seq", "n"], [F.col("score").desc()])
+        best = ranking.top(new, ["page_url"], [F.col("score").desc(), F.col("seq"), F.col("n")], n)
+        best.select(*MATCH_KEYS).write.mode("overwrite").parquet(f"{out}/batch={k}")
+
+    writer = once_each.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1500 milliseconds")).start()
+
+
+def _latest(spark: SparkSession, out: str, first: int, end: int) -> DataFrame:
+    """Each page's list as the last of the batches from first to end - 1 that met it has written it."""
+    rows = spark.read.schema(MATCH).option("basePath", out).parquet(*(f"{out}/batch={b}" for b in range(first, end)))
+    last = rows.groupBy(F.col("page_url").alias("_page")).agg(F.max("batch").alias("_last"))
+    return rows.join(last, F.col("page_url").eqNullSafe(F.col("_page")) & (F.col("batch") == F.col("_last")), "left_semi").select(*MATCH_KEYS)
+
+
+def tapped_matches(spark: SparkSession, out: str, n: int = MATCHES) -> DataFrame:
+    """The running lists after the last batch that was written, as payload_matches() gives them."""
+    last = spark.read.schema(MATCH).parquet(out).agg(F.max("batch")).first()[0]
+    rows = _latest(spark, out, (last or 0) // TOTALS_EVERY * TOTALS_EVERY, (last or 0) + 1)
+    return ranking.top(rows, ["page_url"], [F.col("score").desc(), F.col("seq"), F.col("n")], n).select("page_url", "rank", "path", "responseUrl", "score", "normalizedCount")
