@@ -9,11 +9,11 @@ they are: tasks look for those windows, and the driver gets no more than a few s
 held-back texts turns the highest window into a probability.
 
 The classifier is fitted on a bounded sample: at most SAMPLE labelled toxic rows and CLEAN times as many others, drawn by
-a hash of the row (rows with equal id and text have the same hash and stay together). Scoring has no such bound.
+a hash of the row; equal labelled texts of an id count once. Scoring has no such bound.
 
 Defined results:
 - null or empty text has one empty window, scored by the bias alone; texts of any length are scored as a whole;
-- null labels are not learned from; a doc_id that is labelled several times is learned from each time;
+- null labels are not learned from; a doc_id with several labels is learned from once with each;
 - of equally toxic windows the first counts; a score equal to the cut is predicted 1;
 - without rows of both classes (empty tables, no training rows) every score is 0;
 - repeated rows each get a row; extra columns are ignored.
@@ -93,15 +93,13 @@ def prepared(text: str | None) -> bytes:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(toxic, text, place) of labelled rows, a little more than the training sample. Only ids and labels are counted; of the texts those sampled move."""
-    able = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """(toxic, text, place) of labelled rows, a little more than the training sample; equal ones count once. Only ids and labels are counted and moved: the ids drawn, about (1 + CLEAN) * sample of any number, are broadcast, and the texts stay where they are."""
+    able = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     counts = {r["toxic"]: r["n"] for r in able.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    place = row_place(9, "doc_id")
     share = F.when(F.col("toxic") == 1, min(1.0, sample / counts.get(1, 1))).otherwise(min(1.0, CLEAN * sample / counts.get(0, 1)))
-    few = able.where(place < share)
-    texts = docs.where(crc_mod(F.col("doc_id"), 4) != 2).where(place < max((min(1.0, CLEAN * sample / n) for n in counts.values()), default=0.0))
-    both = texts.select("doc_id", "text").join(few, "doc_id")
-    return both.select("toxic", "text", row_place(10, "doc_id", "text").alias("place"))
+    few = able.where(row_place(9, "doc_id") < share)
+    both = docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 4) != 2).join(F.broadcast(few), "doc_id")
+    return both.select("toxic", "text", row_place(10, "doc_id", "text").alias("place")).dropDuplicates(["toxic", "place"])
 
 
 def bounded(rows: DataFrame, sample: int) -> DataFrame:
