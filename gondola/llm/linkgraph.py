@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gondola.llm.common import saved, scratch
 
 #: (verdict, host and path) of each rule: the host reaches to the first slash, the path begins with it.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 DAMPING = 0.85
 #: Rounds before it is first asked whether the ranks have settled. It is no limit.
 ROUNDS = 12

@@ -70,6 +70,13 @@ def test_cases(spark):
     assert got(df.where("false")) == Counter()
 
 
+def test_verdicts_of_the_contract(spark):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert ", ".join(f"{v} {r}" for v, r in linkgraph.RULES) == contract
+    found = got(pages(spark, [(k, f"http://a.{r}", None) for k, (_, r) in enumerate(linkgraph.RULES)]))
+    assert [x[3:] for x in sorted(found)] == [tuple(reversed(x.split())) for x in contract.split(", ")]
+
+
 def test_propagation_passes_shares_on(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("a", "c", 3)], "src string, dst string, links long")
     seeds = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "c", 1.0)], "kind string, host string, seed double")
