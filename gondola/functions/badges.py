@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,24 +19,26 @@ EXCLUSIVE = either("exclusiv", "site")
 MOST = 8
 
 
-def _each_once(badges: Column) -> Column:
-    """First spellings of badges that differ in more than case."""
-    keyed = F.array_sort(F.transform(badges, lambda b, i: F.struct(F.lower(b).alias("key"), i.alias("i"), b.alias("b"))))
-    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"]))
-    in_order = lambda s: F.slice(F.array_sort(F.transform(firsts(s), lambda x: F.struct(x["i"], x["b"]))), 1, MOST)
-    return F.get(F.transform(F.array(keyed), lambda s: F.transform(in_order(s), lambda x: x["b"])), 0)
+def _each_once(values: Column, able: Callable[[Column], Column]) -> Column:
+    """First spellings of the able squeezed values that differ in more than case, at most MOST. Once those are found, the rest is passed over unread."""
+
+    def add(found: Column, value: Column) -> Column:
+        known = lambda b: F.exists(found, lambda x: F.lower(x) == F.lower(b))
+        new = F.filter(F.transform(F.array(value), squeeze), lambda b: able(b) & ~known(b))
+        return F.when(F.size(found) >= MOST, found).otherwise(F.concat(found, new))
+
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.aggregate(values, none, add), none)
 
 
 def badge_list(values: Column) -> Column:
     """Squeezed badges of 2 to 80 characters without prices, each once whatever its case, at most 8."""
-    able = F.filter(F.transform(F.array_distinct(values), squeeze), lambda b: F.length(b).between(2, 80) & ~b.rlike(PRICE))
-    return _each_once(F.coalesce(able, F.array().cast("array<string>")))
+    return _each_once(values, lambda b: F.length(b).between(2, 80) & ~b.rlike(PRICE))
 
 
 def product_badges(values: Column) -> Column:
     """As badge_list, but prices and single characters stay."""
-    able = F.filter(F.transform(values, squeeze), lambda b: F.length(b).between(1, 80))
-    return _each_once(F.coalesce(able, F.array().cast("array<string>")))
+    return _each_once(values, lambda b: F.length(b).between(1, 80))
 
 
 def first_like(badges: Column, pattern: str) -> Column:

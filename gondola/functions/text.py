@@ -41,7 +41,8 @@ def empty_to_null(x: Column) -> Column:
 
 def squeeze(x: Column) -> Column:
     """White space runs as one blank, none at the ends. A lone blank is left where it is: most are."""
-    return F.trim(F.regexp_replace(x, f"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " "))
+    # Most characters are no space, which one range tells sooner than the list of all spaces.
+    return F.trim(F.regexp_replace(x, f"(?![!-~])(?:{SPACE}{{2,}}|(?! ){SPACE})", " "))
 
 
 def clean(x: Column) -> Column:

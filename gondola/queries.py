@@ -413,7 +413,7 @@ def city_coverage(spark, d):
 def badges_distinct_ci(spark, d):
     words = F.split(text.squeeze(F.col("text")), " ")
     some = table(spark, d, "documents").where(F.col("text").rlike(r"(?<!\S)\S{2,80}(?!\S)"))
-    return some.select("doc_id", F.array_join(badges.badge_list(F.array_distinct(words)), " ").alias("badges"))
+    return some.select("doc_id", F.array_join(badges.badge_list(words), " ").alias("badges"))
 
 
 @query(

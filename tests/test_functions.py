@@ -1,5 +1,7 @@
 """Semantic vectors of the functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,16 @@ def test_urls(spark):
     assert one(spark, urls.root_like, "http://a/") and not one(spark, urls.root_like, "http://a/b")
 
 
+def test_badges_of_long_lists_take_little_time(spark):
+    """40,000 rows of 500 words: with every word squeezed, matched and sorted this took minutes of one task."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.concat(F.lit("W"), k.cast("string")))
+    rows = spark.range(0, 40_000, 1, 1).select(F.concat(F.array(F.lit("w1 "), F.lit(None), F.lit("R$ 5,00")), F.transform(words, lambda w: F.concat(w, F.col("id").cast("string")))).alias("words"))
+    at = time.monotonic()
+    assert rows.select(F.size(badges.badge_list(F.col("words"))).alias("n")).where("n <> 8").count() == 0
+    assert time.monotonic() - at < 60
+    assert one(spark, badges.badge_list, ["w1 ", None, "R$ 5,00", *(f"{c}{k}" for k in range(1, 12) for c in "Ww")], "array<string>") == ["w1", *(f"W{k}" for k in range(2, 9))]
+
+
 def test_badges(spark):
     values = ["Oferta", "OFERTA", "R$ 5,00", "x", " Clube ", None, ""]
     assert one(spark, badges.badge_list, values, "array<string>") == ["Oferta", "Clube"]
