@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,18 +27,25 @@ from gondola.functions.urls import joined
 
 NODE = "at:int,last:int,above:array<int>,tag:string,attrs:map<string,string>,first_text:int,n_texts:int,first_link:int,n_links:int"
 SCHEMA = f"nodes array<struct<{NODE}>>, texts array<struct<line:string,hidden:int>>"
+REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
 FRAMES = ("header", "nav", "footer")
 HEADINGS = ("h1", "h2", "h3", "h4")
 # The classes of places around a heading where its link may be, in order.
 PLACES = ("section", "shelf", "carousel", "slider")
 
 
-def labelled(html: str | None) -> tuple[list[dict], list[dict]]:
-    """The nodes and texts of a page; a text's `hidden` is the innermost hidden node around it, or -1."""
+def ended_only(html: str | None) -> str | None:
+    """HTML whose ampersands stand for themselves where they begin no reference that ends in a semicolon."""
+    able = lambda name: name and (name[0] == "#" or name in html5)
+    return REFERENCE.sub(lambda m: m[0] if able(m[1]) else "&amp;" + m[0][1:], html) if html else html
+
+
+def labelled(html: str | None, bare: bool = True) -> tuple[list[dict], list[dict]]:
+    """The nodes and texts of a page; a text's `hidden` is the innermost hidden node around it, or -1. bare: references without a semicolon count too, as in browsers."""
     nodes: list[dict] = []
     texts: list[dict] = []
     links = 0
-    stack: list[tuple] = [(cards.tree(html), [], -1)]
+    stack: list[tuple] = [(cards.tree(html if bare else ended_only(html)), [], -1)]
     while stack:
         x, above, hidden = stack.pop()
         if isinstance(x, dict):  # all below has been met
@@ -56,15 +64,15 @@ def labelled(html: str | None) -> tuple[list[dict], list[dict]]:
     return nodes, texts
 
 
-def parsed(pages: DataFrame, *columns: str) -> DataFrame:
-    """(page_id, url, ...columns, nodes, texts) of each page (page_id, url, html)."""
+def parsed(pages: DataFrame, *columns: str, bare: bool = True) -> DataFrame:
+    """(page_id, url, ...columns, nodes, texts) of each page (page_id, url, html); bare as in labelled."""
     kept = ["page_id", "url", *columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 200):
                 part = pdf.iloc[lo : lo + 200]
-                found = [labelled(h) for h in part["html"]]
+                found = [labelled(h, bare) for h in part["html"]]
                 yield part[kept].assign(nodes=[n for n, _ in found], texts=[t for _, t in found])
 
     rows = pages.select(*dict.fromkeys([*kept, "html"]))
@@ -145,7 +153,7 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "x.seq", joined(F.col("x.href"), F.col("url")).alias("href"), "x.text", "x.has_image", "x.in_frame").where("href is not null")
 
 
-def headings(pages: DataFrame) -> DataFrame:
+def headings(pages: DataFrame, bare: bool = True) -> DataFrame:
     """(page_id, url, heading, label, places) of each heading outside of header, menu and footer with a label of 3 to 80 characters; places: the first and last seq of links() in each place around it, in the order they are tried."""
     page = Page()
     classes = lambda x: F.coalesce(x["attrs"]["class"], F.lit(""))
@@ -167,7 +175,7 @@ def headings(pages: DataFrame) -> DataFrame:
         return let(F.concat(F.array(x), page.around(x)), judged)
 
     found = F.filter(F.transform(able, heading), lambda h: F.length(h["label"]).between(3, 80) & ~h["framed"])
-    return parsed(pages).select("page_id", "url", F.posexplode(found).alias("heading", "h")).select("page_id", "url", "heading", "h.label", "h.places")
+    return parsed(pages, bare=bare).select("page_id", "url", F.posexplode(found).alias("heading", "h")).select("page_id", "url", "heading", "h.label", "h.places")
 
 
 def field(page: Page, scope: Column, config: dict) -> Column:
@@ -191,7 +199,7 @@ def fields(page: Page, scope: Column, wanted: dict) -> list[Column]:
     return [field(page, scope, f).alias(name) for name, f in wanted.items()]
 
 
-def extracted(pages: DataFrame, config: dict) -> DataFrame:
+def extracted(pages: DataFrame, config: dict, bare: bool = True) -> DataFrame:
     """(page_id, url, data): what an extraction config reads from each page (pageText, pageHtml, fields, collection), as JSON."""
     page = Page()
     out = [clean(page.text(page.root())).alias("pageText")] if config.get("pageText") else []
@@ -202,4 +210,4 @@ def extracted(pages: DataFrame, config: dict) -> DataFrame:
         found = F.slice(found, 1, c["limit"]) if c.get("limit") else found
         out.append(F.transform(found, lambda x: F.struct(*fields(page, x, c["fields"]))).alias("collection"))
     data = F.to_json(F.struct(*out), {"ignoreNullFields": "false"}) if out else F.lit("{}")
-    return parsed(pages, *(["html"] if config.get("pageHtml") else [])).select("page_id", "url", data.alias("data"))
+    return parsed(pages, *(["html"] if config.get("pageHtml") else []), bare=bare).select("page_id", "url", data.alias("data"))
