@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm.common import crc_mod, parts, pieces, row_place, window_of
-from gondola.llm.subword import joined, segment_logits, softmax, spread, train
+from gondola.llm.subword import gram_buckets, joined, segment_logits, softmax, spread, train
 
 SAMPLE = 4000
 WINDOW = 4000
@@ -60,6 +61,31 @@ def sample_rows(docs: DataFrame, sample: int, seed: int = 5) -> DataFrame:
     return some.where("place < 1").orderBy("place", "text", "lang").limit(sample).select("text", "lang")
 
 
+def packed(data: bytes) -> tuple[bytes, bytes, int]:
+    """The distinct buckets of a window's grams (as steps from one to the next), how often each is there, both compressed, and the number of all grams."""
+    raw, starts = joined([data])
+    _, b, s = spread(raw, starts, ORDERS, BITS)
+    total = sum(int((gram_buckets(raw, n, BITS) < 1 << BITS).sum()) for n in ORDERS)
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pack(np.diff(b, prepend=0).astype(np.uint16).tobytes()), pack(np.rint(s.astype(np.float64) * total).astype(np.uint16).tobytes()), total
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint16)
+
+
+def buckets_of(row: tuple) -> np.ndarray:
+    return np.cumsum(numbers(row[1]), dtype=np.uint16)
+
+
+def sparse(part: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, buckets and shares of rows (lang, *packed)."""
+    buckets = [buckets_of(r) for r in part]
+    at = np.repeat(np.arange(len(part), dtype=np.int32), list(map(len, buckets)))
+    buckets = np.concatenate(buckets).astype(np.int32)
+    return at, buckets, np.concatenate([(numbers(r[2]) / np.float64(r[3])).astype(np.float32) for r in part])
+
+
 class Model:
     """Collapsed scores, bias, temperature and threshold; small and of fixed size, so tasks get a copy."""
 
@@ -93,13 +119,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject_rate: float = REJECT_RATE)
                     data = prepared(text)
                     for own, label in ((data, lang), (shuffled(data), None)):
                         if label is not None or zlib.crc32(data) % 5 == 0:
-                            _, b, s = spread(*joined([own]), ORDERS, BITS)
-                            out.append((label, b.tobytes(), s.tobytes()))
+                            out.append((label, *packed(own)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))], names=["lang", "buckets", "shares"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary(), pa.int32()))], names=["lang", "buckets", "counts", "grams"])
 
-    found = list(map(tuple, sample_rows(docs, sample).mapInArrow(featurise, "lang string, buckets binary, shares binary").collect()))
-    rows, junk = sorted(r for r in found if r[0] is not None), [r for r in found if r[0] is None]
+    found = list(map(tuple, sample_rows(docs, sample).mapInArrow(featurise, "lang string, buckets binary, counts binary, grams int").collect()))
+    rows, junk = sorted((r for r in found if r[0] is not None), key=lambda r: (r[0], buckets_of(r).tobytes(), numbers(r[2]).tobytes())), [r for r in found if r[0] is None]
+    del found
     if not rows:
         return Model([], None, None)
     rows = [rows[i] for i in np.random.default_rng(3).permutation(len(rows))]
@@ -107,10 +133,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject_rate: float = REJECT_RATE)
     labels = np.array([langs.index(r[0]) for r in rows])
     held = len(rows) // 5 if len(rows) >= 50 else 0
 
-    def sparse(part):
-        sizes = [len(r[1]) // 4 for r in part]
-        return np.repeat(np.arange(len(part)), sizes), np.concatenate([np.frombuffer(r[1], np.int32) for r in part]), np.concatenate([np.frombuffer(r[2], np.float32) for r in part])
-
     scores, bias = train(*sparse(rows[held:]), labels[held:], len(langs), BITS)
     model = Model(langs, scores, bias)
     if held:

@@ -145,3 +145,19 @@ def test_much_shuffled_text_is_rejected(spark, lang_model, medium):
     junk = [langid.shuffled(langid.prepared(t)[::-1].decode("utf-8", "ignore").encode()).decode() for t in texts if len(t) > 200]
     rejected = lambda found: np.mean([n == langid.UNKNOWN or s < lang_model.threshold for n, s in zip(*lang_model.predict(found))])
     assert rejected(junk) > 0.3 and rejected(texts) < 0.01
+
+
+def test_packed_grams_are_the_shares():
+    rng = np.random.default_rng(4)
+    rows = [("xx", *langid.packed("".join(rng.choice(list("abcé \U0001f600"), n)).encode())) for n in (1, 7, 900, 4000)] + [("yy", *langid.packed(("\U0001f600" * 4000).encode()))]
+    at, buckets, shares = langid.sparse(rows)
+    for k, n in enumerate((1, 7, 900, 4000)):
+        assert shares[at == k].sum() == pytest.approx(1, rel=1e-4) or n == 1
+    data = b"the cat and the other cat"
+    _, b, s = subword.spread(*subword.joined([data]), langid.ORDERS, langid.BITS)
+    own = langid.packed(data)
+    _, buckets, shares = langid.sparse([("en", *own)])
+    assert (buckets == b).all() and (shares == s).all()
+    data = "".join(rng.choice(list("abcdefghij "), 4000)).encode()
+    _, b, s = subword.spread(*subword.joined([data]), langid.ORDERS, langid.BITS)
+    assert 4 * sum(map(len, langid.packed(data)[:2])) < b.nbytes + s.nbytes  # what the driver got of a window before
