@@ -210,3 +210,43 @@ def test_words_of_batches_and_parts_agree(spark, monkeypatch, small):
     got = {r["doc_id"]: r for r in mixlm.score(docs.repartition(3), model).collect()}
     for k, r in want.items():
         assert got[k]["base_score"] == pytest.approx(r["base_score"], rel=1e-9) and got[k]["score"] == pytest.approx(r["score"], rel=1e-4)
+
+
+def test_start_comes_from_every_tuning_text(spark, monkeypatch):
+    """Whole texts of the tuning fold, more of them than any sample had: worth of the values and starting weights."""
+    bits, rng = 12, np.random.default_rng(8)
+    words = [f"w{k}" for k in range(50)]
+    rows = [(k, " ".join(rng.choice(words, 4)) + " end") for k in range(6000)] + [(None, None), (6001, "")]
+    rows += [(k, " ".join(rng.choice(words, 1500))) for k in range(7000, 7020)]
+    fold = [zlib.crc32(b"" if k is None else str(k).encode()) % 10 for k, _ in rows]
+    tune = [(t or "").encode() for (_, t), f in zip(rows, fold) if f == 1]
+    assert len(tune) > 400 and max(map(len, tune)) > 4096
+    rest = mixlm.Counts(bits)
+    rest.add([(t or "").encode() for (_, t), f in zip(rows, fold) if f > 1])
+    tables = [mixlm.log_odds(t) for t in rest.tables]
+    met, ones = np.zeros((2, len(tables), 256))
+    for text in tune:
+        raw = np.frombuffer(bytes(mixlm.PAD) + text.lower() + b"\0", dtype=np.uint8)
+        byte = raw[mixlm.PAD :].astype(np.int64)
+        for k, halves in enumerate(mixlm.rows_of(raw.astype(np.uint32), mixlm.word_so_far(raw)[mixlm.PAD :], bits)):
+            for b in range(8):
+                node = (1 << b % 4) + ((byte >> 4 if b < 4 else byte & 15) >> 4 - b % 4)
+                value = tables[k][(halves[b // 4].astype(np.int64) << 4) + node].astype(np.int64) + 128
+                np.add.at(met[k], value, 1)
+                np.add.at(ones[k], value, byte >> 7 - b & 1)
+    values = [mixlm.new_values(m, o) for m, o in zip(met, ones)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with mixlm.scratch(spark):
+        able = docs.where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 != 0").selectExpr("doc_id", "text", "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 = 1 as tune")
+        found = mixlm.log_odds_tables(mixlm.context_counts(able, bits), bits)
+    assert all((a == b).all() for a, b in zip(found[1], tables)) and all((a == b).all() for a, b in zip(found[2], values))
+    # A shard for each text: the start is the mean of what each of them ends with, by its bytes.
+    monkeypatch.setattr(mixlm, "SHARD_BYTES", 1 << 12)
+    monkeypatch.setattr(mixlm, "SMALL_SHARD", 0)
+    first, few = mixlm.Model(tables, bits).calibrated(values), [(5, "w1 w2 " * 2000), (6, "w3 w4 w5 " * 1500), (7, "w6"), (7, "w6")]
+    monkeypatch.setattr(mixlm, "row_place", lambda *_: mixlm.F.col("doc_id") / 8.0)
+    start = mixlm.started(spark.createDataFrame(few, "doc_id long, text string").repartition(3), first)
+    groups, sizes = [["w1 w2 " * 2000], ["w3 w4 w5 " * 1500], ["w6", "w6"]], [12001, 13501, 6]
+    alone = [first.tuned([t.encode() for t in g], rounds=1) for g in groups]
+    assert start.weights == pytest.approx(np.average([m.weights for m in alone], axis=0, weights=sizes), abs=1e-4)
+    assert start.refine == pytest.approx(np.average([m.refine for m in alone], axis=0, weights=sizes), abs=1e-4)
