@@ -3,9 +3,10 @@
 Labellers vote good (1), bad (0) or nothing (-1) on each whole text. Only the counts of vote patterns over all texts,
 added up by Spark (a row for each pattern: at most 3 to the number of labellers), reach the driver, where
 expectation-maximisation finds each labeller's rates of each vote on good and bad texts and the share of good ones. The
-posteriors, as they are, are the targets of a bounded sample of at most SAMPLE texts, drawn by a hash of the row, that
-trains a logistic scorer over hashed byte grams and hashed text statistics. The threshold is
-set so that at most LOSS of the sample's texts that the votes hold for good (posterior of at least SURE) fall below it,
+posteriors, as they are, are the targets of a logistic scorer over hashed byte grams and hashed text statistics, which
+all whole texts train: they are dealt by a hash of the row into shards of about SHARD_ROWS, each shard trains a scorer of
+its own, and the mean of their margins, by their texts, is the scorer. The threshold is
+set so that at most LOSS of all texts that the votes hold for good (posterior of at least SURE) fall below it,
 and is never above a half: a text that the scorer holds for good is not rejected.
 
 Defined results:
@@ -27,10 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import parts, pieces, row_place, saved, scratch
+from gondola.llm.common import parts, pieces, row_place, saved
 from gondola.llm.subword import joined, segment_logits, spread, train
 
-SAMPLE = 4000
+SHARD_ROWS = 16_000
+#: Texts of a shard times rounds, and the most features that a shard holds at once.
+TAUGHT, FEATURES = 32_000, 12 << 20
+#: Margins times texts are added up in whole steps, so that sums don't depend on their order.
+MARGIN_STEPS = 1 << 20
+#: The threshold is a whole number of such steps.
+SCORE_STEPS = 1 << 16
 BITS = 15
 ORDERS = (1, 2, 3)
 LOSS = 0.002
@@ -148,70 +155,114 @@ class Model:
         return out, post
 
 
-def features(text: str, stats: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Half of the weight is the byte grams', half the statistics'."""
-    raw, starts = joined([text.encode()])
-    _, b, s = spread(raw, starts, ORDERS, BITS)
-    own = np.array(stat_buckets(stats), dtype=np.int32)
-    return np.concatenate([b, own]), np.concatenate([0.5 * s, np.full(len(own), 0.5 / len(own), dtype=np.float32)])
+def features(texts: list[str], stats: list[tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, share), by text: half of the weight is the byte grams', half the statistics'."""
+    rows, b, s = spread(*joined([t.encode() for t in texts]), ORDERS, BITS)
+    own = np.array([stat_buckets(x) for x in stats], dtype=np.int32)
+    rows = np.concatenate([rows, np.repeat(np.arange(len(own), dtype=np.int32), own.shape[1])])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], np.concatenate([b, own.ravel()])[order], np.concatenate([0.5 * s, np.full(own.size, 0.5 / own.shape[1], dtype=np.float32)])[order]
 
 
-LABELLED = "pattern string, n long, place double, buckets binary, shares binary"
+def taught(rows: np.ndarray, buckets: np.ndarray, shares: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """The margins of the buckets, a zero and the bias that a shard's features and posteriors teach."""
+    rounds = min(8, max(2, round(TAUGHT / len(good))))
+    scores, bias = train(rows, buckets, shares, np.stack([1 - good, good], axis=1), 2, BITS, dim=4, epochs=rounds)
+    return np.append(scores[:, 1] - scores[:, 0], bias[1] - bias[0]).astype(np.float64)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """One pass over all texts gives the pattern counts of each task and, of the sample, patterns and features."""
-    total = docs.count()
-    share = min(1.0, sample / max(total, 1))
-    schema = pa.schema([("pattern", pa.string()), ("n", pa.int64()), ("place", pa.float64()), ("buckets", pa.binary()), ("shares", pa.binary())])
+def voted(docs: DataFrame) -> LabelModel:
+    """The label model of the vote patterns of all texts."""
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in parts(batches):
-            out = []
-            for text, place in zip(batch.column("text").to_pylist(), batch.column("place").to_pylist()):
-                s = statistics(text or "")
-                v = votes(s)
-                counts[v] += 1
-                if place < share and s:
-                    b, w = features(text, s)
-                    out.append((v, 0, place, b.tobytes(), w.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
+            counts.update(votes(statistics(text or "")) for text in batch.column("text").to_pylist())
         if counts:
-            none = pa.nulls(len(counts), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64()), pa.nulls(len(counts), pa.float64()), none, none], schema=schema)
-
-    with scratch(docs.sparkSession):
-        rows = saved(docs.select("text", row_place(21, "doc_id", "text").alias("place")).mapInArrow(label, LABELLED), "quality-votes")
-        patterns = {r["pattern"]: r["n"] for r in rows.where("n > 0").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
-        part = sorted((r["pattern"], bytes(r["buckets"]), bytes(r["shares"])) for r in rows.where("place is not null").orderBy("place", "buckets").limit(sample).collect())
-    labels = LabelModel(patterns)
-    if not part:
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["pattern", "n"])
+
+    patterns = docs.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return LabelModel({r["pattern"]: r["n"] for r in patterns.collect()})
+
+
+def trained(docs: DataFrame) -> Model:
+    """The model of all texts, its threshold not yet set."""
+    labels, cells = voted(docs), (1 << BITS) + 2
+    shards = max(1, -(-docs.count() // SHARD_ROWS))
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+        found, good, size = [], [], 0
+        totals = np.zeros(cells + 1, dtype=np.int64)  # and the texts
+
+        def add() -> None:
+            margins = taught(*(np.concatenate(x) for x in zip(*found)), np.array(good))
+            totals[:-1] += np.round(margins * len(good) * MARGIN_STEPS).astype(np.int64)
+            totals[-1] += len(good)
+
+        for batch in parts(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            stats = [statistics(t) for t in texts]
+            texts, stats = [t for t, x in zip(texts, stats) if x], [x for x in stats if x]
+            for lo, hi in pieces([t.encode() for t in texts]):
+                rows, b, s = features(texts[lo:hi], stats[lo:hi])
+                found.append((rows + np.int32(len(good)), b, s))
+                size += len(b)
+                for v in map(votes, stats[lo:hi]):
+                    good.append(known[v] if v in known else known.setdefault(v, labels.posterior(v)))
+                if size >= FEATURES or len(good) >= 2 * SHARD_ROWS:
+                    add()
+                    found, good, size = [], [], 0
+        if good:
+            add()
+        if totals[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells + 1, dtype=np.int32)), pa.array(totals)], names=["cell", "total"])
+
+    place = row_place(21, "doc_id", "text")
+    dealt = docs.select("text", place.alias("place")).repartitionById(shards, F.floor(F.col("place") * shards).cast("int")).sortWithinPartitions("place", "text")
+    sums = {r["cell"]: r["total"] for r in dealt.select("text").mapInArrow(teach, "cell int, total long").groupBy("cell").agg(F.sum("total").alias("total")).collect()}
+    if not sums:
         return Model(labels)
-    part = [part[i] for i in np.random.default_rng(6).permutation(len(part))]
-    good = np.array([labels.posterior(p) for p, _, _ in part])
-    sizes = [len(b) // 4 for _, b, _ in part]
-    b = np.concatenate([np.frombuffer(x, np.int32) for _, x, _ in part])
-    s = np.concatenate([np.frombuffer(x, np.float32) for _, _, x in part])
-    at = np.repeat(np.arange(len(part)), sizes)
-    scores, bias = train(at, b, s, np.stack([1 - good, good], axis=1), 2, BITS, dim=4, epochs=8)
-    z = np.bincount(at, weights=(scores[b, 1] - scores[b, 0]) * s, minlength=len(part)) + bias[1] - bias[0]
-    p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    sure = p[good >= SURE]
-    return Model(labels, scores, bias, float(min(0.5, np.quantile(sure, LOSS, method="lower"))) if len(sure) else 0.5)
+    mean = np.array([sums[k] for k in range(cells)]) / MARGIN_STEPS / sums[cells]
+    return Model(labels, np.stack([np.zeros(cells - 1), mean[:-1]], axis=1).astype(np.float32), np.array([0.0, mean[-1]]))
 
 
-def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, score, posterior, keep of each row of docs (doc_id, text)."""
-    model = model or fit(docs)
+def threshold(scores: DataFrame) -> float:
+    """From all rows of scores (score, posterior): counted in steps, at most half of SCORE_STEPS."""
+    half = SCORE_STEPS // 2
+    step = F.least(F.floor(F.col("score") * SCORE_STEPS), F.lit(half)).alias("step")
+    found = sorted((r["step"], r["n"]) for r in scores.where(F.col("posterior") >= SURE).groupBy(step).agg(F.count("*").alias("n")).collect())
+    below, able = 0, LOSS * sum(n for _, n in found)
+    for step_, n in found:
+        below += n
+        if below > able:
+            return step_ / SCORE_STEPS
+    return 0.5
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, posterior of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             p, post = model.score(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(post), pa.array((p >= model.threshold) & (p > 0))], names=["doc_id", "score", "posterior", "keep"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(post)], names=["doc_id", "score", "posterior"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, posterior double")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, posterior double, keep boolean")
+
+def fit(docs: DataFrame) -> Model:
+    """The model of all rows of docs (doc_id, text), with its threshold."""
+    model = trained(docs)
+    model.threshold = threshold(scored(docs, model))
+    return model
+
+
+def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, score, posterior, keep of each row of docs (doc_id, text). Without a model the texts are scored once, for the threshold and the result."""
+    rows = scored(docs, model) if model else saved(scored(docs, trained(docs)), "quality-scores", keep=True)
+    limit = model.threshold if model else threshold(rows)
+    return rows.withColumn("keep", (F.col("score") >= limit) & (F.col("score") > 0))
 
 
 def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -64,6 +64,33 @@ def test_quality_cases(spark, quality_model):
     assert quality.classify(docs.where("false")).count() == 0 and quality.keep(docs.where("false")).count() == 0
 
 
+def test_quality_learns_from_every_text(spark, monkeypatch):
+    """Each shard's texts teach, and the threshold counts all sure texts."""
+    rng = np.random.default_rng(3)
+    words = [f"word{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, 12)) + "." if k % 3 else "## $$ ## $$ XX" * (1 + k % 5) for k in range(5000)] + [None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(quality, "SHARD_ROWS", 1000)
+    model = quality.trained(docs)
+    stats = [quality.statistics(t or "") for t in texts]
+    place = {r["doc_id"]: r["p"] for r in docs.select("doc_id", quality.row_place(21, "doc_id", "text").alias("p")).collect()}
+    shards = [[] for _ in range(6)]
+    for k in sorted(place, key=place.get):
+        if stats[k]:
+            shards[int(place[k] * 6)].append(k)
+    post = [model.labels.posterior(quality.votes(s)) for s in stats]
+    margins = [quality.taught(*quality.features([texts[k] for k in x], [stats[k] for k in x]), np.array([post[k] for k in x])) for x in shards]
+    want = np.average(margins, axis=0, weights=[len(x) for x in shards])
+    assert sum(map(len, shards)) == 5000
+    assert model.scores[:, 1] - model.scores[:, 0] == pytest.approx(want[:-1], abs=1e-4) and model.bias[1] - model.bias[0] == pytest.approx(want[-1], abs=1e-4)
+    for low, limit in ((10, 0.5), (11, 0.25)):  # 0.002 of 5000 are 10
+        scores = spark.createDataFrame([(0.25, 1.0)] * low + [(0.75, 1.0)] * (5000 - low) + [(0.1, 0.5)] * 50, "score double, posterior double")
+        assert quality.threshold(scores) == limit
+    assert quality.threshold(scores.where("false")) == 0.5
+    whole, alone = ({tuple(r) for r in quality.classify(docs, m).collect()} for m in (None, quality.fit(docs.repartition(5))))
+    assert whole == alone and len(whole) == len(texts)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.7
