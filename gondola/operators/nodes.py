@@ -16,7 +16,7 @@ import re
 from collections.abc import Callable, Iterator
 from html.entities import html5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,13 @@ from gondola.functions.urls import joined
 
 NODE = "at:int,last:int,above:array<int>,tag:string,attrs:map<string,string>,first_text:int,n_texts:int,first_link:int,n_links:int"
 SCHEMA = f"nodes array<struct<{NODE}>>, texts array<struct<line:string,hidden:int>>"
+_NODES = pa.list_(pa.struct([
+    ("at", pa.int32()), ("last", pa.int32()), ("above", pa.list_(pa.int32())), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+    ("first_text", pa.int32()), ("n_texts", pa.int32()), ("first_link", pa.int32()), ("n_links", pa.int32()),
+]))
+_TEXTS = pa.list_(pa.struct([("line", pa.string()), ("hidden", pa.int32())]))
+#: Pages that a Python worker holds parsed, and about how many bytes of HTML.
+PAGES, PAGE_BYTES = 50, 1 << 20
 REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
 FRAMES = ("header", "nav", "footer")
 HEADINGS = ("h1", "h2", "h3", "h4")
@@ -64,20 +71,33 @@ def labelled(html: str | None, bare: bool = True) -> tuple[list[dict], list[dict
     return nodes, texts
 
 
+def unpacked(batches: Iterator[pa.RecordBatch], kept: list[str], bare: bool = True) -> Iterator[pa.RecordBatch]:
+    """The kept columns, nodes and texts of batches with html, of at most PAGES pages and about PAGE_BYTES at once; a page's nodes become Arrow before the next page is parsed."""
+
+    def row(html: str | None) -> tuple[pa.Array, pa.Array]:
+        nodes, texts = labelled(html, bare)
+        for x in nodes:
+            x["attrs"] = list(x["attrs"].items())
+        return pa.array([nodes], _NODES), pa.array([texts], _TEXTS)
+
+    for batch in batches:
+        lo, size, found = 0, 0, []
+        for i, html in enumerate(batch.column("html")):
+            html = html.as_py()
+            found.append(row(html))
+            size += len(html or "")
+            if len(found) == PAGES or size >= PAGE_BYTES or i + 1 == batch.num_rows:
+                own = [batch.column(c).slice(lo, len(found)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.concat_arrays(x) for x in zip(*found))], names=[*kept, "nodes", "texts"])
+                lo, size, found = i + 1, 0, []
+
+
 def parsed(pages: DataFrame, *columns: str, bare: bool = True) -> DataFrame:
     """(page_id, url, ...columns, nodes, texts) of each page (page_id, url, html); bare as in labelled."""
     kept = ["page_id", "url", *columns]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 200):
-                part = pdf.iloc[lo : lo + 200]
-                found = [labelled(h, bare) for h in part["html"]]
-                yield part[kept].assign(nodes=[n for n, _ in found], texts=[t for _, t in found])
-
     rows = pages.select(*dict.fromkeys([*kept, "html"]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    return rows.mapInPandas(run, f"{kinds}, {SCHEMA}")
+    return rows.mapInArrow(lambda batches: unpacked(batches, kept, bare), f"{kinds}, {SCHEMA}")
 
 
 class Page:

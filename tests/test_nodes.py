@@ -4,6 +4,7 @@ import json
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,17 @@ def test_references_without_semicolons(spark):
     df = spark.createDataFrame([(1, "http://a.example/b", CUT)], "page_id long, url string, html string")
     labels = lambda bare: [r["label"] for r in nodes.headings(df, bare).orderBy("heading").collect()]
     assert labels(True) == ["Um&& dois&", "a <b © &x; & &l"] and labels(False) == ["Um&& dois&amp", "a <b © &ampx; & &l"]
+
+
+def test_few_pages_are_held_unpacked():
+    """Pages leave a worker in small parts, by number and by size, before more of a batch are parsed."""
+    html = ["<a href='/x' class='c'>A</a>"] * 120 + [None, ""] + ["<p>" + "x" * 700_000 + "</p>"] * 5
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(html))), "url": ["http://a.com/"] * len(html), "html": html})
+    out = list(nodes.unpacked(iter([batch, batch.slice(0, 3), batch.slice(0, 0)]), ["page_id", "url"]))
+    assert [b.num_rows for b in out] == [50, 50, 24, 2, 1, 3]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["page_id"] for r in rows] == [*range(len(html)), 0, 1, 2]
+    for r in rows:
+        for x in r["nodes"]:
+            x["attrs"] = dict(x["attrs"])
+        assert (r["nodes"], r["texts"]) == nodes.labelled(html[r["page_id"]])
