@@ -144,6 +144,23 @@ def test_steps_cover_a_text_and_grow():
     assert {n for _, n in every} == {64, 128, 256, 512, 1024}
 
 
+def test_contexts_of_several_stretches_are_looked_up_together(monkeypatch):
+    """With the same bits, weights and maps as stretch by stretch, also behind the last text's end."""
+    model, rng = trained(), np.random.default_rng(3)
+    texts = sorted((bytes(rng.choice(list(b"ab c"), n).astype(np.uint8)) for n in (9000, 5000, 4097, 700, 700, 64, 63, 1, 0)), key=len, reverse=True)
+    raw, starts, sizes = mixlm.joined(texts)
+    calls, rows_of = [], mixlm.rows_of
+    monkeypatch.setattr(mixlm, "rows_of", lambda *a: calls.append(1) or rows_of(*a))
+    together = model.code(raw, mixlm.word_so_far(raw), starts, sizes)
+    assert 0 < 4 * len(calls) <= len(list(mixlm.steps(int(sizes[0]))))
+    assert [s for *_, own in mixlm.blocks(sizes) for s in own] == list(mixlm.steps(int(sizes[0])))
+    calls.clear()
+    monkeypatch.setattr(mixlm, "BLOCK", 1)
+    for a, b in zip(together, model.code(raw, mixlm.word_so_far(raw), starts, sizes)):
+        assert (a == b).all()
+    assert len(calls) == len(list(mixlm.steps(int(sizes[0]))))
+
+
 def test_long_contexts_against_plain_counts(spark):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(60)]
